@@ -154,7 +154,7 @@ def _direct(run: Run, window) -> Column:
     if run.kind == "sum":
         return F.sum(run.value).over(upto)
     if run.kind == "row_number":
-        return F.row_number().over(window)
+        return F.row_number().over(window).cast("long")
     if run.kind == "max_before":
         return F.max(run.value).over(before)
     if run.kind == "last":
@@ -203,7 +203,7 @@ def running(
         elif run.kind == "row_number":
             summary.append(F.count(F.lit(1)).alias(tot))
             carry[car] = F.sum(tot).over(earlier)
-            result[name] = (F.col(own) + F.coalesce(F.col(car), F.lit(0))).cast("int")
+            result[name] = F.col(own) + F.coalesce(F.col(car), F.lit(0))
         elif run.kind == "max_before":
             summary.append(F.max(run.value).alias(tot))
             carry[car] = F.max(tot).over(earlier)

@@ -19,7 +19,7 @@ def tool_preflights(t: AgentTrace) -> DataFrame:
     metadata there."""
     return (
         t["slices"]
-        .filter("name = 'tool-preflight'")
+        .filter("name = 'tool-preflight' and attrs.call_id is not null")
         .groupBy("capture_id", F.expr("attrs.call_id as call_id"))
         .agg(F.max_by(F.struct("id", "attrs.truncated", "attrs.intent", "attrs.args"), F.col("id")).alias("p"))
         .selectExpr(

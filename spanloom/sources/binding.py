@@ -67,7 +67,7 @@ _HARNESS_SQL = "element_at(array(" + ", ".join(f"'{h}'" for h in schema.HARNESSE
 _KIND_SQL = """case when typ = 'signup' then 'prompt' when typ = 'view' then 'assistant-message'
     when typ in ('click', 'error') then 'tool-execution'
     when k % 4 = 0 then 'script' when k % 4 = 1 then 'provider-request'
-    when k % 4 = 2 then 'model-call' else 'compaction' end"""
+    when k % 4 = 2 then 'model-call' when k % 8 = 7 then 'tool-preflight' else 'compaction' end"""
 _CALL = "kind in ('tool-execution', 'script', 'model-call')"
 _MESSAGE = "kind = 'assistant-message'"
 _LAUNCH = "typ = 'error' and k % 6 = 1 and u % 7 = 2"
@@ -97,14 +97,17 @@ _EVENT_ATTRS = {
     "output_tokens": f"if({_MESSAGE} and k % 5 != 0, k * 10, null)",
     "cache_read_tokens": f"if({_MESSAGE} and k % 2 = 0, k, null)",
     "phase": "if(kind = 'provider-request', concat('phase-', k % 2), null)",
-    "call_id": f"if({_CALL}, concat('c', id), null)",
+    "call_id": f"case when {_CALL} then concat('c', id) when kind = 'tool-preflight' then concat('c', prev_call) end",
     "parent_call_id": f"if({_CALL} and k % 3 = 1, concat('c', prev_call), null)",
     "is_error": "case when typ = 'error' then 1 when typ = 'click' and k % 3 != 0 then 0 end",
     "language": "if(kind = 'script', if(k % 8 = 0, 'Python', ''), null)",
     "line_count": "if(kind = 'script', k, null)",
     "args_truncated": f"if({_CALL} and k % 11 = 0, 1, null)",
-    "intent": f"if({_CALL} and k % 2 = 0, concat(' step ', k % 12, ' '), null)",
-    "args": f"if({_CALL} and k % 4 != 3, map('n', cast(k as string), 'path', concat('f', cents % 10)), null)",
+    "truncated": "if(kind = 'tool-preflight' and k % 3 = 0, 1, null)",
+    "intent": f"""case when {_CALL} and k % 2 = 0 then concat(' step ', k % 12, ' ')
+        when kind = 'tool-preflight' then concat('planned ', k) end""",
+    "args": f"""case when {_CALL} and k % 4 != 3 then map('n', cast(k as string), 'path', concat('f', cents % 10))
+        when kind = 'tool-preflight' then map('pre', cast(k as string)) end""",
     "child_session": f"if({_LAUNCH}, concat('session-', u + 5), null)",
     "child_role": f"if({_LAUNCH}, concat('role-', k % 3), null)",
     "delegation": f"if({_LAUNCH}, 1, null)",
@@ -132,7 +135,7 @@ def _event_slices(e: DataFrame) -> DataFrame:
         "dur",
         """case kind when 'prompt' then 'prompt' when 'assistant-message' then concat('assistant ttft=', k % 10, 'ms')
              when 'provider-request' then 'request' when 'tool-execution' then concat('tool-', k % 6)
-             when 'script' then 'codemode' when 'model-call' then 'sub-model' else 'compaction' end as name""",
+             when 'script' then 'codemode' when 'model-call' then 'sub-model' else kind end as name""",
         f"""concat(h, case when kind = 'prompt' then '.agent' when {_CALL} then '.tools'
              when kind in ('assistant-message', 'provider-request') then '.llm' else '.context' end) as category""",
         f"{attrs_sql(**_EVENT_ATTRS)} as attrs",
