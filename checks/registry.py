@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
+from checks.ingest_queries import QUERIES
 from spanloom.plans import activity, captures, context, models, runtime, sessions, tools, turns  # noqa: F401
 from spanloom.plans.trace import VIEWS, AgentTrace
 from spanloom.session import configure
@@ -55,6 +56,10 @@ def _report(build: Callable[[AgentTrace], DataFrame]) -> Query:
     return lambda spark, sf_dir: shaped(build(trace(spark, sf_dir)))
 
 
+def _plain(build: Query) -> Query:
+    return lambda spark, sf_dir: shaped(build(configure(spark), sf_dir.rstrip("/")))
+
+
 def _kind_rules(t: AgentTrace) -> DataFrame:
     return t["slices"].groupBy("name", "category", "kind").agg(F.count(F.lit(1)).alias("slices"))
 
@@ -82,4 +87,5 @@ def queries() -> dict[str, Query]:
         "slowest_turns": _report(turns.slowest_turns),
         "top_context_changes": _report(context.top_context_changes),
     }
+    out |= {name: _plain(build) for name, build in QUERIES.items()}
     return out

@@ -15,13 +15,14 @@ come from a sample; every row is processed.
 from __future__ import annotations
 
 import math
+import os
 from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 #: A key with fewer rows than this is never cut.
-BLOCK_ROWS = 1_000_000
+BLOCK_ROWS = int(os.environ.get("SPANLOOM_BLOCK_ROWS", 1_000_000))
 #: Upper bound of cut points over all keys together; bounds what is broadcast
 #: (64 Ki cut points of two longs each, about one MiB).
 MAX_CUTS = 1 << 16
@@ -173,15 +174,18 @@ def running(
     keys: Sequence[str],
     order: Sequence[str],
     runs: dict[str, Run],
-    blocks: Blocks = NO_BLOCKS,
+    blocks: Blocks | None = None,
     block_order: Sequence[str] | None = None,
 ) -> DataFrame:
     """Add ordered columns to ``df``, keyed by ``keys`` and sorted by ``order``.
 
     ``order`` must be a total order inside a key.  With ``blocks`` that split
     nothing this is one shuffle and one sort; otherwise windows run per block.
+    Without ``blocks`` the rows are counted first and cut if a key may be large.
     """
     keys, order = list(keys), list(order)
+    if blocks is None:
+        blocks = plan_blocks(df, keys, block_order or order)
     if not blocks.split:
         window = Window.partitionBy(*keys).orderBy(*order)
         return df.withColumns({name: _direct(run, window) for name, run in runs.items()})

@@ -9,7 +9,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from spanloom.operators.blocks import NO_BLOCKS, Blocks, Run, running
+from spanloom.operators.blocks import Blocks, Run, plan_blocks, running
 
 
 def interval_sweep(
@@ -19,7 +19,7 @@ def interval_sweep(
     *,
     start: str = "ts",
     end: str = "end_ts",
-    blocks: Blocks = NO_BLOCKS,
+    blocks: Blocks | None = None,
 ) -> DataFrame:
     """Cut time into segments with the concurrency of each class.
 
@@ -34,6 +34,8 @@ def interval_sweep(
         F.struct(F.col(end).alias("ts"), *[(-F.col(c).cast("long")).alias(c) for c in classes]),
     )
     boundaries = intervals.select(*keys, F.inline(edges))
+    if blocks is None:
+        blocks = plan_blocks(boundaries, keys, ["ts"])
     if keys and not blocks.split:
         # every key is small: one exchange on the key serves the sums and the window
         boundaries = boundaries.repartition(*keys)
@@ -56,7 +58,7 @@ def covered(*conditions: Column) -> Column:
 
 
 def interval_union_length(
-    intervals: DataFrame, keys: Sequence[str], *, start: str = "ts", end: str = "end_ts", blocks: Blocks = NO_BLOCKS
+    intervals: DataFrame, keys: Sequence[str], *, start: str = "ts", end: str = "end_ts", blocks: Blocks | None = None
 ) -> DataFrame:
     """Length of the union of each key's intervals: ``keys, active_ns, peak``."""
     marked = intervals.filter(F.col(end) > F.col(start)).withColumn("_one", F.lit(1))
@@ -68,7 +70,7 @@ def interval_union_length(
 
 
 def peak_concurrency(
-    intervals: DataFrame, keys: Sequence[str], *, start: str = "ts", end: str = "end_ts", blocks: Blocks = NO_BLOCKS
+    intervals: DataFrame, keys: Sequence[str], *, start: str = "ts", end: str = "end_ts", blocks: Blocks | None = None
 ) -> DataFrame:
     """Largest number of intervals open at once, ends before starts at ties."""
     return interval_union_length(intervals, keys, start=start, end=end, blocks=blocks).drop("active_ns")
@@ -81,11 +83,13 @@ def islands(
     start: str,
     end: str,
     tie: str,
-    blocks: Blocks = NO_BLOCKS,
+    blocks: Blocks | None = None,
     out: str = "cluster_id",
 ) -> DataFrame:
     """Number the groups of overlapping rows: a row that starts at or after
     the largest end seen so far opens a new group."""
+    if blocks is None:
+        blocks = plan_blocks(df, keys, [start, tie])
     seen = running(df, keys, [start, tie], {"_seen_end": Run("max_before", F.col(end))}, blocks)
     opens = (F.col("_seen_end").isNull() | (F.col(start) >= F.col("_seen_end"))).cast("long")
     return running(seen.withColumn("_opens", opens), keys, [start, tie], {out: Run("sum", F.col("_opens"))}, blocks).drop(
@@ -115,7 +119,7 @@ def asof_last(
     right_tie: str,
     value: Column,
     out: str,
-    blocks: Blocks = NO_BLOCKS,
+    blocks: Blocks | None = None,
 ) -> DataFrame:
     """Add to each left row the ``value`` of the latest right row of the same
     key with ``right_ts <= left_ts`` (ties: largest ``right_tie``); null if none.
@@ -146,7 +150,7 @@ def asof_last(
 
 
 def count_overlaps(
-    left: DataFrame, right: DataFrame, keys: Sequence[str], *, blocks: Blocks = NO_BLOCKS
+    left: DataFrame, right: DataFrame, keys: Sequence[str], *, blocks: Blocks | None = None
 ) -> DataFrame:
     """For each left interval the number of right intervals of its key that it
     overlaps: ``id, overlaps, only_id``, where ``only_id`` is the right id when
