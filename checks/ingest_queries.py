@@ -635,7 +635,7 @@ def context_pressure_delta(spark, sf):
 def _failures(spark, sf) -> DataFrame:
     lines = spark.read.parquet(f"{sf}/lineitem.parquet").filter("l_linenumber <= 4").groupBy("l_orderkey").agg(
         *[F.expr(f"bool_or(l_returnflag = 'R') filter (where l_linenumber = {i}) as h{i}") for i in (1, 2, 3, 4)]
-    ).filter("h4 is not null")
+    ).filter("h1 is not null and h2 is not null and h3 is not null and h4 is not null")
     orders = spark.read.parquet(f"{sf}/orders.parquet")
     return orders.join(lines, orders["o_orderkey"] == lines["l_orderkey"]).selectExpr(
         "o_orderkey as id", "o_orderpriority as owner", "cast(round(o_totalprice * 100) as bigint) as duration_ms", "array(h1, h2, h3, h4) as history"

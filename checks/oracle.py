@@ -754,7 +754,7 @@ WITH c AS (SELECT 'prompts' AS category, k AS tokens FROM latest UNION ALL SELEC
 SELECT category, count(*) AS sessions, {S("tokens")} AS tokens,
        {S("tokens")} / (SELECT {S("tokens")} FROM c) AS share FROM c GROUP BY category"""
 
-_RECURSIVE = {"nested", "climb", "below_marker", "downward", "inherited"}
+
 _WORD = re.compile(r"[a-z_0-9]+")
 
 
@@ -784,4 +784,6 @@ def sql_for(name: str) -> str:
 
 
 def oracle() -> dict[str, str]:
+    from checks import oracle_ingest  # noqa: F401  (adds its statements)
+
     return {name: sql_for(name) for name in FINAL}
