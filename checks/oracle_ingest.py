@@ -389,3 +389,39 @@ SELECT run, workers, CAST(workers > 1 AND ls < fe AS INT) AS workers_overlap, CA
 FINAL["interval_union_length"] = f"""
 SELECT capture_id, {S("dur", "models + tools + scripts > 0")} AS active_ns, max(models + tools + scripts) FILTER (WHERE dur > 0) AS peak FROM seg_capture GROUP BY 1"""
 FINAL["peak_concurrency"] = "SELECT capture_id, max(models + tools + scripts) FILTER (WHERE dur > 0) AS peak FROM seg_capture GROUP BY 1"
+
+# ----------------------------------------------------------------- streaming
+FINAL["stream_dedup"] = "SELECT id, u, typ, k FROM ev0"
+FINAL["stream_token_totals"] = f"""
+SELECT 'session-' || u AS session, {S("i")} AS input_tokens, {S("o")} AS output_tokens, count(i) AS input_samples, count(o) AS output_samples,
+       count(*) AS responses FROM usage GROUP BY u"""
+FINAL["stream_capture_health"] = f"SELECT u AS recording, {C('k % 4 <> 0')} AS rows, {C('k % 4 = 0')} AS corrupt FROM ev0 GROUP BY u"
+# rows leave the state once the watermark (ten minutes, or an hour, behind the newest event) has passed them
+CTES["newest"] = "SELECT max(ns) // 1000 AS us FROM ev0"
+FINAL["stream_activity_bins"] = """
+SELECT * FROM (SELECT ns // 1000 // 3600000000 * 3600000000 AS start_us, typ AS kind, count(*) AS events FROM ev0 GROUP BY 1, 2)
+WHERE start_us + 3600000000 <= (SELECT us FROM newest) - 600000000"""
+FINAL["stream_prompt_clusters"] = """
+WITH p AS (SELECT u, ns // 1000 AS us FROM ev0 WHERE typ = 'signup'),
+g AS (SELECT u, us, sum(fresh) OVER (PARTITION BY u ORDER BY us) AS grp FROM
+  (SELECT *, CASE WHEN us - lag(us) OVER (PARTITION BY u ORDER BY us) < 21600000000 THEN 0 ELSE 1 END AS fresh FROM p))
+SELECT u AS capture_id, min(us) AS start_us, max(us) + 21600000000 AS end_us, count(*) AS prompts FROM g GROUP BY u, grp
+HAVING end_us <= (SELECT max(us) FROM p) - 3600000000"""
+FINAL["stream_route_telemetry"] = """
+SELECT 't' || u AS trace_id, CAST(id AS VARCHAR) AS id, 'session-' || u AS session, 'routed' AS state FROM ev0
+WHERE u IN (SELECT u FROM ev0 WHERE k % 6 = 0)"""
+CTES["two_items"] = """
+SELECT u, id, 'm' || (k // 50) AS model, 'a' AS item, 'prompts' AS category, k AS tokens, k % 17 = 0 AS fresh FROM ev0 WHERE typ = 'view'
+UNION ALL SELECT u, id, 'm' || (k // 50), 'b' || (k % 3), 'results', 5, k % 17 = 0 FROM ev0 WHERE typ = 'view'"""
+CTES["sample_steps"] = """
+SELECT u, id, fresh OR lag(model) OVER w IS DISTINCT FROM model AS base, lag(id) OVER w AS before
+FROM (SELECT DISTINCT u, id, model, fresh FROM two_items) WINDOW w AS (PARTITION BY u ORDER BY id)"""
+FINAL["stream_context_diff"] = """
+SELECT 's' || n.u AS scope, n.id AS sample, n.item AS item_id, n.category, n.tokens,
+       CASE WHEN base THEN 'baseline' WHEN o.item IS NULL THEN 'added' ELSE 'replaced' END AS change, n.tokens - coalesce(o.tokens, 0) AS delta_tokens
+FROM two_items n JOIN sample_steps s ON s.u = n.u AND s.id = n.id LEFT JOIN two_items o ON NOT base AND o.u = n.u AND o.id = before AND o.item = n.item
+WHERE o.item IS NULL OR o.tokens <> n.tokens
+UNION ALL
+SELECT 's' || s.u, s.id, o.item, o.category, o.tokens, 'removed', -o.tokens
+FROM sample_steps s JOIN two_items o ON o.u = s.u AND o.id = before LEFT JOIN two_items n ON n.u = s.u AND n.id = s.id AND n.item = o.item
+WHERE NOT base AND n.item IS NULL"""

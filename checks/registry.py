@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from checks.ingest_queries import QUERIES
+from checks import ingest_queries, stream_queries
 from spanloom.plans import activity, captures, context, models, runtime, sessions, tools, turns  # noqa: F401
 from spanloom.plans.trace import VIEWS, AgentTrace
 from spanloom.session import configure
@@ -87,5 +87,5 @@ def queries() -> dict[str, Query]:
         "slowest_turns": _report(turns.slowest_turns),
         "top_context_changes": _report(context.top_context_changes),
     }
-    out |= {name: _plain(build) for name, build in QUERIES.items()}
+    out |= {name: _plain(build) for name, build in (ingest_queries.QUERIES | stream_queries.QUERIES).items()}
     return out

@@ -27,17 +27,17 @@ def median_and_rank(
             F.expr(f"percentile_disc({percent / 100}) within group (order by {value}) as ranked"),
         )
     # one struct key: null fields compare equal, also in the carry join
-    counts = known.select(F.struct(*keys).alias("_group"), value).groupBy("_group", value).agg(F.count(F.lit(1)).alias("_n"))
-    blocks = plan_blocks(counts, ["_group"], [value], rows=rows, block_rows=block_rows)
-    ranked = running(counts, ["_group"], [value], {"_to": Run("sum", F.col("_n"))}, blocks)
-    sizes = counts.groupBy("_group").agg(F.sum("_n").alias("_size"))
-    placed = ranked.join(sizes, "_group").withColumn("_from", F.col("_to") - F.col("_n"))
+    counts = known.select(F.struct(*keys).alias("_of"), value).groupBy("_of", value).agg(F.count(F.lit(1)).alias("_n"))
+    blocks = plan_blocks(counts, ["_of"], [value], rows=rows, block_rows=block_rows)
+    ranked = running(counts, ["_of"], [value], {"_to": Run("sum", F.col("_n"))}, blocks)
+    sizes = counts.groupBy("_of").agg(F.sum("_n").alias("_size"))
+    placed = ranked.join(sizes, "_of").withColumn("_from", F.col("_to") - F.col("_n"))
 
     def holds(rank: str) -> str:
         return f"max({value}) filter (where _from < {rank} and {rank} <= _to)"
 
     low, high = "((_size + 1) div 2)", "((_size + 2) div 2)"
-    return placed.groupBy("_group").agg(
+    return placed.groupBy("_of").agg(
         F.expr(f"({holds(low)} + {holds(high)}) / 2D as median"),
         F.expr(f"{holds(f'(({percent} * _size + 99) div 100)')} as ranked"),
-    ).select("_group.*", "median", "ranked")
+    ).select("_of.*", "median", "ranked")

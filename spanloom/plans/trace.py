@@ -5,7 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 from spanloom.operators.blocks import BLOCK_ROWS, NO_BLOCKS, Blocks, plan_blocks
 from spanloom.session import cut_lineage, shared_folder
@@ -99,9 +99,9 @@ class AgentTrace:
                 source = self["slices"]
                 if by == "root_capture_id":
                     source = source.join(self["capture_hierarchy"], "capture_id")
-                ends = source.select(
-                    *([by] if by else []), F.expr("inline(array(struct(ts, id), struct(ts + greatest(dur, 0L), id)))")
-                ).toDF(*([by] if by else []), "ts", "id")
+                ends = source.selectExpr(
+                    *([by] if by else []), "inline(array(struct(ts, id), struct(ts + greatest(dur, 0L) as ts, id)))"
+                )
                 self._blocks[by] = plan_blocks(
                     ends, [by] if by else [], ["ts", "id"], rows=2 * self.slice_rows(), block_rows=self.block_rows
                 )
