@@ -16,11 +16,19 @@ Query = Callable[[SparkSession, str], DataFrame]
 _TRACES: dict[tuple[str, str], AgentTrace] = {}
 
 
+def prepared(spark: SparkSession) -> SparkSession:
+    """Session settings; on one machine also as many shuffle partitions as cores,
+    since two hundred tiny state stores or files would only add overhead."""
+    if spark.sparkContext.master.startswith("local") and spark.conf.get("spark.sql.shuffle.partitions") == "200":
+        spark.conf.set("spark.sql.shuffle.partitions", str(spark.sparkContext.defaultParallelism))
+    return configure(spark)
+
+
 def trace(spark: SparkSession, sf_dir: str) -> AgentTrace:
     """The trace of a folder, shared by the queries of one session."""
     key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"))
     if key not in _TRACES:
-        _TRACES[key] = AgentTrace(bind_events(configure(spark), key[1]))
+        _TRACES[key] = AgentTrace(bind_events(prepared(spark), key[1]))
     return _TRACES[key]
 
 
@@ -57,7 +65,7 @@ def _report(build: Callable[[AgentTrace], DataFrame]) -> Query:
 
 
 def _plain(build: Query) -> Query:
-    return lambda spark, sf_dir: shaped(build(configure(spark), sf_dir.rstrip("/")))
+    return lambda spark, sf_dir: shaped(build(prepared(spark), sf_dir.rstrip("/")))
 
 
 def _kind_rules(t: AgentTrace) -> DataFrame:

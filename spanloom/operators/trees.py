@@ -8,14 +8,12 @@ one round per level and is limited to shallow trees.
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, functions as F
 
 from spanloom.session import cut_lineage
 
 #: Doubling rounds between two checkpoints.
-ROUNDS_PER_CUT = 2
+ROUNDS_PER_CUT = 3
 
 
 def nearest_ancestor(
@@ -43,11 +41,11 @@ def nearest_ancestor(
         *[F.when(~F.coalesce(is_stop, F.lit(False)), value).alias(n) for n, (_, value) in carry.items()],
     ).filter(F.col("_ptr").isNotNull())
     state = cut_lineage(base)
-    limit = math.ceil(math.log2(max(2, state.count()))) + 2
-    finished = state.filter("_done")
-    active = state.filter("NOT _done")
-    rounds = 0
-    while rounds < limit and not active.isEmpty():
+    finished, active = state.filter("_done"), state.filter("NOT _done")
+    left, before = active.count(), None
+    # every round resolves the next deeper nodes, so a round that resolves none
+    # has only cycles left
+    while left and left != before:
         for _ in range(ROUNDS_PER_CUT):
             ahead = finished.unionByName(active).select(
                 F.col("_id").alias("_ptr"),
@@ -63,9 +61,9 @@ def nearest_ancestor(
                 *[pick[kind](F.col(n), F.col(f"_next_{n}")).alias(n) for n, (kind, _) in carry.items()],
             )
             finished, active = finished.unionByName(stepped.filter("_done")), stepped.filter("NOT _done")
-            rounds += 1
         state = cut_lineage(finished.unionByName(active))
         finished, active = state.filter("_done"), state.filter("NOT _done")
+        left, before = active.count(), left
     return finished.select(F.col("_id").alias(node), F.col("_ptr").alias("ancestor_id"), *names)
 
 
@@ -74,16 +72,15 @@ def path_totals(
 ) -> DataFrame:
     """Maximum of each value over a node and all its ancestors.
 
-    Returns one row per node: ``node, <totals>``.  Rows on a cycle get the
-    maximum over the cycle.
+    Returns one row per node: ``node, <totals>``.  The walk ends when only rows
+    on or below a cycle are left; those keep what they have met so far.
     """
     names = list(totals)
     state = cut_lineage(
         nodes.select(F.col(node).alias("_id"), F.col(parent).alias("_ptr"), *[v.alias(n) for n, v in totals.items()])
     )
-    limit = math.ceil(math.log2(max(2, state.count()))) + 2
-    rounds = 0
-    while rounds < limit and not state.filter("_ptr IS NOT NULL").isEmpty():
+    left, before = state.filter("_ptr IS NOT NULL").count(), None
+    while left and left != before:
         for _ in range(ROUNDS_PER_CUT):
             ahead = state.select(
                 F.col("_id").alias("_ptr"), F.col("_ptr").alias("_next"), *[F.col(n).alias(f"_next_{n}") for n in names]
@@ -94,8 +91,8 @@ def path_totals(
                     "_id", F.col("_next").alias("_ptr"), *[F.greatest(n, f"_next_{n}").alias(n) for n in names]
                 )
             )
-            rounds += 1
         state = cut_lineage(state)
+        left, before = state.filter("_ptr IS NOT NULL").count(), left
     return state.select(F.col("_id").alias(node), *names)
 
 

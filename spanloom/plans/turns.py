@@ -88,7 +88,7 @@ def native_prompts(t: AgentTrace) -> DataFrame:
     )
 
 
-@view()
+@view(keep=True)
 def turn_flows(t: AgentTrace) -> DataFrame:
     """Distinct flows that touch an operation or a prompt."""
     ids = t["turn_work"].select("id").unionByName(t["turn_prompts"].selectExpr("prompt_id as id")).distinct()
@@ -191,7 +191,7 @@ def turn_owners(t: AgentTrace) -> DataFrame:
     return best.filter("low = high").selectExpr("id", "low as prompt_id")
 
 
-@view()
+@view(keep=True)
 def explicit_requests(t: AgentTrace) -> DataFrame:
     """Provider requests and responses joined by a flow, in either direction."""
     requests = t["turn_work"].filter("kind = 'provider-request'").selectExpr("id as request_slice_id", "capture_id")
