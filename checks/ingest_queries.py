@@ -6,13 +6,20 @@ given tables, row by row, so the work grows with the tables.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from spanloom.functions import text
 from spanloom.operators.blocks import Run, running
+from spanloom.operators.intervals import interval_sweep as sweep
 from spanloom.plans import compare, ingest, items
+from spanloom.plans.activity import CLASSES, work_intervals
+from spanloom.schema import TABLES
+from spanloom.session import shared_folder
 from spanloom.sources import journals
 from spanloom.sources.binding import numbered_events, plain_events
+from spanloom.sources.tables import read_trace_tables as read_trace_tables_, write_trace_tables
 
 QUERIES: dict = {}
 
@@ -495,6 +502,14 @@ def bounded_arguments(spark, sf):
     )
 
 
+@query
+def bounded_argument_values(spark, sf):
+    rows = ev(spark, sf).selectExpr(
+        "id", "to_json(map_from_entries(transform(sequence(1, cast(120 + k % 15 as int)), i -> struct(concat('key', i), k)))) as args"
+    )
+    return rows.select("id", text.bounded_argument_values(F.col("args")).alias("a")).selectExpr("id", "md5(a.args) as args", "a.truncated as truncated")
+
+
 @query
 def parse_exit_status(spark, sf):
     rows = ev(spark, sf, "typ in ('click', 'error')").selectExpr(
@@ -596,6 +611,26 @@ def compare_runs(spark, sf):
     return compare.compare_runs(runs, ["case_name", "variant"], ["cents", "calls"])
 
 
+@query
+def interval_sweep(spark, sf):
+    """Segments of each capture with the concurrency of each class."""
+    t = _trace(spark, sf)
+    return sweep(work_intervals(t), ["capture_id"], CLASSES, blocks=t.blocks("capture_id"))
+
+
+@query
+def read_trace_tables(spark, sf):
+    """Rows of each trace table, written and read back."""
+    path = f"{shared_folder(spark)}/tables-{uuid.uuid4().hex}"
+    write_trace_tables(_trace(spark, sf).tables, path)
+    again = read_trace_tables_(spark, path)
+    out = None
+    for name in TABLES:
+        row = again[name].agg(F.count(F.lit(1)).alias("rows")).select(F.lit(name).alias("name"), "rows")
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
 @query
 def run_breakdown(spark, sf):
     return compare.run_breakdown(_trace(spark, sf))

@@ -252,6 +252,9 @@ FINAL["bounded_arguments"] = """
 SELECT id, CAST(length(args) AS INT) AS bytes,
        array_to_string(list_transform(range(1, 1 + least(12, n)), lambda i: 'key' || i), ',') AS keys, CAST(n > 12 AS INT) AS keys_truncated
 FROM (SELECT id, 1 + k % 15 AS n, '{' || array_to_string(list_transform(range(1, 2 + k % 15), lambda i: '"key' || i || '":' || k), ',') || '}' AS args FROM ev0)"""
+FINAL["bounded_argument_values"] = """
+SELECT id, md5('{' || array_to_string(list_transform(range(1, 1 + least(127, 120 + k % 15)), lambda i: '"key' || i || '":' || k), ',') || '}') AS args,
+       CAST(120 + k % 15 > 127 AS INT) AS truncated FROM ev0"""
 FINAL["parse_exit_status"] = """
 SELECT id, CASE WHEN k % 3 <> 0 AND k % 4 <> 0 THEN k % 5 - 1 END AS exit_code,
        CASE WHEN k % 11 = 0 THEN 1 WHEN k % 3 <> 0 AND k % 4 <> 0 THEN CAST(k % 5 <> 1 AS INT) END AS is_error FROM ev0 WHERE typ IN ('click', 'error')"""
@@ -425,3 +428,11 @@ UNION ALL
 SELECT 's' || s.u, s.id, o.item, o.category, o.tokens, 'removed', -o.tokens
 FROM sample_steps s JOIN two_items o ON o.u = s.u AND o.id = before LEFT JOIN two_items n ON n.u = s.u AND n.id = s.id AND n.item = o.item
 WHERE NOT base AND n.item IS NULL"""
+
+FINAL["interval_sweep"] = "SELECT * FROM seg_capture"
+FINAL["read_trace_tables"] = """
+SELECT 'slice' AS name, count(*) AS rows FROM slices UNION ALL SELECT 'track', 12 * count(*) FROM sess
+UNION ALL SELECT n, count(*) FROM sess, (VALUES ('process_track'), ('thread_track'), ('thread')) t(n) GROUP BY n
+UNION ALL SELECT 'process_counter_track', 0 UNION ALL SELECT 'process', count(DISTINCT u // 2) FROM sess
+UNION ALL SELECT 'counter_track', 7 * count(*) FROM sess UNION ALL SELECT 'counter', count(*) FROM samples
+UNION ALL SELECT 'flow', count(*) FROM flows UNION ALL SELECT 'stats', count(*) FROM events WHERE event_type = 'error'"""
