@@ -226,5 +226,6 @@ def running(
             result[name] = F.when(F.col(edge), F.col(car)["v"]).otherwise(F.col(own))
     carries = rows.groupBy(*keys, BLOCK).agg(*summary).withColumns(carry)
     carries = carries.select(*keys, BLOCK, *carry)
-    joined = rows.withColumns(within).join(carries, [*keys, BLOCK], "inner")
+    # rows with a null key share block 0, have no carry, and must not be lost
+    joined = rows.withColumns(within).join(carries, [*keys, BLOCK], "left")
     return joined.select(*[F.col(c) for c in df.columns], *[e.alias(n) for n, e in result.items()])

@@ -37,6 +37,8 @@ def local_session(app: str = "spanloom", cores: int | str = "*", shuffle_partiti
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "12g")
+        # small data: spread it over the cores all the same
+        .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "64k")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
     )
     for key, value in SETTINGS.items():

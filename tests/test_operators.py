@@ -44,6 +44,12 @@ def test_blocks_without_key_and_bounded_cuts(skewed):
     assert rows(running(skewed, [], ["ts", "id"], runs(), blocks)) == rows(running(skewed, [], ["ts", "id"], runs(), NO_BLOCKS))
 
 
+def test_rows_with_a_null_key_stay(skewed):
+    df = skewed.withColumn("k", F.when(F.col("k") > 4, F.col("k")))
+    blocks = plan_blocks(df, ["k"], ["ts", "id"], block_rows=20)
+    assert rows(running(df, ["k"], ["ts", "id"], runs(), blocks)) == rows(running(df, ["k"], ["ts", "id"], runs(), NO_BLOCKS))
+
+
 def test_small_input_is_not_cut(skewed):
     assert not plan_blocks(skewed, ["k"], ["ts"]).split
 
