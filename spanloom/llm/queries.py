@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from spanloom.llm import packing, pieces, secrets, warc
+from spanloom.llm import ngram_join, packing, pieces, secrets, warc
 from spanloom.llm.common import table
 
 
@@ -19,6 +19,10 @@ def op4_piece_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode_texts(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), with_ids=False)
 
 
+def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.join(table(spark, sf_dir, "documents"))
+
+
 def op7_sum_of_squares_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return packing.pack(packing.token_pieces(docs, public_tokenizers.path("word_bpe_49k.json"), with_ids=False))
@@ -30,5 +34,5 @@ def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_warc_packages, op4_piece_encoding, op7_sum_of_squares_packing, op8_secret_scan)
+    f.__name__: f for f in (op1_warc_packages, op4_piece_encoding, op6_ngram_jaccard_join, op7_sum_of_squares_packing, op8_secret_scan)
 }
