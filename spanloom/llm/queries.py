@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from spanloom.llm import ngram_join, packing, pieces, secrets, warc
+from spanloom.llm import language, ngram_join, packing, pieces, quality, secrets, warc
 from spanloom.llm.common import table
 
 
@@ -19,6 +19,11 @@ def op4_piece_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode_texts(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), with_ids=False)
 
 
+def op5_language_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return language.identify(docs, language.learn(docs))
+
+
 def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.join(table(spark, sf_dir, "documents"))
 
@@ -33,6 +38,10 @@ def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans")
 
 
+def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_warc_packages, op4_piece_encoding, op6_ngram_jaccard_join, op7_sum_of_squares_packing, op8_secret_scan)
+    f.__name__: f for f in (op1_warc_packages, op4_piece_encoding, op5_language_codes, op6_ngram_jaccard_join, op7_sum_of_squares_packing, op8_secret_scan, op9_quality_rules)
 }
