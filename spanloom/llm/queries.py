@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from spanloom.llm import language, ngram_join, packing, pieces, quality, secrets, warc
+from spanloom.llm import collision_search, language, multi_index, ngram_join, packing, pieces, quality, secrets, warc
 from spanloom.llm.common import table
 
 
@@ -15,6 +15,15 @@ def op1_warc_packages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages"))
 
 
+def op2_collision_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return collision_search.search(vectors, vectors.filter("vec_id % 50 = 0"))
+
+
+def op3_multi_index_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return multi_index.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op4_piece_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode_texts(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), with_ids=False)
 
@@ -43,5 +52,5 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_warc_packages, op4_piece_encoding, op5_language_codes, op6_ngram_jaccard_join, op7_sum_of_squares_packing, op8_secret_scan, op9_quality_rules)
+    f.__name__: f for f in (op1_warc_packages, op2_collision_neighbours, op3_multi_index_duplicates, op4_piece_encoding, op5_language_codes, op6_ngram_jaccard_join, op7_sum_of_squares_packing, op8_secret_scan, op9_quality_rules)
 }
