@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from spanloom.llm import collision_search, language, multi_index, ngram_join, packing, pieces, quality, secrets, warc
+from spanloom.llm import collision_search, html_main_text, language, multi_index, ngram_join, packing, pieces, quality, secrets, warc
 from spanloom.llm.common import table
 
 
@@ -51,6 +51,10 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op10_block_labeller(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_main_text.extract(table(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_warc_packages, op2_collision_neighbours, op3_multi_index_duplicates, op4_piece_encoding, op5_language_codes, op6_ngram_jaccard_join, op7_sum_of_squares_packing, op8_secret_scan, op9_quality_rules)
+    f.__name__: f for f in (op1_warc_packages, op2_collision_neighbours, op3_multi_index_duplicates, op4_piece_encoding, op5_language_codes, op6_ngram_jaccard_join, op7_sum_of_squares_packing, op8_secret_scan, op9_quality_rules, op10_block_labeller)
 }
