@@ -11,6 +11,8 @@ the number of bins is close to the total length over the capacity at any size.
 from __future__ import annotations
 
 import math
+import os
+import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -26,35 +28,61 @@ from spanloom.llm.common import kept
 _SEPARATORS = ("\x1c", "\x1d", "\x1e", "\x1f")
 
 
+#: Latin letters and then marks: such a word is two pieces at most and needs no normal form but lower case.
+_PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)\Z")
+
+
+def byte_characters() -> list[str]:
+    """The character that stands for each byte in byte-level vocabularies: printable ones for themselves, the rest from 256 on."""
+    printable = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    others = iter(range(256, 512))
+    return [chr(b) if b in printable else chr(next(others)) for b in range(256)]
+
+
 class WordIds:
-    """Ids of whole texts, memoised by word: the tokenizer never merges across white space."""
+    """Ids of whole texts, memoised by word: the tokenizer never merges across white space.
 
-    def __init__(self, path: str, limit: int = 500_000):
+    Plain words go to the tokenizer's model directly, all others through the
+    whole tokenizer; the ids are the same.  A full memo is emptied.
+    """
+
+    def __init__(self, path: str, limit: int = 600_000):
         self.tokenizer, self.limit, self.memo = Tokenizer.from_file(path), limit, {}
+        self.model = self.tokenizer.model
+        self.bytes = {chr(b): c for b, c in enumerate(byte_characters())}
+
+    def _plain(self, letters: str, marks: str) -> bytes:
+        letters = letters.lower()
+        if not letters.isascii():
+            letters = "".join([self.bytes[c] for c in letters.encode("utf-8").decode("latin-1")])
+        ids = [t.id for t in self.model.tokenize(letters)]
+        if marks:
+            ids += [t.id for t in self.model.tokenize(marks)]
+        return struct.pack(f"<{len(ids)}I", *ids)
 
     def _raw(self, text: str) -> bytes:
         ids = self.tokenizer.encode(text, add_special_tokens=False).ids
         return struct.pack(f"<{len(ids)}I", *ids)
 
     def __call__(self, texts: list[str]) -> list[bytes]:
-        """Little-endian unsigned 32-bit ids of each text."""
-        memo, split = self.memo, [None if any(c in t for c in _SEPARATORS) else t.split() for t in texts]
+        """Little-endian unsigned 32-bit ids of each text; new words are encoded in small batches."""
+        memo = self.memo
+        split = [None if any(c in t for c in _SEPARATORS) else t.split() for t in texts]
         if len(memo) > self.limit:
             memo.clear()
-        out = []
-        for text, words in zip(texts, split, strict=True):
-            if words is None:
-                out.append(self._raw(text))
-                continue
-            new = [w for w in set(words) if w not in memo]
-            if new:
-                for w, e in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False), strict=True):
-                    ids = e.ids
-                    memo[w] = struct.pack(f"<{len(ids)}I", *ids)
-            out.append(b"".join([memo[w] for w in words]))
-            if len(memo) > self.limit:
-                memo.clear()
-        return out
+        new = []
+        for w in set().union(*(w for w in split if w is not None)).difference(memo):
+            plain = _PLAIN.match(w)
+            if plain:
+                memo[w] = self._plain(plain[1], plain[2])
+            else:
+                new.append(w)
+        for k in range(0, len(new), 4000):
+            part = new[k : k + 4000]
+            for w, e in zip(part, self.tokenizer.encode_batch(part, add_special_tokens=False), strict=True):
+                ids = e.ids
+                memo[w] = struct.pack(f"<{len(ids)}I", *ids)
+        return [self._raw(text) if words is None else b"".join([memo[w] for w in words]) for text, words in zip(texts, split, strict=True)]
 
 
 _WORDS: dict[str, WordIds] = {}
@@ -68,17 +96,19 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 4096, end
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         words = _WORDS.setdefault(tokenizer_path, None) or WordIds(tokenizer_path)
         _WORDS[tokenizer_path] = words
         end = struct.pack("<I", end_id)
         for pdf in batches:
-            rows = []
-            for ident, raw in zip(pdf["id"], words([t or "" for t in pdf["text"]]), strict=True):
-                raw += end
-                for k in range(0, len(raw), 4 * capacity):
-                    part = raw[k : k + 4 * capacity]
-                    rows.append((ident, k // (4 * capacity), k // 4, len(part) // 4, zlib.crc32(part), part))
-            yield pd.DataFrame(rows, columns=["id", "piece", "start", "length", "ids_crc32", "ids"])[columns]
+            for at in range(0, len(pdf), 256):
+                some, rows = pdf.iloc[at : at + 256], []
+                for ident, raw in zip(some["id"], words([t or "" for t in some["text"]]), strict=True):
+                    raw += end
+                    for k in range(0, len(raw), 4 * capacity):
+                        part = raw[k : k + 4 * capacity]
+                        rows.append((ident, k // (4 * capacity), k // 4, len(part) // 4, zlib.crc32(part), part if with_ids else None))
+                yield pd.DataFrame(rows, columns=["id", "piece", "start", "length", "ids_crc32", "ids"])[columns]
 
     columns = ["id", "piece", "start", "length", "ids_crc32"] + (["ids"] if with_ids else [])
     kind = docs.schema[id_col].dataType.simpleString()
