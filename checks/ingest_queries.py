@@ -502,14 +502,6 @@ def bounded_arguments(spark, sf):
     )
 
 
-@query
-def bounded_argument_values(spark, sf):
-    rows = ev(spark, sf).selectExpr(
-        "id", "to_json(map_from_entries(transform(sequence(1, cast(120 + k % 15 as int)), i -> struct(concat('key', i), k)))) as args"
-    )
-    return rows.select("id", text.bounded_argument_values(F.col("args")).alias("a")).selectExpr("id", "md5(a.args) as args", "a.truncated as truncated")
-
-
 @query
 def parse_exit_status(spark, sf):
     rows = ev(spark, sf, "typ in ('click', 'error')").selectExpr(

@@ -162,12 +162,13 @@ SELECT s.id, s.capture_id, s.session, s.ts, s.dur, s.name, s.category, s.kind, s
             WHEN p.id IS NOT NULL THEN '{"pre":"' || p.k || '"}' END AS arguments
 FROM slices s LEFT JOIN preflights f ON f.capture_id = s.capture_id AND f.call_id = s.call_id LEFT JOIN slices p ON p.id = f.id
 WHERE s.kind IN ('tool-execution', 'script', 'model-call')"""
-CTES["nested"] = """
+CTES["nested_paths"] = """
 SELECT p.id AS script_id, c.id, 1 AS depth FROM calls p JOIN calls c
   ON c.capture_id = p.capture_id AND c.parent_call_id = p.call_id WHERE p.kind = 'script' AND c.id <> p.id
 UNION ALL
-SELECT n.script_id, c.id, n.depth + 1 FROM nested n JOIN calls p ON p.id = n.id
-  JOIN calls c ON c.capture_id = p.capture_id AND c.parent_call_id = p.call_id WHERE c.id <> p.id AND n.depth < 32"""
+SELECT n.script_id, c.id, n.depth + 1 FROM nested_paths n JOIN calls p ON p.id = n.id
+  JOIN calls c ON c.capture_id = p.capture_id AND c.parent_call_id = p.call_id WHERE c.id <> p.id AND c.id <> n.script_id"""
+CTES["nested"] = "SELECT script_id, id, min(depth) AS depth FROM nested_paths GROUP BY ALL"
 CTES["flows"] = """
 SELECT id AS slice_out, next_id AS slice_in FROM ev WHERE k % 7 < 2 AND next_id IS NOT NULL
 UNION ALL
@@ -569,7 +570,7 @@ SELECT o.id, m.prompt_id, m.start_ts, m.attribution_end_ts,
        max(m.start_ts) OVER (PARTITION BY o.id) AS s1, min(m.attribution_end_ts) OVER (PARTITION BY o.id) AS e1
 FROM ops o ASOF JOIN clusters c ON c.capture_id = o.capture_id AND o.start_ts >= c.start_ts
 JOIN members m ON m.capture_id = c.capture_id AND m.cluster_id = c.cluster_id
-WHERE c.prompts <= 64 AND o.start_ts >= m.start_ts
+WHERE o.start_ts >= m.start_ts
   AND (o.start_ts < m.attribution_end_ts OR (m.attribution_end_ts = m.start_ts AND o.start_ts = m.start_ts))"""
 CTES["owner_candidates"] = """
 SELECT o.id, p.prompt_id, 0 AS tier FROM ops o JOIN natives p USING (capture_id, native_turn_id)

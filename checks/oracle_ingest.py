@@ -159,7 +159,7 @@ SELECT u AS seed, u AS node FROM bounds_u
 UNION
 SELECT r.seed, l.child FROM reach r JOIN child_links l ON l.parent = r.node WHERE r.node % 7 <> 6 AND r.node IN (SELECT u FROM bounds_u)"""
 FINAL["reachable_sessions"] = """
-SELECT seed, least(f, 128) AS sessions, m + greatest(0, f - 128) AS missing FROM (
+SELECT seed, f AS sessions, m AS missing FROM (
   SELECT seed, count(*) FILTER (WHERE node % 7 <> 6 AND node IN (SELECT u FROM bounds_u)) AS f,
          count(*) FILTER (WHERE NOT (node % 7 <> 6 AND node IN (SELECT u FROM bounds_u))) AS m FROM reach GROUP BY seed)"""
 FINAL["link_delegations"] = f"""
@@ -169,7 +169,7 @@ _FLOW = " || ".join(f"substr(d, {2 * i + 1}, 2)" for i in range(7, -1, -1))
 FINAL["delegation_flow_id"] = f"""
 SELECT u, uuid AS session, {_FLOW} AS flow_id FROM (SELECT u, uuid, sha256('pi.delegation.first-prompt:' || uuid) AS d FROM uuids)"""
 FINAL["extract_child_session"] = """
-SELECT id, CASE WHEN k % 3 <> 0 AND k * 20 * 6 + 36 <= 8192 THEN uuid END AS child_session FROM ev0 JOIN uuids USING (u) WHERE typ = 'click'"""
+SELECT id, CASE WHEN k % 3 <> 0 THEN uuid END AS child_session FROM ev0 JOIN uuids USING (u) WHERE typ = 'click'"""
 FINAL["lifecycle_snapshots_to_spans"] = """
 SELECT u AS script, id AS call_id, 'models.classify' AS name, ns AS start_ts, CASE WHEN k % 3 <> 0 THEN ns + 100 + cents ELSE last_ns + 1000000 END AS end_ts,
        CASE WHEN k % 3 = 0 THEN 'interrupted' WHEN k % 2 = 0 THEN 'ok' ELSE 'error' END AS status,
@@ -239,7 +239,7 @@ SELECT doc_id, array_to_string(list_filter([
   CASE WHEN len(list_filter(regexp_extract_all(text, '{_HOME}', 1), lambda h: h NOT IN ('example', 'user', 'runner'))) > 0 THEN 'personal home directory' END
 ], lambda x: x IS NOT NULL), ',') AS findings FROM documents"""
 FINAL["bounded_prompt_text"] = """
-SELECT doc_id, CAST(length(text) AS INT) AS length, md5(substr(text, 1, 65536)) AS kept, CAST(length(text) > 65536 AS INT) AS truncated FROM documents"""
+SELECT doc_id, CAST(length(text) AS INT) AS length, md5(text) AS kept, 0 AS truncated FROM documents"""
 FINAL["script_line_count"] = r"""
 SELECT doc_id, CAST(CASE WHEN t = '' THEN 0 ELSE length(t) - length(replace(t, chr(10), '')) + CASE WHEN t LIKE '%' || chr(10) THEN 0 ELSE 1 END END AS INT) AS lines
 FROM (SELECT doc_id, replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10)) AS t FROM documents)"""
@@ -250,11 +250,8 @@ SELECT id, 'duration_ms,event.name,input_tokens,prompt_length,session.id' AS att
        'duration_ms,event.name,free,input_tokens,prompt_length,session.id' AS fields FROM ev0"""
 FINAL["bounded_arguments"] = """
 SELECT id, CAST(length(args) AS INT) AS bytes,
-       array_to_string(list_transform(range(1, 1 + least(12, n)), lambda i: 'key' || i), ',') AS keys, CAST(n > 12 AS INT) AS keys_truncated
+       array_to_string(list_transform(range(1, 1 + n), lambda i: 'key' || i), ',') AS keys, 0 AS keys_truncated
 FROM (SELECT id, 1 + k % 15 AS n, '{' || array_to_string(list_transform(range(1, 2 + k % 15), lambda i: '"key' || i || '":' || k), ',') || '}' AS args FROM ev0)"""
-FINAL["bounded_argument_values"] = """
-SELECT id, md5('{' || array_to_string(list_transform(range(1, 1 + least(127, 120 + k % 15)), lambda i: '"key' || i || '":' || k), ',') || '}') AS args,
-       CAST(120 + k % 15 > 127 AS INT) AS truncated FROM ev0"""
 FINAL["parse_exit_status"] = """
 SELECT id, CASE WHEN k % 3 <> 0 AND k % 4 <> 0 THEN k % 5 - 1 END AS exit_code,
        CASE WHEN k % 11 = 0 THEN 1 WHEN k % 3 <> 0 AND k % 4 <> 0 THEN CAST(k % 5 <> 1 AS INT) END AS is_error FROM ev0 WHERE typ IN ('click', 'error')"""
@@ -296,7 +293,7 @@ CTES["set_changes"] = _diff("{0}.sample % 4 = 0")
 CTES["raw_changes"] = _diff("{0}.sample = 0")
 FINAL["context_diff"] = "SELECT * FROM set_changes"
 FINAL["retained_changes"] = """
-SELECT *, row_number() OVER (PARTITION BY scope, sample ORDER BY abs(delta_tokens) DESC, item_id, change) AS position FROM set_changes QUALIFY position <= 64"""
+SELECT *, row_number() OVER (PARTITION BY scope, sample ORDER BY abs(delta_tokens) DESC, item_id, change) AS position FROM set_changes"""
 FINAL["snapshot_totals"] = f"""
 SELECT conv_id AS scope, sample, {S("tokens")} AS estimated_tokens, coalesce(any_value(n), 0) AS changes, CAST(0 AS BIGINT) AS omitted_changes
 FROM held LEFT JOIN (SELECT scope AS conv_id, sample, count(*) AS n FROM set_changes GROUP BY ALL) USING (conv_id, sample) GROUP BY conv_id, sample"""
@@ -401,6 +398,10 @@ SELECT 'session-' || u AS session, {S("i")} AS input_tokens, {S("o")} AS output_
 FINAL["stream_capture_health"] = f"SELECT u AS recording, {C('k % 4 <> 0')} AS rows, {C('k % 4 = 0')} AS corrupt FROM ev0 GROUP BY u"
 # rows leave the state once the watermark (ten minutes, or an hour, behind the newest event) has passed them
 CTES["newest"] = "SELECT max(ns) // 1000 AS us FROM ev0"
+FINAL["stream_pair_begin_end"] = """
+SELECT 's' || u AS scope, typ AS event, id, ns // 1000 AS start_us,
+       ns // 1000 + CASE WHEN ended THEN cents ELSE 3600000000 END AS end_us, CAST(NOT ended AS INT) AS incomplete
+FROM (SELECT *, coalesce(k % 4 <> 0 AND cents BETWEEN 0 AND 3600000000, false) AS ended FROM ev0)"""
 FINAL["stream_activity_bins"] = """
 SELECT * FROM (SELECT ns // 1000 // 3600000000 * 3600000000 AS start_us, typ AS kind, count(*) AS events FROM ev0 GROUP BY 1, 2)
 WHERE start_us + 3600000000 <= (SELECT us FROM newest) - 600000000"""

@@ -18,9 +18,9 @@ def query(build):
     return build
 
 
-def events(spark: SparkSession, sf: str) -> DataFrame:
-    schema = spark.read.parquet(f"{sf}/events.parquet").schema
-    raw = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf)
+def events(spark: SparkSession, sf: str, streaming: bool = True) -> DataFrame:
+    table = spark.read.parquet(f"{sf}/events.parquet")
+    raw = table if not streaming else spark.readStream.schema(table.schema).option("pathGlobFilter", "events.parquet").parquet(sf)
     return raw.selectExpr(
         "event_id as id", "user_id as u", "event_type as typ", "cast(get_json_object(props, '$.k') as bigint) as k",
         "cast(round(value * 100) as bigint) as cents", "cast(ts as timestamp) as at",
@@ -59,12 +59,15 @@ def stream_capture_health(spark, sf):
 
 @query
 def stream_pair_begin_end(spark, sf):
-    rows = events(spark, sf).selectExpr(
-        "concat('s', u) as scope", "typ as event", "id",
-        """inline(array_compact(array(named_struct('phase', 'begin', 'at', at),
-             if(k % 4 != 0, named_struct('phase', 'end', 'at', timestampadd(MICROSECOND, cents, at)), null))))""",
-    )
-    return run(live.stream_pair_begin_end(rows)).selectExpr("scope", "event", "id", "unix_micros(start_at) as start_us", "unix_micros(end_at) as end_us", "incomplete")
+    def steps(rows: DataFrame) -> DataFrame:
+        return rows.selectExpr(
+            "concat('s', u) as scope", "typ as event", "id",
+            """inline(array_compact(array(named_struct('phase', 'begin', 'at', at),
+                 if(k % 4 != 0, named_struct('phase', 'end', 'at', timestampadd(MICROSECOND, cents, at)), null))))""",
+        )
+
+    found = run(live.stream_pair_begin_end(steps(events(spark, sf))))
+    return live.with_open_operations(found, steps(events(spark, sf, streaming=False))).selectExpr("scope", "event", "id", "unix_micros(start_at) as start_us", "unix_micros(end_at) as end_us", "incomplete")
 
 
 @query

@@ -126,28 +126,3 @@ def expand_edges(edges: DataFrame, seeds: DataFrame, *, max_depth: int | None =
             break
         reached = reached.unionByName(frontier)
     return reached
-
-
-def expand_paths(edges: DataFrame, seeds: DataFrame, *, max_depth: int) -> DataFrame:
-    """One row per *path* of length 1 to ``max_depth``: ``seed, id, depth``.
-
-    Unlike :func:`expand_edges` a node reached over two paths appears twice;
-    ``max_depth`` ends cycles.
-    """
-    edges = cut_lineage(edges.select("parent_id", "id"))
-    frontier = seeds.select("seed", F.col("seed").alias("id"))
-    out: DataFrame | None = None
-    for depth in range(1, max_depth + 1):
-        step = (
-            frontier.withColumnRenamed("id", "parent_id")
-            .join(edges, "parent_id")
-            .select("seed", "id", F.lit(depth).alias("depth"))
-        )
-        frontier = cut_lineage(step)
-        if frontier.isEmpty():
-            break
-        out = frontier if out is None else out.unionByName(frontier)
-        frontier = frontier.select("seed", "id")
-    if out is None:
-        return seeds.select("seed", F.col("seed").alias("id"), F.lit(0).alias("depth")).limit(0)
-    return out

@@ -285,21 +285,20 @@ def route_telemetry(spans: DataFrame, captures: DataFrame) -> DataFrame:
     )
 
 
-def reachable_sessions(links: DataFrame, roots: DataFrame, readable: DataFrame, *, limit: int = 128) -> DataFrame:
+def reachable_sessions(links: DataFrame, roots: DataFrame, readable: DataFrame, *, limit: int | None = None) -> DataFrame:
     """Sessions reached from each root over recorded child links.
 
     ``links``: ``parent, child``; ``roots``: ``session``; ``readable``:
-    ``session``.  A root holds at most ``limit`` sessions, nearest first; the
-    rest, and unreadable ones, count as missing: ``seed, sessions, missing``.
+    ``session``.  Unreadable sessions count as missing, and with a ``limit``
+    those beyond it too: ``seed, sessions, missing``.
     """
     known = readable.select(F.col("session").alias("id")).distinct()
     # an unreadable session has no links of its own
     edges = links.selectExpr("parent as parent_id", "child as id").join(known.withColumnRenamed("id", "parent_id"), "parent_id", "left_semi")
     reached = expand_edges(edges, roots.selectExpr("session as seed")).join(known.withColumn("ok", F.lit(True)), "id", "left")
     counted = reached.groupBy("seed").agg(F.expr("count_if(ok) as found"), F.expr("count_if(ok is null) as unread"))
-    return counted.selectExpr(
-        "seed", f"least(found, {limit}L) as sessions", f"unread + greatest(0L, found - {limit}L) as missing"
-    )
+    held = "found" if limit is None else f"least(found, {limit}L)"
+    return counted.selectExpr("seed", f"{held} as sessions", f"unread + found - {held} as missing")
 
 
 def link_delegations(launches: DataFrame, children: DataFrame, inputs: DataFrame) -> DataFrame:

@@ -11,9 +11,6 @@ from pyspark.sql import DataFrame, functions as F
 from spanloom.functions.text import estimate_tokens
 from spanloom.operators.blocks import Blocks, Run, running
 
-#: Item changes kept per snapshot, largest first.
-MAX_CHANGES = 64
-
 # fixed values: role or instruction name to category, first match wins
 ROLE_CATEGORIES = (
     (r"^system$", "system"),
@@ -117,21 +114,22 @@ def context_diff(items: DataFrame, samples: DataFrame, *, blocks: Blocks | None
     return entered.unionByName(left)
 
 
-def retained_changes(changes: DataFrame, *, blocks: Blocks | None = None) -> DataFrame:
-    """The largest changes of each snapshot that a recording keeps, in order
-    (``position``); the rest is only counted by :func:`snapshot_totals`."""
+def retained_changes(changes: DataFrame, *, limit: int | None = None, blocks: Blocks | None = None) -> DataFrame:
+    """Changes of each snapshot, largest first (``position``).  With a ``limit``
+    the rest is only counted by :func:`snapshot_totals`."""
     ordered = changes.withColumn("_size", -F.abs("delta_tokens"))
     ranked = running(ordered, ["scope", "sample"], ["_size", "item_id", "change"], {"position": Run("row_number")}, blocks)
-    return ranked.filter(F.col("position") <= MAX_CHANGES).drop("_size")
+    return (ranked if limit is None else ranked.filter(F.col("position") <= limit)).drop("_size")
 
 
-def snapshot_totals(items: DataFrame, changes: DataFrame) -> DataFrame:
+def snapshot_totals(items: DataFrame, changes: DataFrame, *, limit: int | None = None) -> DataFrame:
     """Per sample: estimate, and how many changes were kept and left out."""
     totals = items.groupBy("scope", "sample").agg(F.sum("tokens").alias("estimated_tokens"))
     counts = changes.groupBy("scope", "sample").agg(F.count(F.lit(1)).alias("n"))
+    n = "coalesce(n, 0L)"
+    kept = n if limit is None else f"least({n}, {limit}L)"
     return totals.join(counts, ["scope", "sample"], "full").selectExpr(
-        "scope", "sample", "estimated_tokens", f"least(coalesce(n, 0L), {MAX_CHANGES}L) as changes",
-        f"greatest(coalesce(n, 0L) - {MAX_CHANGES}L, 0L) as omitted_changes",
+        "scope", "sample", "estimated_tokens", f"{kept} as changes", f"{n} - {kept} as omitted_changes"
     )
 
 

@@ -10,8 +10,6 @@ from spanloom.operators.trees import expand_edges, roots
 from spanloom.plans.models import RATED
 from spanloom.plans.trace import AgentTrace, view
 
-#: Length of prompt excerpts in tables.
-EXCERPT = 2048
 
 
 @view(keep=True)
@@ -153,12 +151,12 @@ def child_launches(t: AgentTrace) -> DataFrame:
 
 
 def _first_prompts(t: AgentTrace) -> DataFrame:
-    """First prompt with text of each capture, with an excerpt."""
+    """First prompt with text of each capture, with its whole text."""
     rows = t["slices"].filter("name = 'prompt' and trim(coalesce(attrs.text, '')) != ''")
-    # only the excerpt travels through the aggregation
-    return rows.groupBy("capture_id").agg(
-        F.expr(f"min(struct(ts, id, substring(attrs.text, 1, {EXCERPT}) as prompt_text)) as p")
-    ).selectExpr("capture_id", "p.id as prompt_id", "p.prompt_text as prompt_text")
+    # the choice is made on narrow rows; only the chosen prompts' texts are read
+    first = rows.groupBy("capture_id").agg(F.expr("min(struct(ts, id)).id as prompt_id"))
+    text = t.tables["slice"].selectExpr("id as prompt_id", "attrs.text as prompt_text")
+    return first.join(text, "prompt_id").select("capture_id", "prompt_id", "prompt_text")
 
 
 def _identities(rows: DataFrame, key: str) -> DataFrame:

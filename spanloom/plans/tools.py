@@ -4,11 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from spanloom.operators.trees import expand_paths
+from spanloom.operators.trees import expand_edges
 from spanloom.plans.trace import AgentTrace, view
 
-#: Nested calls are followed this deep.
-MAX_SCRIPT_DEPTH = 32
 
 _DONE = "not incomplete and dur >= 0"
 
@@ -65,13 +63,14 @@ def tool_call_details(t: AgentTrace) -> DataFrame:
 
 @view(keep=True)
 def script_children(t: AgentTrace) -> DataFrame:
-    """Calls reached from each script over parent call ids of the same capture."""
+    """Calls reached from each script over parent call ids of the same capture,
+    each once, with its shortest depth; a cycle ends where it began."""
     calls = t["tool_calls"]
     parents = calls.filter("call_id is not null").selectExpr("capture_id", "call_id", "id as parent_id", "kind as parent_kind")
     children = calls.filter("parent_call_id is not null").selectExpr("capture_id", "parent_call_id as call_id", "id")
     edges = parents.join(children, ["capture_id", "call_id"]).filter("id != parent_id")
     scripts = calls.filter("kind = 'script'").selectExpr("id as seed")
-    return expand_paths(edges, scripts, max_depth=MAX_SCRIPT_DEPTH).selectExpr("seed as script_id", "id", "depth")
+    return expand_edges(edges, scripts).filter("depth > 0").selectExpr("seed as script_id", "id", "depth")
 
 
 @view()

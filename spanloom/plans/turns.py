@@ -7,11 +7,8 @@ from pyspark.sql import DataFrame, functions as F
 from spanloom.operators.blocks import Run, running
 from spanloom.operators.intervals import asof_last, count_overlaps, interval_sweep, islands
 from spanloom.operators.trees import nearest_ancestor
-from spanloom.plans.sessions import EXCERPT
 from spanloom.plans.trace import AgentTrace, view
 
-#: Groups of overlapping prompts larger than this give no owner by containment.
-MAX_CLUSTER_PROMPTS = 64
 #: Strength of the evidence for an owner, best first.
 TIER_NATIVE, TIER_FLOW, TIER_FLOW_TWO, TIER_ANCESTRY, TIER_CONTAINMENT = 0, 10, 20, 100, 1000
 
@@ -130,27 +127,32 @@ def _containment(t: AgentTrace) -> DataFrame:
     """The innermost prompt around the start of each operation: it must both
     start last and end first among the prompts that contain the point.
 
-    The as-of scan hands each operation the group of prompts it can fall into
-    (at most 64), and the choice is made on that array: no range join, no pairs.
+    Which prompt that is changes only where a prompt of the group of overlapping
+    prompts starts or ends.  It is found once for each such edge, at the edge
+    (where prompts without extent count too) and for the stretch after it; an
+    as-of scan then hands operations the choice of their edge.  Operations never
+    carry the members of a group, and a group of any size has owners.
     """
-    groups = t["prompt_cluster_members"].join(
-        t["prompt_clusters"].selectExpr("capture_id", "cluster_id", "start_ts as cluster_ts", "prompts"),
-        ["capture_id", "cluster_id"],
+    member = F.struct("prompt_id", F.col("start_ts").alias("s"), F.col("attribution_end_ts").alias("e"))
+    groups = t["prompt_cluster_members"].groupBy("capture_id", "cluster_id").agg(F.collect_list(member).alias("members"))
+    edges = groups.select(
+        "capture_id", "members", F.explode(F.array_distinct(F.concat(F.col("members.s"), F.col("members.e")))).alias("edge_ts")
+    )
+    wide = "filter(members, p -> p.s <= edge_ts and edge_ts < p.e)"
+    here = "filter(members, p -> edge_ts >= p.s and (edge_ts < p.e or (p.e = p.s and edge_ts = p.s)))"
+    inner = "transform(filter({0}, p -> p.s = array_max({0}.s) and p.e = array_min({0}.e)), p -> p.prompt_id)"
+    found = edges.selectExpr("capture_id", "edge_ts", f"{wide} as after", f"{here} as at")
+    # groups share an edge where one ends and the next begins: the choice of the next holds
+    choices = found.selectExpr("capture_id", "edge_ts", f"{inner.format('at')} as at", f"{inner.format('after')} as after")
+    choices = choices.groupBy("capture_id", "edge_ts").agg(
+        F.flatten(F.collect_list("at")).alias("at"), F.flatten(F.collect_list("after")).alias("after")
     )
-    # groups above the bound keep a row without prompts, so they still shadow earlier ones
-    small = f"if(prompts <= {MAX_CLUSTER_PROMPTS}, struct(prompt_id, start_ts as s, attribution_end_ts as e), null)"
-    clusters = groups.groupBy("capture_id", "cluster_id", "cluster_ts").agg(F.expr(f"collect_list({small}) as members"))
     work = t["turn_work"].select("id", "capture_id", "start_ts")
     placed = asof_last(
-        work, clusters, ["capture_id"], left_ts="start_ts", right_ts="cluster_ts", right_tie="cluster_id",
-        value=F.col("members"), out="members", blocks=t.blocks("capture_id"),
-    )
-    around = "filter(members, p -> start_ts >= p.s and (start_ts < p.e or (p.e = p.s and start_ts = p.s)))"
-    hits = placed.select("id", "start_ts", F.expr(f"{around} as hits")).filter("size(hits) > 0")
-    inner = hits.selectExpr("id", "hits", "array_max(hits.s) as last_s", "array_min(hits.e) as first_e")
-    return inner.selectExpr("id", "explode(filter(hits, p -> p.s = last_s and p.e = first_e)) as p").selectExpr(
-        "id", "p.prompt_id as prompt_id"
+        work, choices, ["capture_id"], left_ts="start_ts", right_ts="edge_ts", right_tie="edge_ts",
+        value=F.struct("edge_ts", "at", "after"), out="edge", blocks=t.blocks("capture_id"),
     )
+    return placed.selectExpr("id", "explode(if(start_ts = edge.edge_ts, edge.at, edge.after)) as prompt_id")
 
 
 @view()
@@ -315,8 +317,8 @@ def turns(t: AgentTrace) -> DataFrame:
 
 @view()
 def turns_with_prompts(t: AgentTrace) -> DataFrame:
-    """Turns with a bounded excerpt of their prompt."""
-    text = t.tables["slice"].selectExpr("id as prompt_id", f"substring(attrs.text, 1, {EXCERPT}) as prompt_text")
+    """Turns with the text of their prompt."""
+    text = t.tables["slice"].selectExpr("id as prompt_id", "attrs.text as prompt_text")
     return t["turns"].join(text, "prompt_id", "left")
 
 

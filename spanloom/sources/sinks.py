@@ -18,9 +18,13 @@ def write_results(df: DataFrame, path: str, *, fmt: str = "parquet", mode: str =
     writer.format(fmt).save(path)
 
 
-def markdown_table(df: DataFrame, limit: int = 200) -> str:
-    """A bounded report table as Markdown text."""
-    rows = df.limit(limit).collect()
+def markdown_table(df: DataFrame, limit: int | None = None) -> str:
+    """A report as Markdown text, all rows unless a ``limit`` is given.
+
+    A report is read by people: its text is built on the driver, partition by
+    partition.  Results of any size go through :func:`write_results`.
+    """
+    rows = (df if limit is None else df.limit(limit)).toLocalIterator()
     lines = ["| " + " | ".join(df.columns) + " |", "|" + " --- |" * len(df.columns)]
     lines += ["| " + " | ".join("Unavailable" if v is None else str(v) for v in row) + " |" for row in rows]
     return "\n".join(lines)

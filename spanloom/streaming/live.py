@@ -1,7 +1,7 @@
 """Live ingest as Structured Streaming jobs.
 
 Batch and live share their row logic; what differs is how long state waits.
-Every state here is bounded by a watermark, a timeout or an explicit limit.
+State ends by a watermark or a timeout; a limit on it is off unless given.
 """
 
 from __future__ import annotations
@@ -13,7 +13,6 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from spanloom.plans.items import MAX_CHANGES
 from spanloom.sources.journals import parse_observations
 
 
@@ -95,13 +94,25 @@ def stream_capture_health(parsed: DataFrame, *, name: str = "capture_health") ->
     return watched.groupBy("recording").agg(F.count_if("valid").alias("rows"), F.count_if(~F.col("valid")).alias("corrupt"))
 
 
+def with_open_operations(found: DataFrame, events: DataFrame, *, timeout: str = "1 hour") -> DataFrame:
+    """What a finished :func:`stream_pair_begin_end` wrote, and the operations it still held.
+
+    A stream that ends (``availableNow``) leaves begins whose timeout the
+    watermark never passed.  ``events`` are the same rows as a table; begins that
+    are not in ``found`` are added as incomplete.
+    """
+    keys = ["scope", "event", "id"]
+    begins = events.filter("phase = 'begin'").select(*keys, F.col("at").alias("start_at"))
+    left = begins.join(found.select(*keys, "start_at"), [*keys, "start_at"], "left_anti")
+    ended = left.select(*keys, "start_at", F.expr(f"start_at + interval {timeout}").alias("end_at"), F.lit(True).alias("incomplete"))
+    return found.select(*ended.columns).unionByName(ended)
+
+
 # ------------------------------------------------------------ keyed state
 _ROUTED = "trace_id string, id string, session string, state string"
-#: Spans of one trace that may wait for their owner.
-MAX_WAITING = 8192
 
 
-def _route_trace(max_waiting: int, wait_ms: int):
+def _route_trace(max_waiting: int | None, wait_ms: int):
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         """State: parent and session of the trace's spans, and which still wait."""
         trace = key[0]
@@ -137,7 +148,7 @@ def _route_trace(max_waiting: int, wait_ms: int):
         owners = {s: owner(s) for s in known["waiting"]}
         routed = [(trace, s, o, "routed") for s, o in owners.items() if o]
         known["waiting"] = [s for s, o in owners.items() if not o]
-        if len(known["waiting"]) > max_waiting or len(known["spans"]) > 4 * max_waiting:
+        if max_waiting is not None and len(known["waiting"]) > max_waiting:
             routed += [(trace, s, None, "dropped") for s in known["waiting"]]
             known = {"spans": {}, "waiting": [], "sessions": []}
         state.update((json.dumps(known),))
@@ -148,13 +159,14 @@ def _route_trace(max_waiting: int, wait_ms: int):
 
 
 def stream_route_telemetry(
-    spans: DataFrame, *, max_waiting: int = MAX_WAITING, wait_ms: int = 600_000, delay: str = "10 minutes"
+    spans: DataFrame, *, max_waiting: int | None = None, wait_ms: int = 600_000, delay: str = "10 minutes"
 ) -> DataFrame:
     """Session of each span of a shared export: ``trace_id, id, parent_id, session, at``.
 
     A span waits in the state of its trace until it, an ancestor, or the whole
-    trace names one session.  When too many wait, or the watermark passes the
-    trace's last span by ``wait_ms``, the waiting spans come out as ``dropped``.
+    trace names one session.  When the watermark passes the trace's last span by
+    ``wait_ms``, or more wait than a given ``max_waiting``, they come out as
+    ``dropped``.
     """
     return spans.withWatermark("at", delay).groupBy("trace_id").applyInPandasWithState(
         _route_trace(max_waiting, wait_ms), _ROUTED, "known string", "append", GroupStateTimeout.EventTimeTimeout
@@ -184,7 +196,7 @@ def _diff_scope(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -
             if item not in current:
                 changes.append((scope, row.sample, item, category, tokens, "removed", -tokens))
         changes.sort(key=lambda c: (-abs(c[6]), c[2], c[5]))
-        out += changes[:MAX_CHANGES]
+        out += changes
         held = {"model": row.model, "items": current}
     state.update((json.dumps(held),))
     yield pd.DataFrame(out, columns=["scope", "sample", "item_id", "category", "tokens", "change", "delta_tokens"])

@@ -25,7 +25,8 @@ def con():
 
 def test_every_sql_has_a_query():
     assert set(SQL) <= set(QUERIES)
-    assert set(QUERIES) - set(SQL) == {"stream_pair_begin_end"}
+    apart = {name for name in QUERIES if name == "pipeline" or name.startswith("op")}  # held against brute force in tests/llm
+    assert set(QUERIES) - apart == set(SQL) - apart
 
 
 @pytest.mark.parametrize("name", sorted(SQL))

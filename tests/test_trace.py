@@ -116,6 +116,15 @@ def test_large_prompt_groups_give_no_owner_by_containment(fixture):
     assert owners(f.trace()) == [(500, None)]
 
 
+def test_the_innermost_of_many_nested_prompts_owns(fixture):
+    f = fixture
+    for i in range(65):
+        f.add(1 + i, "prompt", i, 200 - 2 * i)
+    f.add(500, "tool-execution", 80, 1)
+    f.add(501, "tool-execution", 10.5, 1)
+    assert owners(f.trace()) == [(500, 65), (501, 11)]
+
+
 def test_incomplete_prompt_shows_observed_work_only(fixture):
     f = fixture
     f.add(1, "prompt", 0, -1)
@@ -239,12 +248,19 @@ def test_runtime_gauges_ignore_closing_zero(fixture):
     assert rows(t["cpu_sample_intervals"], "start_ts", "end_ts", "cpu_us") == [(1, 2, 1000.0), (2, 3, 2000.0)]
 
 
-def test_script_cycles_end_at_the_depth_bound(fixture):
+def test_script_cycles_end_where_they_began(fixture):
     f = fixture
     f.add(1, "script", 0, 9, call_id="a", parent_call_id="b")
     f.add(2, "tool-execution", 1, 1, call_id="b", parent_call_id="a")
     f.add(3, "tool-execution", 2, 1, call_id="c", parent_call_id="c")
-    assert f.trace()["script_children"].count() == tools.MAX_SCRIPT_DEPTH
+    assert rows(f.trace()["script_children"], "script_id", "id", "depth") == [(1, 2, 1)]
+
+
+def test_deep_scripts_are_followed_to_their_end(fixture):
+    f = fixture
+    for i in range(40):
+        f.add(1 + i, "script" if i == 0 else "tool-execution", i, 1, call_id=f"c{i}", parent_call_id=f"c{i - 1}" if i else None)
+    assert f.trace()["script_children"].agg({"depth": "max"}).first()[0] == 39
 
 
 def test_attributes_pivot_prefers_current_keys(spark):
