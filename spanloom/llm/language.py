@@ -14,7 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 DIMENSIONS = 2048
 _LETTER = re.compile(r"[^\W\d_]")
@@ -127,20 +127,16 @@ def learn(docs: DataFrame, sample_rows: int = 4000, id_col: str = "doc_id", text
     return Codes(languages, x, np.array([place[lang] for lang in sample["lang"]], dtype=np.int64))
 
 
-def identify(docs: DataFrame, codes: Codes, ambiguous_below: float = 0.2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(doc_id, held_out, lang_pred, score, ambiguous)`` of every row.
-
-    ``score`` is the share of the chosen language; ``ambiguous`` is set when it
-    is ahead of the next by less than ``ambiguous_below``.  A null text or one
-    without a letter, or any text when no language was learned, is ``und`` with
-    score 0.  A null id is not held out.  Only the text is read.
-    """
+def prediction(codes: Codes, text: Column, ambiguous_below: float = 0.2) -> Column:
+    """``struct(lang_pred, score, ambiguous)`` of a text column, by Arrow batches."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            texts = pdf["text"].tolist()
+    @F.pandas_udf("lang_pred string, score double, ambiguous boolean")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for column in batches:
+            texts = column.tolist()
             known = np.array([has_letter(t) for t in texts], dtype=bool)
-            pred, score, near = np.full(len(pdf), "und", dtype=object), np.zeros(len(pdf)), np.zeros(len(pdf), dtype=bool)
+            n = len(texts)
+            pred, score, near = np.full(n, "und", dtype=object), np.zeros(n), np.zeros(n, dtype=bool)
             if codes.languages and known.any():
                 places, at = np.flatnonzero(known), 0
                 for x in features([texts[i] for i in places]):
@@ -151,10 +147,19 @@ def identify(docs: DataFrame, codes: Codes, ambiguous_below: float = 0.2, id_col
                     score[here] = top[:, -1]
                     near[here] = top[:, -1] - top[:, -2] < ambiguous_below if share.shape[1] > 1 else False
                     at += len(x)
-            yield pd.DataFrame({"id": pdf["id"], "held": pdf["held"], "lang_pred": pred, "score": score, "ambiguous": near})
+            yield pd.DataFrame({"lang_pred": pred, "score": score, "ambiguous": near})
+
+    return run(text)
 
+
+def identify(docs: DataFrame, codes: Codes, ambiguous_below: float = 0.2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``(<id>, held_out, lang_pred, score, ambiguous)`` of every row.
+
+    ``score`` is the share of the chosen language; ``ambiguous`` is set when it
+    is ahead of the next by less than ``ambiguous_below``.  A null text or one
+    without a letter, or any text when no language was learned, is ``und`` with
+    score 0.  A null id is not held out.  Only the text is read.
+    """
     held = F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 4 == 2, F.lit(False))
-    rows = docs.select(F.col(id_col).alias("id"), held.alias("held"), F.col(text_col).alias("text"))
-    kind = docs.schema[id_col].dataType.simpleString()
-    out = rows.mapInPandas(run, f"id {kind}, held boolean, lang_pred string, score double, ambiguous boolean")
-    return out.withColumnRenamed("id", id_col).withColumnRenamed("held", "held_out")
+    found = docs.select(F.col(id_col), held.alias("held_out"), prediction(codes, F.col(text_col), ambiguous_below).alias("__op_found"))
+    return found.select(id_col, "held_out", "__op_found.lang_pred", "__op_found.score", "__op_found.ambiguous")

@@ -12,9 +12,6 @@ from dataclasses import dataclass, field
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
-
-from spanloom.llm.common import kept
-
 #: Characters that prose hardly has.
 SYMBOLS = "!#$%&*+<=>@[]\\^_`{|}~"
 STATISTICS = (
@@ -23,46 +20,34 @@ STATISTICS = (
 )
 
 
-def statistics(text: Column) -> dict[str, Column]:
-    """Statistics of one whole text; a null text counts as empty, and all are 0 for it."""
-    t = F.coalesce(text, F.lit(""))
-    n = F.char_length(t)
-    share = lambda x: F.coalesce(x / F.nullif(n, F.lit(0)), F.lit(0.0))
-    without = lambda chars: n - F.char_length(F.translate(t, chars, ""))
-    words = F.filter(F.split(F.translate(t, "\t\n\x0b\x0c\r", "     "), " "), lambda w: w != "")
+def with_statistics(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """``docs`` with the columns ``__op_<statistic>`` of each whole text; one pass, no shuffle.
+
+    A null text counts as empty, and all statistics of an empty text are 0.
+    """
+    t = F.coalesce(F.col(text_col), F.lit(""))
+    size = F.char_length(t)
+    without = lambda chars: (size - F.char_length(F.translate(t, chars, ""))).alias
     lines = F.split(t, "\n")
-    return {
-        "n": n, "words": words,
-        "symbols": without(SYMBOLS), "lowered": n - F.char_length(F.translate(t, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "")), "digits": without("0123456789"),
-        "pipes": n - F.char_length(F.replace(t, F.lit("|"), F.lit(""))), "stops": n - F.char_length(F.replace(t, F.lit("."), F.lit(""))),
-        "lines": F.size(lines), "line_kinds": F.size(F.array_distinct(lines)), "share": share,
+    counted = {
+        "words": F.filter(F.split(F.translate(t, "\t\n\x0b\x0c\r", "     "), " "), lambda w: w != ""),
+        "chars": size, "lines": F.size(lines), "line_kinds": F.size(F.array_distinct(lines)),
     }
-
-
-def with_statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(doc_id, <statistics>)`` as narrow rows; one pass over the texts."""
-    s = statistics(F.col(text_col))
-    share = s.pop("share")
-    raw = docs.select(F.col(id_col).alias("doc_id"), *[c.alias(k) for k, c in s.items()])
-    w = F.size("words")
+    shares = {"symbol_share": SYMBOLS, "pipe_share": "|", "upper_share": "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "digit_share": "0123456789", "stop_share": "."}
+    raw = docs.select("*", *[c.alias(f"__raw_{k}") for k, c in counted.items()], *[without(c)(f"__raw_{k}") for k, c in shares.items()])
+    words, n = F.col("__raw_words"), F.col("__raw_chars")
+    w = F.size(words)
     per_word = lambda x: F.coalesce(x / F.nullif(w, F.lit(0)), F.lit(0.0))
-    n = F.col("n")
-    of = lambda k: F.coalesce(F.col(k) / F.nullif(n, F.lit(0)), F.lit(0.0))
-    pairs = F.zip_with("words", F.slice("words", 2, F.greatest(w, F.lit(1))), lambda a, b: (a == b).cast("int"))
-    return raw.select(
-        "doc_id",
-        F.log1p(n.cast("double")).alias("log_chars"),
-        F.log1p(w.cast("double")).alias("log_words"),
-        per_word(F.aggregate("words", F.lit(0), lambda a, x: a + F.char_length(x))).alias("word_length"),
-        of("symbols").alias("symbol_share"),
-        of("pipes").alias("pipe_share"),
-        of("lowered").alias("upper_share"),
-        of("digits").alias("digit_share"),
-        of("stops").alias("stop_share"),
-        per_word(F.size(F.array_distinct("words"))).alias("distinct_words"),
-        per_word(F.aggregate(pairs, F.lit(0), lambda a, x: a + F.coalesce(x, F.lit(0)))).alias("repeated_words"),
-        F.when(n > 0, F.col("line_kinds") / F.col("lines")).otherwise(0.0).alias("distinct_lines"),
-    )
+    following = F.zip_with(words, F.slice(words, 2, F.greatest(w, F.lit(1))), lambda a, b: (a == b).cast("int"))
+    found = {
+        "log_chars": F.log1p(n.cast("double")),
+        "log_words": F.log1p(w.cast("double")),
+        "word_length": per_word(F.aggregate(words, F.lit(0), lambda a, x: a + F.char_length(x))),
+        "distinct_words": per_word(F.size(F.array_distinct(words))),
+        "repeated_words": per_word(F.aggregate(following, F.lit(0), lambda a, x: a + F.coalesce(x, F.lit(0)))),
+        "distinct_lines": F.when(n > 0, F.col("__raw_line_kinds") / F.col("__raw_lines")).otherwise(0.0),
+    } | {k: F.coalesce(F.col(f"__raw_{k}") / F.nullif(n, F.lit(0)), F.lit(0.0)) for k in shares}
+    return raw.select(*[F.col(c) for c in docs.columns], *[found[k].alias(f"__op_{k}") for k in STATISTICS])
 
 
 @dataclass
@@ -84,7 +69,7 @@ class Rule:
     def column(self, names: tuple[str, ...]) -> Column:
         out = None
         for f, (low, high) in sorted(self.bounds.items()):
-            for test in ([F.col(names[f]) > low] if np.isfinite(low) else []) + ([F.col(names[f]) <= high] if np.isfinite(high) else []):
+            for test in ([F.col(f"__op_{names[f]}") > low] if np.isfinite(low) else []) + ([F.col(f"__op_{names[f]}") <= high] if np.isfinite(high) else []):
                 out = test if out is None else out & test
         return F.lit(True) if out is None else out
 
@@ -189,25 +174,42 @@ def fit(x: np.ndarray, y: np.ndarray, names: tuple[str, ...] = STATISTICS, penal
     return RuleEnsemble(intercept, [rules[i] for i in chosen], [float(w[i]) for i in chosen], names)
 
 
-def classify(docs: DataFrame, labels: DataFrame, sample_rows: int = 12_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(doc_id, held_out, score, predicted)`` of every row.
-
-    Labels are learned from at most about ``sample_rows`` labelled rows whose
-    ``crc32(id) mod 3`` is not 1, chosen by a hash of the id; statistics, scores
-    and decisions cover every row.  Null and empty texts have statistics of 0 and
-    get a score like any other.  A row with a null id is scored and never
-    learned from (``held_out`` false).  Rows with a null label are not learned
-    from; contradicting labels of one id all count.  An empty label table gives
-    0.5 throughout.
+def _fold(column: str) -> Column:
+    return F.crc32(F.col(column).cast("string").cast("binary")) % 3
+
+
+def learn(docs: DataFrame, labels: DataFrame, sample_rows: int = 12_000, id_col: str = "doc_id", text_col: str = "text") -> RuleEnsemble:
+    """An ensemble from about ``sample_rows`` labelled rows at most, chosen by a hash of the id.
+
+    Only rows with ``crc32(id) mod 3`` other than 1 and a label are learned from;
+    contradicting labels of one id all count.  The chosen ids (their number is
+    bounded by ``sample_rows``) are broadcast to the texts, and only statistics
+    come to the driver.
     """
-    fold = lambda c: F.crc32(F.col(c).cast("string").cast("binary")) % 3
-    stats = kept(with_statistics(docs, id_col, text_col), "quality-statistics")
-    usable = labels.filter(f"quality is not null and {id_col} is not null").filter(fold(id_col) != 1)
-    usable = usable.select(F.col(id_col).alias("doc_id"), F.col("quality").alias("quality"))
+    usable = labels.filter(f"quality is not null and {id_col} is not null").filter(_fold(id_col) != 1)
+    usable = usable.select(F.col(id_col).alias(id_col), F.col("quality").alias("__op_label"))
     n = usable.count()
     if n > sample_rows:
-        usable = usable.filter(F.pmod(F.xxhash64("doc_id", F.lit(9)), F.lit(1 << 20)) < int((1 << 20) * sample_rows / n))
-    train = stats.join(usable, "doc_id").select(*STATISTICS, "quality").toPandas()
-    model = fit(train[list(STATISTICS)].to_numpy(np.float64), (train["quality"].to_numpy() == 1).astype(np.float64))
-    scored = stats.select("doc_id", F.coalesce(fold("doc_id") == 1, F.lit(False)).alias("held_out"), model.score().alias("score"))
-    return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+        usable = usable.filter(F.pmod(F.xxhash64(id_col, F.lit(9)), F.lit(1 << 20)) < int((1 << 20) * sample_rows / n))
+    chosen = with_statistics(docs.select(id_col, text_col).join(F.broadcast(usable), id_col), text_col)
+    train = chosen.select(*[f"__op_{k}" for k in STATISTICS], "__op_label").toPandas()
+    return fit(train[[f"__op_{k}" for k in STATISTICS]].to_numpy(np.float64), (train["__op_label"].to_numpy() == 1).astype(np.float64))
+
+
+def scored(docs: DataFrame, model: RuleEnsemble, text_col: str = "text", score_col: str = "__op_score") -> DataFrame:
+    """``docs`` with the probability of label 1; row by row, no shuffle."""
+    return with_statistics(docs, text_col).select(*docs.columns, model.score().alias(score_col))
+
+
+def classify(docs: DataFrame, labels: DataFrame, sample_rows: int = 12_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``(<id>, held_out, score, predicted)`` of every row; ``held_out`` rows are never learned from.
+
+    Null and empty texts have statistics of 0 and get a score like any other.  A
+    row with a null id is scored and never learned from (``held_out`` false).
+    Repeated rows are scored alike.  An empty label table gives 0.5 throughout.
+    """
+    model = learn(docs, labels, sample_rows, id_col, text_col)
+    out = scored(docs.select(id_col, text_col), model, text_col)
+    return out.select(
+        id_col, F.coalesce(_fold(id_col) == 1, F.lit(False)).alias("held_out"), F.col("__op_score").alias("score"), (F.col("__op_score") >= 0.5).cast("int").alias("predicted")
+    )

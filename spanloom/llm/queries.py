@@ -12,7 +12,7 @@ from spanloom.llm.common import table
 
 
 def op1_warc_packages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return warc.round_trip(table(spark, sf_dir, "pages"))
+    return warc.round_trip(table(spark, sf_dir, "pages")).drop("target_uri")
 
 
 def op2_collision_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -36,7 +36,7 @@ CLASSES = (
 ALLOW = (
     r"(?i)example|placeholder|changeme|dummy|xxxx|redacted|your[-_]",
     r"^/|/.*/.*/",
-    r"^([A-Za-z]{2,}[-_/])+[A-Za-z]{2,}[-_]?[0-9]{0,4}$",
+    r"^[A-Za-z/_-]+[0-9]{0,4}$",
     r"(.)\1{5,}",
     r"^[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$",
     r"^sha(1|256|384|512)[-_]",
@@ -84,22 +84,22 @@ def window_entropy(string: Column, symbols: str, window: int) -> Column:
     string shorter than the window gives null.
     """
     table = F.array(*[F.lit(0.0 if c < 2 else c * math.log2(c)) for c in range(window + 2)])
-    code = lambda at: F.instr(F.lit(symbols), F.substring(string, at, F.lit(1)))  # noqa: E731  # 1-based
-    empty = F.array_repeat(F.lit(0), len(symbols))
+    codes = F.transform(F.split(string, ""), lambda c: F.instr(F.lit(symbols), c))  # 1-based
+    gone = F.slice(F.concat(F.array_repeat(F.lit(0), window), codes), F.lit(1), F.greatest(F.size(codes), F.lit(0)))
+    moves = F.zip_with(codes, gone, lambda enters, leaves: F.struct(enters.alias("enters"), leaves.alias("leaves")))
     bump = lambda counts, which, by: F.transform(counts, lambda c, i: F.when(i + 1 == which, c + by).otherwise(c))
 
-    def step(acc: Column, at: Column) -> Column:
-        enters, leaves = code(at), F.when(at > window, code(at - window)).otherwise(F.lit(0))
+    def step(acc: Column, move: Column) -> Column:
+        enters, leaves = move["enters"], move["leaves"]
         had = F.when(leaves > 0, F.element_at(acc["n"], F.greatest(leaves, F.lit(1)))).otherwise(F.lit(0))
         less = F.when(leaves > 0, acc["sum"] - F.element_at(table, had + 1) + F.element_at(table, F.greatest(had, F.lit(1)))).otherwise(acc["sum"])
         counts = F.when(leaves > 0, bump(acc["n"], leaves, -1)).otherwise(acc["n"])
-        now = F.element_at(counts, enters)
-        total = less - F.element_at(table, now + 1) + F.element_at(table, now + 2)
-        best = F.when(at >= window, F.least(acc["low"], total)).otherwise(acc["low"])
-        return F.struct(bump(counts, enters, 1).alias("n"), total.alias("sum"), best.alias("low"))
+        total = less - F.element_at(table, F.element_at(counts, enters) + 1) + F.element_at(table, F.element_at(counts, enters) + 2)
+        best = F.when(acc["at"] + 1 >= window, F.least(acc["low"], total)).otherwise(acc["low"])
+        return F.struct((acc["at"] + 1).alias("at"), bump(counts, enters, 1).alias("n"), total.alias("sum"), best.alias("low"))
 
-    start = F.struct(empty.alias("n"), F.lit(0.0).alias("sum"), F.lit(1e9).alias("low"))
-    low = F.aggregate(F.sequence(F.lit(1), F.char_length(string)), start, step, lambda acc: acc["low"])
+    start = F.struct(F.lit(0).alias("at"), F.array_repeat(F.lit(0), len(symbols)).alias("n"), F.lit(0.0).alias("sum"), F.lit(1e9).alias("low"))
+    low = F.aggregate(moves, start, step, lambda acc: acc["low"])
     return F.when(F.char_length(string) >= window, F.lit(math.log2(window)) - low / window)
 
 
@@ -142,6 +142,26 @@ def scan(docs: DataFrame, text_col: str = "text") -> DataFrame:
     )
 
 
+def redact(docs: DataFrame, text_col: str = "text", mask: str = "[REDACTED]") -> DataFrame:
+    """``docs`` with every span of ``scan`` in the text replaced by ``mask``.
+
+    Overlapping spans become one mask.  Texts without spans, null ones too, stay
+    as they are; other columns are not touched.
+    """
+    text = F.col(text_col)
+    step = F.aggregate(
+        F.col("all_spans"),
+        F.struct(F.lit(0).alias("at"), F.lit("").alias("out")),
+        lambda acc, s: F.struct(
+            F.greatest(acc["at"], s["end"]).alias("at"),
+            F.when(s["start"] < acc["at"], acc["out"]).otherwise(F.concat(acc["out"], F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), F.lit(mask))).alias("out"),
+        ),
+        lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.char_length(text))),
+    )
+    found = scan(docs, text_col)
+    return found.select(*[F.when(F.size("all_spans") > 0, step).otherwise(text).alias(text_col) if c == text_col else F.col(c) for c in docs.columns])
+
+
 def digest(docs: DataFrame) -> DataFrame:
     """``scan`` with the spans as texts: ``base_sha256`` and ``spans``."""
     found = scan(docs)
