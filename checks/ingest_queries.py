@@ -660,12 +660,16 @@ def context_pressure_delta(spark, sf):
 
 
 def _failures(spark, sf) -> DataFrame:
-    lines = spark.read.parquet(f"{sf}/lineitem.parquet").filter("l_linenumber <= 4").groupBy("l_orderkey").agg(
-        *[F.expr(f"bool_or(l_returnflag = 'R') filter (where l_linenumber = {i}) as h{i}") for i in (1, 2, 3, 4)]
-    ).filter("h1 is not null and h2 is not null and h3 is not null and h4 is not null")
+    """Every order with the history of all its lines, however many; one without lines has an empty history.
+    A line failed if any of its rows did."""
+    lines = spark.read.parquet(f"{sf}/lineitem.parquet").groupBy("l_orderkey", "l_linenumber").agg(
+        F.expr("coalesce(bool_or(l_returnflag = 'R'), false) as failed")
+    )
+    histories = lines.groupBy("l_orderkey").agg(F.expr("array_sort(collect_list(struct(l_linenumber, failed))).failed as history"))
     orders = spark.read.parquet(f"{sf}/orders.parquet")
-    return orders.join(lines, orders["o_orderkey"] == lines["l_orderkey"]).selectExpr(
-        "o_orderkey as id", "o_orderpriority as owner", "cast(round(o_totalprice * 100) as bigint) as duration_ms", "array(h1, h2, h3, h4) as history"
+    return orders.join(histories, orders["o_orderkey"] == histories["l_orderkey"], "left").selectExpr(
+        "o_orderkey as id", "o_orderpriority as owner", "cast(round(o_totalprice * 100) as bigint) as duration_ms",
+        "coalesce(history, cast(array() as array<boolean>)) as history",
     )
 
 
