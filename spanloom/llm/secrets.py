@@ -4,7 +4,9 @@ Base spans come from three patterns.  The entropy method adds spans: in every
 candidate string a window slides over the characters of one class, its symbol
 counts are kept up to date by one removal and one addition a step, and the
 string is reported when some window's Shannon entropy reaches the class's
-threshold and no allow-list rule speaks against it.
+threshold and no allow-list rule speaks against it.  Words between slashes are
+left out of the windows; what stands between words is looked at on its own, so
+neither a path nor its words hide a key.
 """
 
 from __future__ import annotations
@@ -18,10 +20,11 @@ ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']
 ACCESS = r"AKIA[A-Z0-9]{14,}"  # AKIA and a run of 18 or more in all: longest runs are the same
 HEX = r"[0-9a-f]{16,}"
 ASSIGN_VALUE = 12
-KINDS = ("assign", "access", "hex", "entropy_hex", "entropy_token")
+KINDS = ("assign", "access", "hex", "entropy_hex", "entropy_token", "entropy_lower", "entropy_upper")
 
 #: Candidate strings of the entropy method: (kind, pattern, symbols, window, bits a symbol).
 #: A hex string of any case needs 32 symbols; a token needs digits and both cases.
+#: Letters of one case with digits, some beyond hex, need 25 symbols: the 128 bits of a hex string.
 CLASSES = (
     ("entropy_hex", r"(?<![A-Za-z0-9])(?=[A-F]*[0-9])(?=[0-9]*[A-F])[0-9A-F]{32,}(?![A-Za-z0-9])", "0123456789ABCDEF", 32, 3.0),
     (
@@ -31,16 +34,20 @@ CLASSES = (
         24,
         3.8,
     ),
+    ("entropy_lower", r"(?<![A-Za-z0-9])(?=[a-z]*[0-9])(?=[a-f0-9]*[g-z])[a-z0-9]{25,}+(?![A-Z])", "abcdefghijklmnopqrstuvwxyz0123456789", 25, 3.6),
+    ("entropy_upper", r"(?<![A-Za-z0-9])(?=[A-Z]*[0-9])(?=[A-F0-9]*[G-Z])[A-Z0-9]{25,}+(?![a-z])", "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", 25, 3.6),
 )
-#: A candidate that matches one of these is no secret: paths and addresses, chains of words, placeholders, repeats.
+#: A candidate that matches one of these is no secret: placeholders, rooted paths from word to word, repeats.
 ALLOW = (
     r"(?i)example|placeholder|changeme|dummy|xxxx|redacted|your[-_]",
-    r"^/|/.*/.*/",
-    r"^[A-Za-z/_-]+[0-9]{0,4}$",
+    r"^/[a-z]+/(.*/)?[a-z]+$",
     r"(.)\1{5,}",
     r"^[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$",
     r"^sha(1|256|384|512)[-_]",
 )
+#: A segment between slashes that is no part of a secret: a chain of words, or one word if there are other segments.
+CHAIN = r"^(?:[A-Za-z]{2,}[-_])++[A-Za-z]{2,}[-_]?[0-9]{0,4}$"
+WORD = r"^[A-Za-z]{2,}[-_]?[0-9]{0,4}$"
 
 
 def _java(pattern: str) -> Column:
@@ -110,8 +117,18 @@ def _allowed(s: Column) -> Column:
     return out
 
 
+def _between_words(s: Column) -> Column:
+    """What stands between the word segments of a string, each with its own slashes."""
+    word = lambda g: g.rlike(CHAIN) | (s.contains("/") & g.rlike(WORD))
+    marked = F.array_join(F.transform(F.split(s, "/", -1), lambda g: F.when(word(g), F.lit(" ")).otherwise(g)), "/")
+    return F.split(F.regexp_replace(marked, "/? /?", " "), " ", -1)
+
+
 def _entropy(text: Column, pattern: str, symbols: str, window: int, bits: float) -> Column:
-    return F.filter(_found(text, pattern), lambda m: ~_allowed(m["s"]) & (F.round(window_entropy(m["s"], symbols, window), 6) >= bits))
+    reaches = lambda s: F.exists(
+        _between_words(s), lambda p: F.when(F.char_length(p) >= window, F.round(window_entropy(p, symbols, window), 6) >= bits).otherwise(False)
+    )
+    return F.filter(_found(text, pattern), lambda m: ~_allowed(m["s"]) & reaches(m["s"]))
 
 
 def _joined(spans: Column) -> Column:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import base64
 import hashlib
 import itertools
 import random
@@ -176,6 +177,25 @@ def test_window_entropy_by_counting(spark):
         assert got is None if len(s) < 24 else abs(got - best_entropy(s, 24)) < 1e-9
 
 
+def test_long_keys_paths_and_single_case(spark):
+    rng = random.Random(5)
+    keys = [base64.b64encode(rng.randbytes(n)).decode() for n in (64, 128, 256, 512) for _ in range(50)]
+    pick = lambda symbols, n: "".join(rng.choices(symbols, k=n))
+    low, up = "ghijklmnopqrstuvwxyz0123456789", "GHIJKLMNOPQRSTUVWXYZ0123456789"
+    hooks = [f"https://hooks.chat.com/services/T{pick(up, 8)}/B{pick(up, 8)}/q9R{pick(low + up, 21)}" for _ in range(20)]
+    single = [pick(symbols, 32) + "7" for symbols in (low, up) for _ in range(20)]
+    letters = ["QwErTyUiOpAsDfGhJkLzXcVb12"]
+    plain = [
+        "src/main/java/FooBar/BazQux2/Widget-Factory_Impl3/index", "Some-Long_Chain-of-Words_and-More-Words2024", "com/watch/Very/Long/Address/Of/Pages/2024/03/Part2",
+        "/usr/local/share/Fonts2/TrueType/DejaVu/sans", "ab-" * 20_000 + "Ab1", "Ab/" * 20_000 + "Ab1", "a/" * 20_000 + "A1",
+    ]
+    docs = documents(spark, list(enumerate(keys + hooks + single + letters + plain)))
+    found = {r.doc_id: r.spans for r in secrets.digest(docs).collect()}
+    secret = len(keys) + len(hooks) + len(single) + len(letters)
+    assert [i for i in range(secret) if "entropy" not in found[i]] == []
+    assert [plain[i - secret][:40] for i in range(secret, len(found)) if "entropy" in found[i]] == []
+
+
 def test_redaction(spark):
     docs = documents(spark, list(enumerate(TEXTS)))
     rows = {r.doc_id: r.text for r in secrets.redact(docs).collect()}
