@@ -72,16 +72,20 @@ def stream_pair_begin_end(spark, sf):
 
 @query
 def stream_prompt_clusters(spark, sf):
-    rows = events(spark, sf).filter("typ = 'signup'").selectExpr("u as capture_id", "at")
-    return run(live.stream_prompt_clusters(rows)).selectExpr(
+    def prompts(streaming: bool) -> DataFrame:
+        return live.stream_prompt_clusters(events(spark, sf, streaming).filter("typ = 'signup'").selectExpr("u as capture_id", "at"))
+
+    return live.with_open_windows(run(prompts(True)), prompts(False), ["capture_id", "start_at"]).selectExpr(
         "capture_id", "unix_micros(start_at) as start_us", "unix_micros(end_at) as end_us", "prompts"
     )
 
 
 @query
 def stream_activity_bins(spark, sf):
-    rows = events(spark, sf).selectExpr("typ as kind", "at")
-    return run(live.stream_activity_bins(rows)).selectExpr("unix_micros(start_at) as start_us", "kind", "events")
+    def bins(streaming: bool) -> DataFrame:
+        return live.stream_activity_bins(events(spark, sf, streaming).selectExpr("typ as kind", "at"))
+
+    return live.with_open_windows(run(bins(True)), bins(False), ["kind", "start_at"]).selectExpr("unix_micros(start_at) as start_us", "kind", "events")
 
 
 @query

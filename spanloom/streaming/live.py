@@ -108,6 +108,19 @@ def with_open_operations(found: DataFrame, events: DataFrame, *, timeout: str =
     return found.select(*ended.columns).unionByName(ended)
 
 
+def with_open_windows(found: DataFrame, windows: DataFrame, keys: list[str]) -> DataFrame:
+    """What a finished stream of windows wrote, and the windows it still held.
+
+    A stream that ends (``availableNow``) leaves windows that the watermark never
+    passed.  ``windows`` is the same aggregation over the same rows as a table;
+    its windows whose ``keys`` are not in ``found`` are added.  No anti join:
+    Spark would push it below the merging of session windows.
+    """
+    payload = [c for c in windows.columns if c not in keys]
+    both = found.select(*windows.columns).withColumn("_written", F.lit(1)).unionByName(windows.withColumn("_written", F.lit(0)))
+    return both.groupBy(*keys).agg(F.max_by(F.struct(*payload), "_written").alias("_w")).select(*keys, "_w.*")
+
+
 # ------------------------------------------------------------ keyed state
 _ROUTED = "trace_id string, id string, session string, state string"
 

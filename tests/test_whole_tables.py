@@ -23,6 +23,13 @@ WHOLE = {
 SELECT owner, count(*) FILTER (WHERE n = 0) AS new, count(*) FILTER (WHERE n > 0 AND n = runs) AS persistent,
        count(*) FILTER (WHERE n > 0 AND n < runs) AS intermittent, count(*) AS total FROM failed GROUP BY owner""",
     "slowest_new_failures": f"{_HISTORY} SELECT id, duration_ms FROM failed WHERE n = 0 ORDER BY duration_ms DESC, id LIMIT 5",
+    "stream_activity_bins": """
+SELECT epoch_us(ts) // 3600000000 * 3600000000 AS start_us, event_type AS kind, count(*) AS events FROM events GROUP BY ALL""",
+    "stream_prompt_clusters": """
+WITH p AS (SELECT user_id AS u, epoch_us(ts) AS us FROM events WHERE event_type = 'signup'),
+f AS (SELECT *, CASE WHEN us - lag(us) OVER (PARTITION BY u ORDER BY us) < 21600000000 THEN 0 ELSE 1 END AS fresh FROM p),
+g AS (SELECT u, us, sum(fresh) OVER (PARTITION BY u ORDER BY us) AS grp FROM f)
+SELECT u AS capture_id, min(us) AS start_us, max(us) + 21600000000 AS end_us, count(*) AS prompts FROM g GROUP BY u, grp""",
 }
 
 
