@@ -86,7 +86,7 @@ def _span_batches(spark, sf) -> DataFrame:
         '","status":{{"code":', if(k % 8 = 0, 2, 1), '}},"attributes":', {attr_text}, '}}')"""
     again = """if(k % 5 = 0 and prev_id is not null, concat(',{"traceId":"t', u, '","spanId":"s', prev_id,
         '","name":"resent","startTimeUnixNano":"', ns - 1000, '","endTimeUnixNano":"', ns, '","attributes":[]}'), '')"""
-    return nev(spark, sf).filter("typ in ('view', 'click')").selectExpr(
+    return nev(spark, sf).selectExpr(
         "u as recording", "id as seq",
         f"""concat('{{"resourceSpans":[{{"scopeSpans":[{{"spans":[', {own}, {again}, ']}}]}}]}}') as data""",
     )
@@ -109,11 +109,11 @@ def otel_attributes(spark, sf):
     )
 
 
-def _log_batches(spark, sf) -> DataFrame:
+def _log_batches(spark, sf, *where: str) -> DataFrame:
     iso = "date_format(timestamp_millis(ns div 1000000), \"yyyy-MM-dd'T'HH:mm:ss.SSS'Z'\")"
     record = f"""concat('{{"traceId":"t', u, '","timeUnixNano":"', if(k % 4 = 0, 0, ns), '","attributes":[{{"key":"event.name","value":{{"stringValue":"', typ,
         '"}}}},{{"key":"event.timestamp","value":{{"stringValue":"', {iso}, '"}}}},{{"key":"conversation.id","value":{{"stringValue":"', {UUID}, '"}}}}]}}')"""
-    return ev(spark, sf, "typ in ('error', 'purchase')").selectExpr(
+    return ev(spark, sf, *where).selectExpr(
         "u as recording", "inline(if(k % 3 = 0, array(struct(id as seq), struct(id + 1000000000 as seq)), array(struct(id as seq))))",
         "'otel' as source", f"concat('{{\"resourceLogs\":[{{\"scopeLogs\":[{{\"logRecords\":[', {record}, ']}}]}}]}}') as data",
     )
@@ -133,7 +133,7 @@ def captured_session_ids(spark, sf):
         f"""to_json(named_struct('type', if(k % 2 = 0, 'thread.started', 'other'), 'thread_id',
             if(k % 3 = 0, 'none', concat(substring({UUID}, 1, 24), lpad(cast(k as string), 12, '0'))))) as data""",
     )
-    return journals.captured_session_ids(client.unionByName(_log_batches(spark, sf)))
+    return journals.captured_session_ids(client.unionByName(_log_batches(spark, sf, "typ in ('error', 'purchase')")))
 
 
 def _exports(spark, sf) -> DataFrame:
@@ -145,7 +145,7 @@ def _exports(spark, sf) -> DataFrame:
     done = envelope(me, me, "model_completed", """'"duration_ms":', k, ',"model":"m","secret":"no"'""")
     other = envelope("concat('y', id)", "'elsewhere'", "completed", """'"a":1'""")
     ended = envelope("concat('z', id)", me, "cancelled", """'"reason":"user"'""")
-    return ev(spark, sf, "typ = 'view'").selectExpr(
+    return ev(spark, sf).selectExpr(
         f"{me} as session",
         f"""concat('{{"export_schema_version":1,"events":[{{"kind":"record","envelope":', {done}, '}},{{"kind":"record","envelope":', {done},
             '}},{{"kind":"record","envelope":', {other}, '}},{{"kind":"retained_frame","envelope":{{"children":[{{"record_json":',
@@ -521,10 +521,10 @@ def _conversations(spark, sf) -> DataFrame:
 
 @query
 def transcript_items(spark, sf):
-    tools = "named_struct('name', concat('tool', turn % 3), 'description', substring(text, 1, 40))"
+    tools = "named_struct('name', concat('tool', turn % 3), 'description', text)"
     messages = _conversations(spark, sf).selectExpr(
         "conv_id as scope", "turn as seq", "role", "text",
-        "if(turn % 2 = 0, map('project rules', if(turn % 4 = 2, null, text), concat('skill ', turn % 3), substring(text, 1, turn + 1)), null) as sections",
+        "if(turn % 2 = 0, map('project rules', if(turn % 4 = 2, null, text), concat('skill ', turn % 3), text), null) as sections",
         f"if(turn % 3 = 0, array({tools}), null) as tools_added", "if(turn % 5 = 4, array('tool0', 'tool2'), null) as tools_removed",
     )
     return items.transcript_items(messages)
