@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from spanloom.llm import collision_search, html_main_text, language, multi_index, ngram_join, packing, pieces, quality, secrets, warc
+from spanloom.llm import collision_search, html_main_text, language, lexical_search, multi_index, ngram_join, packing, pieces, quality, secrets, source_mix, warc, whitening
 from spanloom.llm.common import table
 
 
@@ -55,6 +55,22 @@ def op10_block_labeller(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_main_text.extract(table(spark, sf_dir, "pages"))
 
 
+def op11_pair_bound_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_chebyshev_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+def op13_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_mix.mix(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_warc_packages, op2_collision_neighbours, op3_multi_index_duplicates, op4_piece_encoding, op5_language_codes, op6_ngram_jaccard_join, op7_sum_of_squares_packing, op8_secret_scan, op9_quality_rules, op10_block_labeller)
-}
+    f.__name__: f
+    for f in (
+        op1_warc_packages, op2_collision_neighbours, op3_multi_index_duplicates, op4_piece_encoding, op5_language_codes, op6_ngram_jaccard_join, op7_sum_of_squares_packing, op8_secret_scan, op9_quality_rules,
+        op10_block_labeller, op11_pair_bound_search, op12_chebyshev_whitening, op13_source_mix,
+    )
+}
