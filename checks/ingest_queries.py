@@ -179,18 +179,16 @@ def read_transcripts(spark, sf):
 
 
 # ------------------------------------------------------------------- pairing
-def _phases(spark, sf) -> DataFrame:
-    return ev(spark, sf).selectExpr(
-        "concat('s', u) as scope", "typ as event", "id",
-        """inline(array_compact(array(named_struct('phase', 'begin', 'ts', ns),
-            if(k % 4 != 0, named_struct('phase', 'end', 'ts', ns + cents * 1000), null))))""",
-    )
-
-
 @query
 def pair_begin_end(spark, sf):
+    """Three ids per scope and event, used again and again, with overlapping operations."""
+    steps = ev(spark, sf).selectExpr(
+        "concat('s', u) as scope", "typ as event", "id % 3 as id",
+        """inline(array_compact(array(named_struct('phase', 'begin', 'ts', ns),
+            if(k % 4 != 0, named_struct('phase', 'end', 'ts', ns + cents * 40000000000), null))))""",
+    )
     ends = sessions(spark, sf).filter("u % 3 = 0").selectExpr("concat('s', u) as scope", "last_ns + 1 as end_ts")
-    return ingest.pair_begin_end(_phases(spark, sf), ends)
+    return ingest.pair_begin_end(steps, ends)
 
 
 def _hooks(spark, sf) -> DataFrame:
@@ -228,10 +226,14 @@ def fallback_unmatched_tools(spark, sf):
 # ------------------------------------------------------------------ matching
 @query
 def match_completion_to_stream(spark, sf):
-    completions = ev(spark, sf, "typ = 'view'").selectExpr("id", S, "ns as ts")
-    streams = ev(spark, sf, "typ = 'view'").selectExpr(
-        S, "inline(array_compact(array(if(k % 3 != 0, named_struct('id', id * 2, 'start_ts', ns - 5000000, 'end_ts', ns + (k % 9 - 2) * 1000000), null),"
-        " if(k % 7 = 0, named_struct('id', id * 2 + 1, 'start_ts', ns - 7000000, 'end_ts', ns + 1000000), null))))",
+    """Three completions around each view, 2 ms apart, and up to three streams that several of them are near to."""
+    views = ev(spark, sf, "typ = 'view'")
+    completions = views.selectExpr(S, "inline(transform(sequence(0, 2), j -> struct(id * 3 + j as id, ns + j * 2000000 as ts)))").select("id", "session", "ts")
+    streams = views.selectExpr(
+        S, """inline(array_compact(array(
+            if(k % 3 != 0, named_struct('id', id * 3, 'start_ts', ns - 5000000, 'end_ts', ns + (k % 9 - 2) * 1000000), null),
+            if(k % 7 = 0, named_struct('id', id * 3 + 1, 'start_ts', ns - 7000000, 'end_ts', ns + 1000000), null),
+            if(k % 2 = 0, named_struct('id', id * 3 + 2, 'start_ts', ns + 2000000, 'end_ts', ns + 4000000), null))))""",
     )
     return ingest.match_completion_to_stream(completions, streams)
 

@@ -20,12 +20,12 @@ CTES["own_spans"] = """
 SELECT u, id, 's' || id AS span_id, id AS seq, 0 AS pos, CASE WHEN k % 4 <> 0 THEN 's' || prev_id END AS parent_span_id, typ AS name,
        ns AS start_ns, CASE WHEN k % 10 = 9 THEN ns - 1 ELSE ns + cents * 1000 END AS end_ns, CAST(k % 8 = 0 AS INT) AS is_error,
        'session-' || u AS session, CASE WHEN k >= 5 THEN CAST(k - 5 AS VARCHAR) END AS n, 'true' AS ok, '0.5' AS n2
-FROM ev WHERE typ IN ('view', 'click')"""
+FROM ev"""
 CTES["all_spans"] = """
 SELECT * FROM own_spans WHERE end_ns >= start_ns
 UNION ALL
 SELECT u, prev_id, 's' || prev_id, id, 1, NULL, 'resent', ns - 1000, ns, 0, NULL, NULL, NULL, NULL
-FROM ev WHERE typ IN ('view', 'click') AND k % 5 = 0 AND prev_id IS NOT NULL"""
+FROM ev WHERE k % 5 = 0 AND prev_id IS NOT NULL"""
 CTES["last_spans"] = "SELECT * FROM all_spans QUALIFY row_number() OVER (PARTITION BY u, span_id ORDER BY seq DESC, pos DESC) = 1"
 FINAL["flatten_otlp_spans"] = """
 SELECT u AS recording, 't' || u AS trace_id, span_id, parent_span_id, name, start_ns, end_ns, is_error, session, n, ok, n2 FROM last_spans"""
@@ -36,7 +36,7 @@ UNION ALL SELECT 'ok', count(ok), min(ok), max(ok) FROM last_spans
 UNION ALL SELECT 'n2', count(n2), min(n2), max(n2) FROM last_spans"""
 FINAL["flatten_otlp_logs"] = """
 SELECT u AS recording, 't' || u AS trace_id, CASE WHEN k % 4 = 0 THEN ns // 1000000 * 1000000 ELSE ns END AS at_ns, typ AS event_name,
-       uuid AS conversation FROM ev0 JOIN uuids USING (u) WHERE typ IN ('error', 'purchase') GROUP BY ALL"""
+       uuid AS conversation FROM ev0 JOIN uuids USING (u) GROUP BY ALL"""
 FINAL["captured_session_ids"] = """
 SELECT DISTINCT u AS recording, uuid AS session FROM ev0 JOIN uuids USING (u) WHERE typ IN ('error', 'purchase')
 UNION
@@ -45,11 +45,11 @@ WHERE typ = 'signup' AND k % 2 = 0 AND k % 3 <> 0"""
 FINAL["flatten_session_export"] = """
 SELECT 'x' || id AS session, 'x' || id AS record_id, ns // 1000 * 1000 AS at_ns, 'run' AS family, 'model_completed' AS kind, 'r' || k AS run,
        CAST(NULL AS VARCHAR) AS task, CAST(NULL AS VARCHAR) AS child_session, '{"duration_ms":"' || k || '","model":"m"}' AS fields
-FROM ev0 WHERE typ = 'view'
+FROM ev0
 UNION ALL
-SELECT 'x' || id, 'z' || id, ns // 1000 * 1000, 'run', 'cancelled', 'r' || k, NULL, NULL, '{"reason":"user"}' FROM ev0 WHERE typ = 'view'"""
+SELECT 'x' || id, 'z' || id, ns // 1000 * 1000, 'run', 'cancelled', 'r' || k, NULL, NULL, '{"reason":"user"}' FROM ev0"""
 FINAL["export_diagnostics"] = """
-SELECT 'x' || id AS session, CAST(k % 2 AS BIGINT) AS gaps, CAST(1 - k % 2 AS BIGINT) AS omitted_live_only FROM ev0 WHERE typ = 'view'"""
+SELECT 'x' || id AS session, CAST(k % 2 AS BIGINT) AS gaps, CAST(1 - k % 2 AS BIGINT) AS omitted_live_only FROM ev0"""
 FINAL["read_transcripts"] = """
 SELECT CAST(conv_id AS VARCHAR) AS file, turn AS seq,
        CASE WHEN turn = 0 OR (turn = 3 AND conv_id % 2 = 0) THEN 'session_meta' WHEN turn = 4 THEN 'token_usage_record' ELSE 'response_item' END AS type
@@ -58,11 +58,17 @@ WHERE CASE WHEN turn >= 4 THEN conv_id % 3 = 0 ELSE turn < 3 OR conv_id % 2 = 1
 
 # ------------------------------------------------------------------- pairing
 FINAL["pair_begin_end"] = """
-SELECT 's' || u AS scope, typ AS event, id, ns AS start_ts,
-       greatest(ns, CASE WHEN k % 4 <> 0 THEN ns + cents * 1000 WHEN u % 3 = 0 THEN last_ns + 1 ELSE last_seen END) AS end_ts,
-       CAST(k % 4 = 0 AS INT) AS incomplete
-FROM ev0 JOIN bounds_u USING (u)
-JOIN (SELECT u, max(CASE WHEN k % 4 <> 0 THEN ns + cents * 1000 ELSE ns END) AS last_seen FROM ev0 GROUP BY u) USING (u)"""
+WITH p AS (
+  SELECT u, typ, id % 3 AS id, ns AS ts, 0 AS side, 1 AS step FROM ev0
+  UNION SELECT u, typ, id % 3, ns + cents * 40000000000, 1, -1 FROM ev0 WHERE k % 4 <> 0),
+s AS (SELECT *, sum(step) OVER w AS height, row_number() OVER w AS n FROM p WINDOW w AS (PARTITION BY u, typ, id ORDER BY ts, side)),
+m AS (
+  SELECT b.u, b.typ, b.id, b.ts, b.n, arg_min(e.ts, e.n) AS own_end FROM s b LEFT JOIN s e
+    ON e.u = b.u AND e.typ = b.typ AND e.id = b.id AND e.step = -1 AND e.n > b.n AND e.height = b.height - 1
+  WHERE b.step = 1 GROUP BY ALL)
+SELECT 's' || u AS scope, typ AS event, id, ts AS start_ts,
+       greatest(ts, coalesce(own_end, CASE WHEN u % 3 = 0 THEN last_ns + 1 END, last_seen)) AS end_ts, CAST(own_end IS NULL AS INT) AS incomplete
+FROM m JOIN bounds_u USING (u) JOIN (SELECT u, max(ts) AS last_seen FROM p GROUP BY u) USING (u)"""
 FINAL["pair_hook_dispatch"] = f"""
 SELECT {SES}, 'tool-execution' AS kind, 'c' || id AS call_id, CASE WHEN k % 2 = 0 THEN 'bash' ELSE 'read' END AS name, ns AS start_ts,
        CASE WHEN k % 4 <> 0 THEN ns + cents * 1000 ELSE 2000000000000000000 END AS end_ts, CAST(k % 4 = 0 AS INT) AS incomplete,
@@ -84,25 +90,44 @@ FROM ev0 JOIN bounds_u USING (u) WHERE typ = 'click' AND k % 3 = 0"""
 
 # ------------------------------------------------------------------ matching
 CTES["streams"] = """
-SELECT u, id * 2 AS stream_id, ns - 5000000 AS s0, ns + (k % 9 - 2) * 1000000 AS s1 FROM ev0 WHERE typ = 'view' AND k % 3 <> 0
-UNION ALL SELECT u, id * 2 + 1, ns - 7000000, ns + 1000000 FROM ev0 WHERE typ = 'view' AND k % 7 = 0"""
-CTES["near"] = """
-SELECT e.id, s.stream_id, s0, s1, count(*) OVER (PARTITION BY e.id) AS a, count(*) OVER (PARTITION BY s.stream_id) AS b
-FROM ev0 e JOIN streams s ON s.u = e.u AND s1 BETWEEN e.ns - 1000000 AND e.ns + 5000000 WHERE e.typ = 'view'"""
-FINAL["match_completion_to_stream"] = f"""
-SELECT e.id, {SES}, n.stream_id, coalesce(s0, ns) AS start_ts, coalesce(s1, ns) AS end_ts, CAST(n.stream_id IS NULL AS INT) AS incomplete,
-       CASE WHEN n.stream_id IS NULL THEN 'unmeasured' ELSE 'native-stream' END AS timing
-FROM ev0 e LEFT JOIN (SELECT * FROM near WHERE a = 1 AND b = 1) n ON n.id = e.id WHERE e.typ = 'view'"""
-CTES["offered_turns"] = "SELECT id AS turn, u, ns - 1000000000 AS early, ns + cents * 40000000000 AS t1 FROM ev0 WHERE typ = 'signup'"
-CTES["prompt_logs"] = """
-SELECT e.id AS log_id, e.u, e.ns, CASE WHEN e.ns <= t.t1 THEN t.turn END AS turn
-FROM (SELECT * FROM ev0 WHERE typ = 'view') e ASOF LEFT JOIN offered_turns t ON t.u = e.u AND e.ns >= t.early"""
-FINAL["match_prompt_log"] = f"""
-WITH firsts AS (SELECT turn, arg_min(log_id, (ns, log_id)) AS log_id, min(ns) AS said FROM prompt_logs WHERE turn IS NOT NULL GROUP BY turn)
-SELECT id, {SES}, log_id, coalesce(said, ns) AS start_ts, ns + cents * 40000000000 AS end_ts, 0 AS incomplete
-FROM ev0 LEFT JOIN firsts ON turn = id WHERE typ = 'signup'
+SELECT u, id * 3 AS stream_id, ns - 5000000 AS s0, ns + (k % 9 - 2) * 1000000 AS s1 FROM ev0 WHERE typ = 'view' AND k % 3 <> 0
+UNION ALL SELECT u, id * 3 + 1, ns - 7000000, ns + 1000000 FROM ev0 WHERE typ = 'view' AND k % 7 = 0
+UNION ALL SELECT u, id * 3 + 2, ns + 2000000, ns + 4000000 FROM ev0 WHERE typ = 'view' AND k % 2 = 0"""
+CTES["completions"] = """
+SELECT u, id * 3 + j AS id, ns + j * 2000000 AS said, row_number() OVER (PARTITION BY u ORDER BY ns + j * 2000000, id * 3 + j) AS n
+FROM ev0, range(3) r(j) WHERE typ = 'view'"""
+
+
+def _taken(takers: str, near: str, pick: str) -> str:
+    """Takers (u, id, n) one after the other with what earlier ones left of the lists in ``near`` (u, n, near)."""
+    return f"""WITH RECURSIVE near AS ({near}),
+walk AS (
+  SELECT DISTINCT u, CAST(0 AS BIGINT) AS n, CAST([] AS BIGINT[]) AS used, CAST(NULL AS BIGINT) AS pick FROM {takers}
+  UNION ALL
+  SELECT u, n, CASE WHEN pick IS NULL THEN used ELSE list_append(used, pick) END, pick
+  FROM (SELECT u, n, used, {pick} AS pick
+        FROM (SELECT w.u, w.n + 1 AS n, w.used, list_filter(near, lambda x: NOT list_contains(w.used, x)) AS free FROM walk w JOIN near d ON d.u = w.u AND d.n = w.n + 1)))
+"""
+
+
+FINAL["match_completion_to_stream"] = f"""{_taken(
+    "completions",
+    "SELECT c.u, c.n, list(stream_id) FILTER (stream_id IS NOT NULL) AS near FROM completions c LEFT JOIN streams s ON s.u = c.u AND s0 <= said + 1000000 AND s1 BETWEEN said - 1000000 AND said + 5000000 GROUP BY ALL",
+    "CASE WHEN len(free) = 1 THEN free[1] END",
+)}
+SELECT c.id, 'session-' || c.u AS session, pick AS stream_id, coalesce(s0, said) AS start_ts, coalesce(s1, said) AS end_ts,
+       CAST(pick IS NULL AS INT) AS incomplete, CASE WHEN pick IS NULL THEN 'unmeasured' ELSE 'native-stream' END AS timing
+FROM completions c JOIN walk w ON w.u = c.u AND w.n = c.n LEFT JOIN streams s ON s.u = c.u AND s.stream_id = w.pick"""
+CTES["log_turns"] = "SELECT u, id, ns AS t0, ns + cents * 40000000000 AS t1, row_number() OVER (PARTITION BY u ORDER BY ns, id) AS n FROM ev0 WHERE typ = 'signup'"
+FINAL["match_prompt_log"] = f"""{_taken(
+    "log_turns",
+    "SELECT t.u, t.n, list(l.id ORDER BY l.ns, l.id) FILTER (l.id IS NOT NULL) AS near FROM log_turns t LEFT JOIN (SELECT * FROM ev0 WHERE typ = 'view') l ON l.u = t.u AND l.ns BETWEEN t0 - 1000000000 AND t1 GROUP BY ALL",
+    "free[1]",
+)}
+SELECT t.id, 'session-' || t.u AS session, pick AS log_id, coalesce(l.ns, t0) AS start_ts, t1 AS end_ts, 0 AS incomplete
+FROM log_turns t JOIN walk w ON w.u = t.u AND w.n = t.n LEFT JOIN ev0 l ON l.id = w.pick
 UNION ALL
-SELECT NULL, {SES}, log_id, ns, NULL, 1 FROM prompt_logs WHERE log_id NOT IN (SELECT log_id FROM firsts)"""
+SELECT NULL, 'session-' || u, id, ns, NULL, 1 FROM ev0 WHERE typ = 'view' AND id NOT IN (SELECT pick FROM walk WHERE pick IS NOT NULL)"""
 FINAL["match_usage_sample"] = """
 SELECT r.id, arg_min(s.id, (s.ns + (s.k % 11 - 3) * 200000000, s.id)) AS sample_id FROM ev0 r JOIN ev0 s ON s.u = r.u
   AND CASE WHEN s.k % 5 = 0 THEN s.k ELSE s.k * 100 END = r.k * 100 AND s.k * 10 = r.k * 10
@@ -261,8 +286,8 @@ _ROLE = "CASE role WHEN 'system' THEN 'system' WHEN 'assistant' THEN 'assistant'
 FINAL["transcript_items"] = f"""
 WITH sec AS (
   SELECT conv_id, turn, 0 AS step, 'section:project rules' AS item, 'rules' AS category, CASE WHEN turn % 4 <> 2 THEN text END AS body, turn % 2 = 0 AS used FROM conversations
-  UNION ALL SELECT conv_id, turn, 0, 'section:skill ' || (turn % 3), 'skills', substr(text, 1, turn + 1), turn % 2 = 0 FROM conversations
-  UNION ALL SELECT conv_id, turn, 0, 'tool:tool' || (turn % 3), 'tools', CAST(to_json({{'name': 'tool' || (turn % 3), 'description': substr(text, 1, 40)}}) AS VARCHAR), turn % 3 = 0 FROM conversations
+  UNION ALL SELECT conv_id, turn, 0, 'section:skill ' || (turn % 3), 'skills', text, turn % 2 = 0 FROM conversations
+  UNION ALL SELECT conv_id, turn, 0, 'tool:tool' || (turn % 3), 'tools', CAST(to_json({{'name': 'tool' || (turn % 3), 'description': text}}) AS VARCHAR), turn % 3 = 0 FROM conversations
   UNION ALL SELECT conv_id, turn, 1, t, 'tools', NULL, turn % 5 = 4 FROM conversations, (VALUES ('tool:tool0'), ('tool:tool2')) v(t)),
 final AS (SELECT * FROM sec WHERE used QUALIFY row_number() OVER (PARTITION BY conv_id, item ORDER BY turn DESC, step DESC) = 1)
 SELECT conv_id AS scope, 'message:' || turn AS item_id, {_ROLE} AS category, length(text) AS chars, CAST(ceil(length(text) / 4) AS BIGINT) AS tokens
@@ -356,11 +381,11 @@ WITH b AS (SELECT context_window_tokens AS w0, context_share AS s0, peak_context
 SELECT capture_id, CASE WHEN coalesce(context_window_tokens = w0, false) AND context_share IS NOT NULL THEN 'share' ELSE 'peak' END AS basis,
        CASE WHEN coalesce(context_window_tokens = w0, false) AND context_share IS NOT NULL THEN context_share - s0 ELSE peak_context - p0 END AS difference FROM runs, b"""
 CTES["failed"] = """
-SELECT o_orderkey AS id, o_orderpriority AS owner, CAST(round(o_totalprice * 100) AS BIGINT) AS duration_ms, n FROM orders
-JOIN (SELECT l_orderkey, sum(f) AS n FROM (SELECT l_orderkey, l_linenumber, max(CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END) AS f FROM lineitem
-        WHERE l_linenumber <= 4 GROUP BY ALL) GROUP BY 1 HAVING count(*) = 4) ON l_orderkey = o_orderkey"""
+SELECT o_orderkey AS id, o_orderpriority AS owner, CAST(round(o_totalprice * 100) AS BIGINT) AS duration_ms, count(f) AS runs, coalesce(sum(f), 0) AS n
+FROM orders LEFT JOIN (SELECT l_orderkey, l_linenumber, max(CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END) AS f FROM lineitem GROUP BY ALL) ON l_orderkey = o_orderkey
+GROUP BY ALL"""
 FINAL["failure_history_audit"] = f"""
-SELECT owner, {C("n = 0")} AS new, {C("n = 4")} AS persistent, {C("n BETWEEN 1 AND 3")} AS intermittent, count(*) AS total FROM failed GROUP BY owner"""
+SELECT owner, {C("n = 0")} AS new, {C("n > 0 AND n = runs")} AS persistent, {C("n > 0 AND n < runs")} AS intermittent, count(*) AS total FROM failed GROUP BY owner"""
 FINAL["slowest_new_failures"] = "SELECT id, duration_ms FROM failed WHERE n = 0 ORDER BY duration_ms DESC, id LIMIT 5"
 CTES["job_points"] = """
 SELECT u, ns AS ts, 1 AS step FROM ev0 WHERE typ = 'click' UNION ALL SELECT u, ns + cents * 10000000000, -1 FROM ev0 WHERE typ = 'click'"""
@@ -403,14 +428,12 @@ SELECT 's' || u AS scope, typ AS event, id, ns // 1000 AS start_us,
        ns // 1000 + CASE WHEN ended THEN cents ELSE 3600000000 END AS end_us, CAST(NOT ended AS INT) AS incomplete
 FROM (SELECT *, coalesce(k % 4 <> 0 AND cents BETWEEN 0 AND 3600000000, false) AS ended FROM ev0)"""
 FINAL["stream_activity_bins"] = """
-SELECT * FROM (SELECT ns // 1000 // 3600000000 * 3600000000 AS start_us, typ AS kind, count(*) AS events FROM ev0 GROUP BY 1, 2)
-WHERE start_us + 3600000000 <= (SELECT us FROM newest) - 600000000"""
+SELECT ns // 1000 // 3600000000 * 3600000000 AS start_us, typ AS kind, count(*) AS events FROM ev0 GROUP BY 1, 2"""
 FINAL["stream_prompt_clusters"] = """
 WITH p AS (SELECT u, ns // 1000 AS us FROM ev0 WHERE typ = 'signup'),
 g AS (SELECT u, us, sum(fresh) OVER (PARTITION BY u ORDER BY us) AS grp FROM
   (SELECT *, CASE WHEN us - lag(us) OVER (PARTITION BY u ORDER BY us) < 21600000000 THEN 0 ELSE 1 END AS fresh FROM p))
-SELECT u AS capture_id, min(us) AS start_us, max(us) + 21600000000 AS end_us, count(*) AS prompts FROM g GROUP BY u, grp
-HAVING end_us <= (SELECT max(us) FROM p) - 3600000000"""
+SELECT u AS capture_id, min(us) AS start_us, max(us) + 21600000000 AS end_us, count(*) AS prompts FROM g GROUP BY u, grp"""
 FINAL["stream_route_telemetry"] = """
 SELECT 't' || u AS trace_id, CAST(id AS VARCHAR) AS id, 'session-' || u AS session, 'routed' AS state FROM ev0
 WHERE u IN (SELECT u FROM ev0 WHERE k % 6 = 0)"""

@@ -202,3 +202,53 @@ def count_overlaps(
         )
         .selectExpr("id", "overlaps", "if(overlaps = 1, cast(_ids as bigint), null) as only_id")
     )
+
+
+def _dyadic(lo: str, hi: str) -> str:
+    """SQL: the aligned stretches of length 2^k that make up [lo, hi), as (_level, _node); at most two of a length."""
+    first, last = f"shiftright({lo} + shiftleft(1L, k) - 1, k)", f"shiftright({hi}, k)"
+    return f"""inline(flatten(transform(sequence(0, cast(ceil(log2({hi} - {lo} + 1)) as int)), k -> filter(
+        array(named_struct('_level', k, '_node', {first}), named_struct('_level', k, '_node', {last} - 1)),
+        (n, i) -> {first} < {last} and if(i = 0, {first} % 2 = 1, {last} % 2 = 1)))))"""
+
+
+def innermost(
+    intervals: DataFrame, keys: Sequence[str], *, group: str, start: str, end: str, id_col: str, blocks: Blocks | None = None
+) -> DataFrame:
+    """Which interval of a key is the innermost one at every point.
+
+    It must start last and end first among those that contain the point.
+    ``group`` numbers sets of overlapping intervals inside a key (see
+    :func:`islands`).  Returns ``keys, edge_ts, at, after`` for each instant where
+    an interval starts or ends: the smallest and the largest innermost id at the
+    instant (one without extent counts there) and in the stretch up to the next
+    edge, as an array of ``(low, high)`` structs.
+
+    The edges of a group are numbered; an interval is the sum of aligned
+    stretches of 2^k edges, of which a stretch keeps the latest start and the
+    earliest end only; an edge then looks at the one stretch of each length around
+    it.  So ``n`` intervals make ``n log n`` rows however they nest, and no list of
+    members exists.
+    """
+    keys = [*keys, group]
+    # equal intervals are one, with its smallest and largest id
+    rows = intervals.select(*keys, F.col(start).alias("_s"), F.col(end).alias("_e"), F.col(id_col).alias("_id"))
+    rows = rows.groupBy(*keys, "_s", "_e").agg(F.struct(F.min("_id").alias("low"), F.max("_id").alias("high")).alias("_ids"))
+    edges = rows.select(*keys, F.explode(F.array("_s", "_e")).alias("_t")).distinct()
+    edges = running(edges, keys, ["_t"], {"_n": Run("row_number")}, blocks, block_order=["_t"]).withColumn("_r", F.col("_n") - 1).drop("_n")
+    wide = rows.filter("_e > _s")
+    placed = (
+        wide.join(edges.withColumnsRenamed({"_t": "_s", "_r": "_lo"}), [*keys, "_s"])
+        .join(edges.withColumnsRenamed({"_t": "_e", "_r": "_hi"}), [*keys, "_e"])
+    )
+    stretches = placed.selectExpr(*keys, "_s", "_e", _dyadic("_lo", "_hi")).groupBy(*keys, "_level", "_node").agg(F.max("_s").alias("_s"), F.min("_e").alias("_e"))
+    # the longest stretch of a group bounds the lengths its edges look at
+    longest = stretches.groupBy(*keys).agg(F.max("_level").alias("_longest"))
+    around = edges.join(longest, keys).selectExpr(*keys, "_t", "_r", "explode(sequence(0, _longest)) as _level").withColumn("_node", F.expr("shiftright(_r, _level)"))
+    best = around.join(stretches, [*keys, "_level", "_node"]).groupBy(*keys, "_t").agg(F.max("_s").alias("_s"), F.min("_e").alias("_e"))
+    after = best.join(wide, [*keys, "_s", "_e"]).selectExpr(*keys, "_t", "_ids as _after")
+    here = rows.filter("_e = _s").selectExpr(*keys, "_s as _t", "_ids as _at")
+    # one without extent is alone at its instant; elsewhere the instant belongs to the stretch
+    choice = edges.join(after, [*keys, "_t"], "left").join(here, [*keys, "_t"], "left")
+    both = choice.select(*keys[:-1], F.col("_t").alias("edge_ts"), F.coalesce("_at", "_after").alias("_at"), "_after")
+    return both.groupBy(*keys[:-1], "edge_ts").agg(F.collect_list("_at").alias("at"), F.collect_list("_after").alias("after"))

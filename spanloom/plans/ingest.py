@@ -2,8 +2,8 @@
 
 Each function is one stage of an ingest job over all recordings.  Frames carry
 their key columns as named in each docstring; times are LONG nanoseconds.
-Matches that a recorder makes one by one in arrival order are stated here as
-mutual uniqueness or as-of joins, which do not depend on the order of work.
+Matches that a recorder makes one by one in arrival order give the same results
+here: see :mod:`spanloom.operators.matching`.
 """
 
 from __future__ import annotations
@@ -13,31 +13,32 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from spanloom.operators.blocks import Blocks, Run, running
-from spanloom.operators.intervals import asof_last, count_overlaps
+from spanloom.operators.intervals import asof_last
+from spanloom.operators.matching import brackets, first_unused, lone_unused
 from spanloom.operators.trees import expand_edges, nearest_ancestor
 
 MS = 1_000_000
 
 
 # ----------------------------------------------------------------- pairing
-def pair_begin_end(events: DataFrame, session_ends: DataFrame) -> DataFrame:
-    """Operations from begin and end rows of one ``(scope, event, id)``.
+def pair_begin_end(events: DataFrame, session_ends: DataFrame, *, blocks: Blocks | None = None) -> DataFrame:
+    """Operations from begin and end rows of ``(scope, event, id)``, last in first out.
 
     ``events``: ``scope, event, id, phase, ts``; ``session_ends``: ``scope,
-    end_ts``.  An operation without an end closes with its session, else with
-    the scope's last event, and is incomplete.
+    end_ts``.  An id may be used again: 1-5 and 10-12 are two operations, and so
+    are 1-12 and 3-5.  Rows delivered twice count once; at equal times begins come
+    first; an end without a begin is dropped.  An operation without an end closes
+    with its session, else with the scope's last event, and is incomplete.
     """
-    ops = events.groupBy("scope", "event", "id").agg(
-        F.expr("min(ts) filter (where phase = 'begin') as start_ts"),
-        F.expr("max(ts) filter (where phase = 'end') as own_end"),
-    ).filter("start_ts is not null")
+    steps = events.select("scope", "event", "id", "phase", "ts").filter("phase in ('begin', 'end')").distinct()
+    ops = brackets(steps, ["scope", "event", "id"], ["ts", "phase"], is_begin="phase = 'begin'", blocks=blocks)
     last = events.groupBy("scope").agg(F.max("ts").alias("last_ts"))
     closed = session_ends.groupBy("scope").agg(F.max("end_ts").alias("session_end"))
     return (
         ops.join(last.join(closed, "scope", "left"), "scope")
         .selectExpr(
-            "scope", "event", "id", "start_ts",
-            "greatest(start_ts, coalesce(own_end, session_end, last_ts)) as end_ts", "own_end is null as incomplete",
+            "scope", "event", "id", "begin.ts as start_ts",
+            "greatest(begin.ts, coalesce(end.ts, session_end, last_ts)) as end_ts", "end is null as incomplete",
         )
     )
 
@@ -111,18 +112,14 @@ def match_completion_to_stream(completions: DataFrame, streams: DataFrame, *, bl
     """Completion logs with the one stream that ended near them.
 
     ``completions``: ``id, session, ts``; ``streams``: ``id, session, start_ts,
-    end_ts``.  Near means from 1 ms before to 5 ms after, both included.  The
-    pair holds if each is the other's only candidate; any other completion is an
-    incomplete instant.  (A recorder that takes streams in arrival order can
-    resolve a second completion after the first took its stream; this does not.)
+    end_ts``.  Near means an end from 1 ms before to 5 ms after, both included,
+    and a start at most 1 ms after.  Completions take streams in the order of
+    ``(ts, id)``; one takes a stream if exactly one is near that none took before,
+    so a second completion can be decided by what the first took.  Any other
+    completion is an incomplete instant.
     """
-    around = completions.selectExpr("id", "session", f"ts - {MS} as ts", f"ts + {5 * MS} + 1 as end_ts")
-    ends = streams.selectExpr("id", "session", "end_ts as ts", "end_ts")
-    one = count_overlaps(around, ends, ["session"], blocks=blocks).filter("overlaps = 1")
-    back = count_overlaps(ends, around, ["session"], blocks=blocks).filter("overlaps = 1").selectExpr("id as only_id")
-    pairs = one.join(back, "only_id", "left_semi").selectExpr("id", "only_id as stream_id")
-    found = streams.selectExpr("id as stream_id", "start_ts", "end_ts")
-    return completions.join(pairs.join(found, "stream_id"), "id", "left").selectExpr(
+    pairs = lone_unused(completions, streams, "session", before=MS, after=5 * MS, slack=MS, blocks=blocks)
+    return completions.join(pairs.withColumnRenamed("offer_id", "stream_id"), "id", "left").selectExpr(
         "id", "session", "stream_id", "coalesce(start_ts, ts) as start_ts", "coalesce(end_ts, ts) as end_ts",
         "stream_id is null as incomplete", "if(stream_id is null, 'unmeasured', 'native-stream') as timing",
     )
@@ -132,21 +129,17 @@ def match_prompt_log(turns: DataFrame, logs: DataFrame, *, blocks: Blocks | None
     """Prompts from turns and the prompt logs that announce them.
 
     ``turns``: ``id, session, start_ts, end_ts``; ``logs``: ``id, session, ts``.
-    A log belongs to the latest turn that starts at most a second after it, if
-    that turn has not ended; a turn takes its first log.  Leftover logs become
-    incomplete prompts.
+    Turns in the order of ``(start_ts, id)`` take the first log from a second
+    before their start to their end that none took before, nested turns included.
+    Leftover logs become incomplete prompts.
     """
-    offered = turns.withColumn("early_ts", F.col("start_ts") - 1000 * MS)
-    placed = asof_last(
-        logs, offered, ["session"], left_ts="ts", right_ts="early_ts", right_tie="id",
-        value=F.struct(F.col("id").alias("turn_id"), "end_ts"), out="turn", blocks=blocks,
-    ).selectExpr("id as log_id", "session", "ts", "if(ts <= turn.end_ts, turn.turn_id, null) as id")
-    first = placed.filter("id is not null").groupBy("id").agg(F.min(F.struct("ts", "log_id")).alias("log"))
-    matched = turns.join(first, "id", "left").selectExpr(
-        "id", "session", "log.log_id as log_id", "coalesce(log.ts, start_ts) as start_ts", "end_ts", "false as incomplete"
-    )
-    left = placed.join(first.select(F.col("log.log_id").alias("log_id")), "log_id", "left_anti").selectExpr(
-        "cast(null as bigint) as id", "session", "log_id", "ts as start_ts", "cast(null as bigint) as end_ts", "true as incomplete"
+    pairs = first_unused(turns, logs, "session", low=f"start_ts - {1000 * MS}", high="end_ts", order=["start_ts"], blocks=blocks)
+    said = pairs.join(logs.selectExpr("id as offer_id", "ts"), "offer_id").selectExpr("id", "offer_id as log_id", "ts")
+    matched = turns.join(said, "id", "left").selectExpr(
+        "id", "session", "log_id", "coalesce(ts, start_ts) as start_ts", "end_ts", "false as incomplete"
+    )
+    left = logs.join(pairs.selectExpr("offer_id as id"), "id", "left_anti").selectExpr(
+        "cast(null as bigint) as id", "session", "id as log_id", "ts as start_ts", "cast(null as bigint) as end_ts", "true as incomplete"
     )
     return matched.unionByName(left)
 

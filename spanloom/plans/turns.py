@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from spanloom.operators.blocks import Run, running
-from spanloom.operators.intervals import asof_last, count_overlaps, interval_sweep, islands
+from spanloom.operators.intervals import asof_last, count_overlaps, innermost, interval_sweep, islands
 from spanloom.operators.trees import nearest_ancestor
 from spanloom.plans.trace import AgentTrace, view
 
@@ -127,32 +127,21 @@ def _containment(t: AgentTrace) -> DataFrame:
     """The innermost prompt around the start of each operation: it must both
     start last and end first among the prompts that contain the point.
 
-    Which prompt that is changes only where a prompt of the group of overlapping
-    prompts starts or ends.  It is found once for each such edge, at the edge
-    (where prompts without extent count too) and for the stretch after it; an
-    as-of scan then hands operations the choice of their edge.  Operations never
-    carry the members of a group, and a group of any size has owners.
+    Which prompt that is changes only where a prompt starts or ends.  It is found
+    for each such edge; an as-of scan then hands operations the choice of theirs.
+    Operations never carry the members of a group, and a group of any size has
+    owners.  Two different ids of one choice stand for an undecided owner.
     """
-    member = F.struct("prompt_id", F.col("start_ts").alias("s"), F.col("attribution_end_ts").alias("e"))
-    groups = t["prompt_cluster_members"].groupBy("capture_id", "cluster_id").agg(F.collect_list(member).alias("members"))
-    edges = groups.select(
-        "capture_id", "members", F.explode(F.array_distinct(F.concat(F.col("members.s"), F.col("members.e")))).alias("edge_ts")
-    )
-    wide = "filter(members, p -> p.s <= edge_ts and edge_ts < p.e)"
-    here = "filter(members, p -> edge_ts >= p.s and (edge_ts < p.e or (p.e = p.s and edge_ts = p.s)))"
-    inner = "transform(filter({0}, p -> p.s = array_max({0}.s) and p.e = array_min({0}.e)), p -> p.prompt_id)"
-    found = edges.selectExpr("capture_id", "edge_ts", f"{wide} as after", f"{here} as at")
-    # groups share an edge where one ends and the next begins: the choice of the next holds
-    choices = found.selectExpr("capture_id", "edge_ts", f"{inner.format('at')} as at", f"{inner.format('after')} as after")
-    choices = choices.groupBy("capture_id", "edge_ts").agg(
-        F.flatten(F.collect_list("at")).alias("at"), F.flatten(F.collect_list("after")).alias("after")
+    choices = innermost(
+        t["prompt_cluster_members"], ["capture_id"], group="cluster_id", start="start_ts", end="attribution_end_ts", id_col="prompt_id",
+        blocks=t.blocks("capture_id"),
     )
     work = t["turn_work"].select("id", "capture_id", "start_ts")
     placed = asof_last(
         work, choices, ["capture_id"], left_ts="start_ts", right_ts="edge_ts", right_tie="edge_ts",
         value=F.struct("edge_ts", "at", "after"), out="edge", blocks=t.blocks("capture_id"),
     )
-    return placed.selectExpr("id", "explode(if(start_ts = edge.edge_ts, edge.at, edge.after)) as prompt_id")
+    return placed.selectExpr("id", "inline(if(start_ts = edge.edge_ts, edge.at, edge.after))")
 
 
 @view()
@@ -178,13 +167,12 @@ def turn_owners(t: AgentTrace) -> DataFrame:
         .join(hop, ["slice_in", "capture_id"]).selectExpr("slice_in as id", f"{TIER_FLOW_TWO} as tier", "low", "high")
     )
     ancestry = t["prompt_ancestry"].join(work, ["id", "capture_id"]).selectExpr("id", "prompt_id", f"{TIER_ANCESTRY} as tier")
-    lone = native.unionByName(ancestry).unionByName(
-        _containment(t).selectExpr("id", "prompt_id", f"{TIER_CONTAINMENT} as tier")
-    )
+    lone = native.unionByName(ancestry)
     candidates = (
         lone.selectExpr("id", "tier", "prompt_id as low", "prompt_id as high")
         .unionByName(direct.selectExpr("id", f"{TIER_FLOW} as tier", "low", "high"))
         .unionByName(second)
+        .unionByName(_containment(t).selectExpr("id", f"{TIER_CONTAINMENT} as tier", "low", "high"))
     )
     # the smallest and largest prompt of the best tier agree iff there is one
     best = candidates.groupBy("id").agg(

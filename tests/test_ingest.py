@@ -97,9 +97,11 @@ def test_only_the_largest_changes_are_kept(spark):
     many = spark.range(100).selectExpr("'a' as scope", "0L as sample", "concat('i', id) as item_id", "'prompts' as category", "id + 1 as tokens")
     samples = spark.createDataFrame([("a", 0, "m")], "scope string, sample long, model string")
     changes = items.context_diff(many, samples)
-    kept = items.retained_changes(changes)
+    assert items.retained_changes(changes).count() == 100
+    kept = items.retained_changes(changes, limit=64)
     assert kept.count() == 64 and kept.agg(F.min("tokens")).first()[0] == 37
-    assert rows(items.snapshot_totals(many, changes)) == [("a", 0, 5050, 64, 36)]
+    assert rows(items.snapshot_totals(many, changes, limit=64)) == [("a", 0, 5050, 64, 36)]
+    assert rows(items.snapshot_totals(many, changes)) == [("a", 0, 5050, 100, 0)]
 
 
 def test_sections_and_tools_can_be_deleted(spark):
