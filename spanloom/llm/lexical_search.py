@@ -32,13 +32,13 @@ from spanloom.llm.common import kept
 
 TOP = 20
 #: Documents of one shard of the index.
-SHARD_DOCS = 4096
+SHARD_DOCS = 1024
 #: Terms of queries that are answered together; more queries than that go in further rounds, so what is sent to tasks is bounded.
 ROUND_TERMS = 100_000
 #: Lists up to this length take part in the first pass.
 SHORT = 64
 #: Bytes of one Arrow batch of texts or shards.
-BATCH_BYTES = 32 << 20
+BATCH_BYTES = 4 << 20
 _SEPARATORS = bytes(b if chr(b).isalnum() or b >= 0x80 else 0x20 for b in range(256))
 _FOLD = _SEPARATORS.lower()
 _INDEX = "ids array<long>, term array<int>, start array<int>, doc array<int>, impact array<long>, top array<long>, pair array<int>, pair_start array<int>, pair_doc array<int>, joint array<long>, pair_top array<long>"
