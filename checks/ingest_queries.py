@@ -18,6 +18,7 @@ from spanloom.plans.activity import CLASSES, work_intervals
 from spanloom.schema import TABLES
 from spanloom.session import shared_folder
 from spanloom.sources import journals
+from spanloom.sources.journal_source import write_journals
 from spanloom.sources.binding import numbered_events, plain_events
 from spanloom.sources.tables import read_trace_tables as read_trace_tables_, write_trace_tables
 
@@ -67,10 +68,41 @@ def parse_observations(spark, sf):
     return journals.parse_observations(_lines(spark, sf)).withColumn("timestamp", F.col("timestamp").cast("bigint"))
 
 
+def _written_journals(spark, sf) -> str:
+    """Journal files of all events: three chunks a session, every fifth session compressed, every seventh broken off after each chunk."""
+    path = f"{shared_folder(spark)}/journals-{uuid.uuid4().hex}"
+    lines = _lines(spark, sf).selectExpr("recording", "seq % 3 as chunk", "seq", "line", "true as committed")
+    cut = ev(spark, sf, "u % 7 = 0").selectExpr("u as recording", "id % 3 as chunk").distinct()
+    lines = lines.unionByName(cut.selectExpr("recording", "chunk", "9000000000L as seq", """'{"source":"hook","timestamp":"1","data":{}}' as line""", "false as committed"))
+    write_journals(lines.filter("recording % 5 <> 0"), path)
+    write_journals(lines.filter("recording % 5 = 0"), path, "gzip")
+    head = sessions(spark, sf).selectExpr(
+        "u as recording", "cast(null as bigint) as chunk", "0L as seq",
+        """concat('[{"source":"process_start","timestamp":"', first_ns, '","data":{"pid":', u, '}},{"source":"clock_snapshot","timestamp":"', first_ns, '","data":{}}]') as line""",
+    )
+    write_journals(head, path)
+    return path
+
+
 @query
 def read_journal(spark, sf):
-    """Health of each journal: valid and corrupt rows."""
-    return journals.journal_health(journals.parse_observations(_lines(spark, sf)))
+    """Observations of each recording, read from journal files with ranges of 16 KB: rows, damaged rows, chunks with damage."""
+    found = journals.read_journal(spark, _written_journals(spark, sf), splitBytes="16384")
+    return found.groupBy(F.expr("cast(recording as bigint)").alias("recording")).agg(
+        F.expr("count_if(source <> 'recovery') as rows"),
+        F.expr("coalesce(sum(cast(get_json_object(data, '$.corrupt_records') as bigint)) filter (where source = 'recovery'), 0L) as corrupt"),
+        F.expr("count_if(source = 'recovery') as damaged_chunks"),
+        F.expr("cast(sum(timestamp) filter (where source <> 'recovery') % 1000000007 as bigint) as clocks"),
+    )
+
+
+@query
+def read_chunked_journal(spark, sf):
+    """All observations of captures: heads, chunks and recovery rows."""
+    found = journals.read_chunked_journal(spark, _written_journals(spark, sf))
+    return found.selectExpr(
+        "cast(recording as bigint) as recording", "chunk", "source", "cast(timestamp as bigint) as timestamp", "replace(data, '.gz', '') as data",
+    )
 
 
 def _span_batches(spark, sf) -> DataFrame:

@@ -15,7 +15,18 @@ FINAL["parse_observations"] = """
 SELECT u AS recording, id AS seq, CAST(k % 13 > 4 AS INT) AS valid, CASE WHEN k % 13 > 4 THEN typ END AS source,
        CASE WHEN k % 13 > 4 THEN ns END AS timestamp, CASE WHEN k % 13 > 4 THEN '{"cents":' || cents || ',"k":' || k || '}' END AS data
 FROM ev0"""
-FINAL["read_journal"] = f"SELECT u AS recording, {C('k % 13 > 4')} AS rows, {C('k % 13 <= 4')} AS corrupt FROM ev0 GROUP BY u"
+CTES["chunks"] = """
+SELECT u, id % 3 AS chunk, count(*) FILTER (k % 13 <= 4) + CASE WHEN u % 7 = 0 THEN 1 ELSE 0 END AS bad, arg_max(ns, id) FILTER (k % 13 > 4) AS last_ns FROM ev0 GROUP BY u, id % 3"""
+FINAL["read_journal"] = f"""
+SELECT u AS recording, rows, coalesce(corrupt, 0)::BIGINT AS corrupt, damaged_chunks, clocks
+FROM (SELECT u, {C('k % 13 > 4')} AS rows, (sum(ns::HUGEINT) FILTER (k % 13 > 4) % 1000000007)::BIGINT AS clocks FROM ev0 GROUP BY u)
+JOIN (SELECT u, sum(bad) AS corrupt, {C('bad > 0')} AS damaged_chunks FROM chunks GROUP BY u) USING (u)"""
+FINAL["read_chunked_journal"] = """
+SELECT u AS recording, id % 3 AS chunk, typ AS source, ns AS timestamp, '{"cents":' || cents || ',"k":' || k || '}' AS data FROM ev0 WHERE k % 13 > 4
+UNION ALL
+SELECT u, chunk, 'recovery', last_ns, '{"incomplete_chunk":"events-' || chunk || '.jsonl","corrupt_records":' || bad || '}' FROM chunks WHERE bad > 0
+UNION ALL SELECT u, -1, 'process_start', first_ns, '{"pid":' || u || '}' FROM bounds_u
+UNION ALL SELECT u, -1, 'clock_snapshot', first_ns, '{}' FROM bounds_u"""
 CTES["own_spans"] = """
 SELECT u, id, 's' || id AS span_id, id AS seq, 0 AS pos, CASE WHEN k % 4 <> 0 THEN 's' || prev_id END AS parent_span_id, typ AS name,
        ns AS start_ns, CASE WHEN k % 10 = 9 THEN ns - 1 ELSE ns + cents * 1000 END AS end_ns, CAST(k % 8 = 0 AS INT) AS is_error,

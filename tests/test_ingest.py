@@ -23,7 +23,7 @@ def test_journal_keeps_valid_rows_and_counts_damage(spark, tmp_path):
     (tmp_path / "a" / "events-1.jsonl").write_text("\n".join([line(data={"k": 1}), *bad, line(timestamp=str(2**64 - 1))]) + "\n")
     (tmp_path / "a" / "events-2.jsonl").write_text(line(data={"k": 2}) + "\n" + line(data={"secret": 3}))
     (tmp_path / "a" / "metadata.json").write_text(json.dumps([{"source": "process_start", "timestamp": "1", "data": {"pid": 7}}]))
-    out = journals.read_chunked_journal(spark, str(tmp_path / "a"))
+    out = journals.read_chunked_journal(spark, str(tmp_path))
     got = sorted(((r.source, json.loads(r.data)) for r in out.collect() if r.source != "hook"), key=str)
     assert got == [
         ("process_start", {"pid": 7}), ("recovery", {"incomplete_chunk": "events-1.jsonl", "corrupt_records": 7}),
@@ -33,6 +33,72 @@ def test_journal_keeps_valid_rows_and_counts_damage(spark, tmp_path):
     assert sorted(r.data for r in out.filter("source = 'hook'").collect()) == ['{"k":1}', '{"k":2}', "{}"]
 
 
+def test_compressed_journals_keep_their_last_row_and_broken_ones_what_is_whole(spark, tmp_path):
+    import bz2
+    import gzip
+
+    text = "".join(line(timestamp=str(i), data={"pad": hashlib.sha256(str(i).encode()).hexdigest()}) + "\n" for i in range(3000)).encode()
+    for name, data in (("whole", gzip.compress(text)), ("open", gzip.compress(text + b'{"source"')), ("broken", gzip.compress(text)[:60_000])):
+        (tmp_path / name).mkdir()
+        (tmp_path / name / "events-1.jsonl.gz").write_bytes(data)
+    (tmp_path / "other").mkdir()
+    (tmp_path / "other" / "events-7.jsonl.bz2").write_bytes(bz2.compress(text))
+    (tmp_path / "other" / "events-8.jsonl").write_bytes(b"")
+    (tmp_path / "other" / "notes.txt").write_bytes(text)
+    got = {(r.recording, r.source): r.n for r in journals.read_journal(spark, str(tmp_path)).groupBy("recording", "source").agg(F.count("*").alias("n")).collect()}
+    broken = got.pop(("broken", "hook"))
+    assert 500 < broken < 3000
+    assert got == {("whole", "hook"): 3000, ("open", "hook"): 3000, ("open", "recovery"): 1, ("broken", "recovery"): 1, ("other", "hook"): 3000}
+
+
+def test_ranges_of_a_chunk_hold_each_line_once(spark, tmp_path):
+    lines = ["", "a", "b" * 300, "", "é" * 40, *[str(i) for i in range(200)], "\r", "end"]
+    (tmp_path / "r").mkdir()
+    (tmp_path / "r" / "events-0.jsonl").write_text("\n".join(lines) + "\n")
+    for size in (1, 7, 64, 100_000):
+        got = journals.journal_lines(spark, str(tmp_path), splitBytes=str(size)).orderBy("seq").collect()
+        assert [r.line for r in got] == lines and all(r.committed for r in got)
+    assert journals.journal_lines(spark, str(tmp_path / "nothing")).count() == 0
+
+
+def test_a_stream_of_a_growing_journal_reads_each_committed_line_once(spark, tmp_path):
+    from spanloom.sources.journal_source import JournalSource
+
+    spark.dataSource.register(JournalSource)
+    folder = tmp_path / "in" / "r"
+    folder.mkdir(parents=True)
+    path = folder / "events-0.jsonl"
+
+    def run():
+        q = (
+            spark.readStream.format("journal").option("splitBytes", "10").load(str(tmp_path / "in")).writeStream.format("parquet")
+            .option("checkpointLocation", str(tmp_path / "check")).option("path", str(tmp_path / "out")).trigger(once=True).start()
+        )
+        q.awaitTermination()
+        return sorted((r.chunk, r.at, r.line) for r in spark.read.parquet(str(tmp_path / "out")).collect())
+
+    path.write_text("one\ntwo\nthr")
+    assert run() == [(0, 0, "one"), (0, 4, "two")]
+    with path.open("a") as f:
+        f.write("ee\nfour\n")
+    (folder / "events-1.jsonl").write_text("five\nsi")
+    assert run() == [(0, 0, "one"), (0, 4, "two"), (0, 8, "three"), (0, 14, "four"), (1, 0, "five")]
+
+
+def test_two_tasks_cannot_write_one_chunk(spark, tmp_path):
+    import pytest
+
+    from spanloom.sources.journal_source import JournalSource, write_journals
+
+    df = spark.range(8).selectExpr("'r' as recording", "0L as chunk", "id as seq", "cast(id as string) as line")
+    write_journals(df, str(tmp_path / "good"))
+    assert (tmp_path / "good" / "r" / "events-0.jsonl").read_text() == "".join(f"{i}\n" for i in range(8))
+    spark.dataSource.register(JournalSource)
+    with pytest.raises(Exception, match="several tasks"):
+        df.drop("seq").repartition(4).write.format("journal").mode("append").save(str(tmp_path / "bad"))
+    assert not list((tmp_path / "bad" / "r").iterdir())
+
+
 def test_pairs_by_scope_and_closes_with_the_session(spark):
     e = spark.createDataFrame(
         [("s", "tool", "1", "begin", 5), ("s", "tool", "1", "end", 9), ("t", "tool", "1", "begin", 6), ("u", "tool", "2", "begin", 7), ("u", "prompt", "3", "begin", 8)],
