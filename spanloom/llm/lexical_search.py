@@ -32,7 +32,7 @@ from spanloom.llm.common import kept
 
 TOP = 20
 #: Documents of one shard of the index.
-SHARD_DOCS = 1024
+SHARD_DOCS = 256
 #: Terms of queries that are answered together; more queries than that go in further rounds, so what is sent to tasks is bounded.
 ROUND_TERMS = 100_000
 #: Lists up to this length take part in the first pass.

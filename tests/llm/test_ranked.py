@@ -45,7 +45,7 @@ def found(df):
     return sorted(((r.item_id, r.rank, r.doc_id, r.score) for r in df.collect()), key=str)
 
 
-@pytest.mark.parametrize("shard,round_terms,short", [(1024, 100_000, 64), (16, 40, 3)])
+@pytest.mark.parametrize("shard,round_terms,short", [(256, 100_000, 64), (16, 40, 3)])
 def test_search_equals_brute_force(spark, monkeypatch, shard, round_terms, short):
     monkeypatch.setattr(lexical_search, "SHARD_DOCS", shard)
     monkeypatch.setattr(lexical_search, "ROUND_TERMS", round_terms)
