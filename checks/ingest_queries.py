@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from spanloom.functions import text
 from spanloom.operators.blocks import Run, running
 from spanloom.operators.intervals import interval_sweep as sweep
-from spanloom.plans import compare, ingest, items
+from spanloom.plans import compare, ingest, items, load
 from spanloom.plans.activity import CLASSES, work_intervals
 from spanloom.schema import TABLES
 from spanloom.session import shared_folder
@@ -105,6 +105,87 @@ def read_chunked_journal(spark, sf):
     )
 
 
+def _mod_lines(spark, sf) -> DataFrame:
+    """Lines of a recorder of begins and ends: prompts, responses, tools with executions, launched agents and compactions of each session."""
+
+    def row(ts: str, event: str, phase: str, id_: str, **more: str) -> str:
+        fields = {"event": f"'{event}'", "phase": f"'{phase}'", "id": id_, "session_id": "concat('session-', u)"} | more
+        return f"""struct({ts} as ts, to_json(named_struct({', '.join(f"'{k}', {v}" for k, v in fields.items())})) as data)"""
+
+    def usage(**parts: str) -> str:
+        return f"""named_struct({', '.join(f"'{k}', {v}" for k, v in parts.items())})"""
+
+    worker = "concat('w', id)"
+    rows = {
+        "signup": [row("ns", "prompt", "begin", "concat('p', id)", prompt="concat('please ', k)"), "if(k % 4 <> 0, " + row("ns + cents * 40000000000", "prompt", "end", "concat('p', id)") + ", null)"],
+        "view": [
+            row("ns", "response", "begin", "concat('r', id)", model="concat('m', k % 3)"),
+            "if(k % 4 <> 0, " + row("ns + cents * 1000000", "response", "end", "concat('r', id)", usage=usage(
+                input_tokens="if(k % 7 = 0, null, k * 100)", output_tokens="k * 10", cache_read_input_tokens="k", cache_creation_input_tokens="if(k % 2 = 0, 3L, null)")) + ", null)",
+        ],
+        "click": [
+            row("ns", "tool", "begin", "concat('c', id)", tool="'Bash'"),
+            row("ns + cents * 1000000", "execution", "end", "concat('c', id)", duration_ms="if(k % 3 = 0, cents + 5D, cents * 0.5D)", is_error="k % 5 = 0"),
+            "if(k % 4 <> 0, " + row("ns + cents * 1000000 + 2000000", "tool", "end", "concat('c', id)", is_error="k % 5 = 0") + ", null)",
+        ],
+        "error": [
+            row("ns", "tool", "begin", "concat('l', id)", tool="'Agent'"),
+            row("ns + 1000", "agent", "begin", worker, agent_id=worker, call_id="concat('l', id)", role="'auditor'", model="'child'", prompt="'verify'"),
+            row("ns + 2000", "response", "begin", "concat('x', id)", agent_id=worker, model="'child'"),
+            row("ns + 5000", "response", "end", "concat('x', id)", agent_id=worker, usage=usage(input_tokens="4L", output_tokens="7L")),
+            "if(k % 2 = 0, " + row("ns + 6000", "prompt", "end", "concat('x', id)", agent_id=worker) + ", null)",
+            "if(k % 4 <> 0, " + row("ns + 7000", "tool", "end", "concat('l', id)", is_error="false") + ", null)",
+        ],
+        "purchase": [
+            row("ns", "compaction", "begin", "concat('k', id)", trigger="if(k % 2 = 0, 'precompute', 'manual')"),
+            "if(k % 4 <> 0, " + row("ns + cents * 1000", "compaction", "end", "concat('k', id)", success="true", pre_tokens="k * 50", post_tokens="if(k % 3 <> 0, k * 10, null)") + ", null)",
+        ],
+    }
+    parts = [
+        ev(spark, sf, f"typ = '{typ}'").selectExpr("u as recording", "id", f"posexplode(array({', '.join(some)})) as (pos, r)").filter("r is not null")
+        for typ, some in rows.items()
+    ]
+    begin = row("first_ns", "session", "begin", "concat('session-', u)", model="concat('m', u % 3)")
+    end = row("last_ns + 10000000000000", "session", "end", "concat('session-', u)", reason="'exit'", dropped="u % 2")
+    parts.append(sessions(spark, sf).selectExpr("u as recording", "-1L as id", f"posexplode(array({begin}, if(u % 3 = 0, {end}, null))) as (pos, r)").filter("r is not null"))
+    lines = parts[0]
+    for more in parts[1:]:
+        lines = lines.unionByName(more)
+    return lines.selectExpr(
+        "recording", "pmod(id, 3) as chunk", "id * 10 + pos as seq",
+        """concat('{"source":"claude.mod","timestamp":"', r.ts, '","data":', r.data, '}') as line""",
+    )
+
+
+@query
+def ingest_journals(spark, sf):
+    """Journal files loaded as trace tables in two batches, the first one run again: slices, counters and flows."""
+    path = f"{shared_folder(spark)}/load-{uuid.uuid4().hex}"
+    write_journals(_mod_lines(spark, sf), f"{path}/journals")
+    found = journals.read_journal(spark, f"{path}/journals")
+    store = load.TraceStore(spark, f"{path}/traces")
+    store.load(0, found.filter("chunk = 0"))
+    store.load(1, found.filter("chunk > 0"))
+    store.load(0, found.filter("chunk = 0"))
+    tables = store.tables()
+    scope = tables["slice"].filter("attrs.kind = 'capture'").selectExpr("track_id as scope_track", "attrs.session_id as scope")
+    root = tables["track"].selectExpr("id as track_id", "parent_id as root", "name as track")
+    scoped = root.join(root.join(scope, F.col("track_id") == F.col("scope_track")).select("root", "scope"), "root")
+    slices = tables["slice"].join(scoped, "track_id")
+    first = slices.selectExpr(
+        "'slice' as part", "scope", "concat(track, ':', name) as name", "ts", "dur as value",
+        "concat_ws('/', attrs.kind, attrs.incomplete, attrs.model, attrs.timing, attrs.child_session, attrs.is_error, attrs.text, attrs.parent_session) as detail",
+    )
+    counters = tables["counter"].join(scoped, "track_id").selectExpr("'counter' as part", "scope", "track as name", "ts", "cast(value as bigint) as value", "cast(null as string) as detail")
+    ends = slices.select("id", "scope", F.concat("track", F.lit(":"), "name").alias("name"), "ts")
+    flows = (
+        tables["flow"].join(ends.withColumnsRenamed({"id": "slice_out"}), "slice_out")
+        .join(ends.selectExpr("id as slice_in", "scope as scope_in", "name as name_in", "ts as ts_in"), "slice_in")
+        .selectExpr("'flow' as part", "scope", "concat(name, '>', name_in) as name", "ts", "ts_in as value", "scope_in as detail")
+    )
+    return first.unionByName(counters).unionByName(flows)
+
+
 def _span_batches(spark, sf) -> DataFrame:
     def attrs() -> str:
         return """array(named_struct('key', 'session.id', 'value', to_json(named_struct('stringValue', concat('session-', u)))),

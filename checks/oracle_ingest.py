@@ -27,6 +27,67 @@ UNION ALL
 SELECT u, chunk, 'recovery', last_ns, '{"incomplete_chunk":"events-' || chunk || '.jsonl","corrupt_records":' || bad || '}' FROM chunks WHERE bad > 0
 UNION ALL SELECT u, -1, 'process_start', first_ns, '{"pid":' || u || '}' FROM bounds_u
 UNION ALL SELECT u, -1, 'clock_snapshot', first_ns, '{}' FROM bounds_u"""
+# one row per operation: its scope, name, bounds (end null while open) and what the recorder said
+CTES["mod_last"] = """
+SELECT u, CASE WHEN u % 3 = 0 THEN max(last_ns) + 10000000000000 ELSE max(t) END AS capture_end FROM (
+  SELECT u, greatest(ns + CASE WHEN typ = 'signup' AND k % 4 <> 0 THEN cents * 40000000000 WHEN typ = 'view' AND k % 4 <> 0 THEN cents * 1000000
+    WHEN typ = 'click' THEN cents * 1000000 + CASE WHEN k % 4 <> 0 THEN 2000000 ELSE 0 END WHEN typ = 'purchase' AND k % 4 <> 0 THEN cents * 1000
+    WHEN typ = 'error' THEN CASE WHEN k % 4 <> 0 THEN 7000 WHEN k % 2 = 0 THEN 6000 ELSE 5000 END ELSE 0 END, ns) AS t FROM ev0) JOIN bounds_u USING (u) GROUP BY u"""
+CTES["mod_root"] = """
+SELECT u, first_ns AS t0, greatest(max(ns + CASE typ WHEN 'click' THEN cents * 1000000 + CASE WHEN k % 4 <> 0 THEN 2000000 ELSE 0 END ELSE
+    CASE WHEN k % 4 = 0 THEN 0 WHEN typ = 'signup' THEN cents * 40000000000 WHEN typ = 'view' THEN cents * 1000000 WHEN typ = 'purchase' THEN cents * 1000 ELSE 7000 END END),
+  CASE WHEN bool_or(k % 4 = 0) OR u % 3 = 0 THEN any_value(capture_end) ELSE 0 END) AS t1
+FROM ev0 JOIN bounds_u USING (u) JOIN mod_last USING (u) GROUP BY u, first_ns"""
+CTES["mod_child"] = """
+SELECT u, id, k, ns + 1000 AS t0, CASE WHEN k % 2 = 0 THEN ns + 6000 ELSE capture_end END AS t1 FROM ev0 JOIN mod_last USING (u) WHERE typ = 'error'"""
+CTES["mod_prompts"] = """
+SELECT u, 'session-' || u AS scope, id, ns AS t0, CASE WHEN k % 4 <> 0 THEN ns + cents * 40000000000 ELSE capture_end END AS t1, k % 4 = 0 AS cut, 'please ' || k AS said
+FROM ev0 JOIN mod_last USING (u) WHERE typ = 'signup'
+UNION ALL SELECT u, 'session-' || u || '/w' || id, id, t0, t1, k % 2 <> 0, 'verify' FROM mod_child"""
+CTES["mod_responses"] = """
+SELECT u, 'session-' || u AS scope, id, ns AS t0, CASE WHEN k % 4 <> 0 THEN ns + cents * 1000000 ELSE capture_end END AS t1, k % 4 = 0 AS cut, 'm' || (k % 3) AS model,
+  CASE WHEN k % 4 <> 0 AND k % 7 <> 0 THEN k * 100 END AS i, CASE WHEN k % 4 <> 0 THEN k * 10 END AS o, CASE WHEN k % 4 <> 0 AND k % 7 <> 0 AND k % 2 = 0 THEN k * 101 + 3 END AS size
+FROM ev0 JOIN mod_last USING (u) WHERE typ = 'view'
+UNION ALL SELECT u, 'session-' || u || '/w' || id, id, ns + 2000, ns + 5000, false, 'child', 4, 7, NULL FROM ev0 WHERE typ = 'error'"""
+CTES["mod_tools"] = """
+SELECT *, CASE WHEN fits THEN run - took ELSE t0 END AS s0, CASE WHEN fits THEN run ELSE t1 END AS s1 FROM (
+  SELECT *, coalesce(run <= t1 AND took <= t1 - t0 + 1000000, false) AS fits FROM (
+    SELECT u, 'session-' || u AS scope, id, ns AS t0, typ, k,
+      CASE WHEN k % 4 = 0 THEN capture_end WHEN typ = 'click' THEN ns + cents * 1000000 + 2000000 ELSE ns + 7000 END AS t1, k % 4 = 0 AS cut,
+      CASE WHEN typ = 'click' THEN ns + cents * 1000000 END AS run, CASE WHEN typ = 'click' THEN CASE WHEN k % 3 = 0 THEN cents * 1000000 + 5000000 ELSE cents * 500000 END END AS took,
+      CASE WHEN typ = 'click' THEN 'Bash' ELSE 'Agent' END AS name, CASE WHEN typ = 'error' THEN 'session-' || u || '/w' || id END AS child,
+      CASE WHEN typ = 'click' THEN CAST(k % 5 = 0 AS INT) WHEN k % 4 <> 0 THEN 0 END AS err
+    FROM ev0 JOIN mod_last USING (u) WHERE typ IN ('click', 'error')))"""
+CTES["mod_compactions"] = """
+SELECT u, 'session-' || u AS scope, ns AS t0, CASE WHEN k % 4 <> 0 THEN ns + cents * 1000 ELSE capture_end END AS t1, k % 4 = 0 AS cut, CASE WHEN k % 2 = 0 THEN 'precompute' ELSE 'compact' END AS name,
+  CASE WHEN k % 4 <> 0 THEN k * 50 END AS before, CASE WHEN k % 4 <> 0 AND k % 3 <> 0 THEN k * 10 END AS after
+FROM ev0 JOIN mod_last USING (u) WHERE typ = 'purchase'"""
+CTES["mod_scopes"] = """
+SELECT 'session-' || u AS scope, t0, t1, u % 3 <> 0 OR u % 2 = 1 AS cut, 'm' || (u % 3) AS model, CAST(NULL AS VARCHAR) AS parent FROM mod_root
+UNION ALL SELECT 'session-' || u || '/w' || id, t0, t1, k % 2 <> 0, 'child', 'session-' || u FROM mod_child"""
+FINAL["ingest_journals"] = """
+SELECT 'slice' AS part, scope, 'Session:profile (1)' AS name, t0 AS ts, t1 - t0 AS value, concat_ws('/', 'capture', CASE WHEN cut THEN 1 END, model, 'mod-hooks', parent) AS detail FROM mod_scopes
+UNION ALL SELECT 'slice', scope, 'Inputs:prompt-input', t0, 0, 'prompt-input' FROM mod_prompts
+UNION ALL SELECT 'slice', scope, 'Session:prompt', t0, t1 - t0, concat_ws('/', 'prompt', CASE WHEN cut THEN 1 END, said) FROM mod_prompts
+UNION ALL SELECT 'slice', scope, 'Responses:response', t0, t1 - t0, concat_ws('/', 'assistant-message', CASE WHEN cut THEN 1 END, model, 'mod-request-including-retries') FROM mod_responses
+UNION ALL SELECT 'slice', scope, 'Turns:turn', t0, t1 - t0, concat_ws('/', 'turn', CASE WHEN cut THEN 1 END) FROM mod_responses
+UNION ALL SELECT 'slice', scope, 'Tools:' || name, s0, s1 - s0, concat_ws('/', 'tool-execution', CASE WHEN cut OR NOT fits THEN 1 END,
+  CASE WHEN fits THEN 'reported-execution-duration' ELSE 'dispatch-only' END, child, err) FROM mod_tools
+UNION ALL SELECT 'slice', scope, 'Tool dispatch:' || name, t0, t1 - t0, concat_ws('/', 'tool-dispatch', CASE WHEN cut THEN 1 END, 'including-permissions-and-hooks') FROM mod_tools
+UNION ALL SELECT 'slice', scope, 'Compaction:' || name, t0, t1 - t0, concat_ws('/', 'compaction', CASE WHEN cut THEN 1 END, 'mod-compaction') FROM mod_compactions
+UNION ALL SELECT 'counter', scope, 'llm.tokens.input', t1, CAST(sum(i) OVER (PARTITION BY scope ORDER BY t1, id) AS BIGINT), NULL FROM mod_responses WHERE i IS NOT NULL
+UNION ALL SELECT 'counter', scope, 'llm.tokens.output', t1, CAST(sum(o) OVER (PARTITION BY scope ORDER BY t1, id) AS BIGINT), NULL FROM mod_responses WHERE o IS NOT NULL
+UNION ALL SELECT 'counter', scope, 'llm.tokens.' || n, t, 0, NULL FROM (SELECT scope, t0 AS t FROM mod_scopes UNION ALL SELECT scope, t1 FROM mod_scopes), (VALUES ('input'), ('output')) v(n)
+UNION ALL SELECT 'counter', scope, 'llm.context.estimated_tokens', t1, size, NULL FROM mod_responses WHERE size IS NOT NULL
+UNION ALL SELECT 'counter', scope, 'llm.context.estimated_tokens', t0, before, NULL FROM mod_compactions WHERE before IS NOT NULL
+UNION ALL SELECT 'counter', scope, 'llm.context.estimated_tokens', t1, coalesce(after, 0), NULL FROM mod_compactions WHERE NOT cut OR after IS NOT NULL
+UNION ALL SELECT 'flow', scope, 'Inputs:prompt-input>Session:prompt', t0, t0, scope FROM mod_prompts
+UNION ALL SELECT 'flow', r.scope, 'Session:prompt>Responses:response', arg_min(p.t0, (p.t0, p.id)), r.t0, r.scope FROM mod_responses r JOIN mod_prompts p ON p.scope = r.scope AND r.t0 BETWEEN p.t0 AND p.t1
+  GROUP BY r.scope, r.id, r.t0
+UNION ALL SELECT 'flow', scope, 'Tool dispatch:' || name || '>Tools:' || name, t0, s0, scope FROM mod_tools WHERE s0 >= t0
+UNION ALL SELECT 'flow', t.scope, 'Responses:response>Tools:' || t.name, r.t0, t.s0, t.scope FROM mod_tools t ASOF JOIN mod_responses r ON r.scope = t.scope AND t.t0 >= r.t0 WHERE t.s0 >= r.t0
+UNION ALL SELECT 'flow', scope, CASE WHEN s0 <= t0 + 1000 THEN 'Tools:Agent' ELSE 'Tool dispatch:Agent' END || '>Inputs:prompt-input', CASE WHEN s0 <= t0 + 1000 THEN s0 ELSE t0 END, t0 + 1000, child
+  FROM mod_tools WHERE name = 'Agent'"""
 CTES["own_spans"] = """
 SELECT u, id, 's' || id AS span_id, id AS seq, 0 AS pos, CASE WHEN k % 4 <> 0 THEN 's' || prev_id END AS parent_span_id, typ AS name,
        ns AS start_ns, CASE WHEN k % 10 = 9 THEN ns - 1 ELSE ns + cents * 1000 END AS end_ns, CAST(k % 8 = 0 AS INT) AS is_error,
