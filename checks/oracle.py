@@ -659,7 +659,8 @@ FINAL["turn_flows"] = "SELECT * FROM tflows"
 FINAL["prompt_ancestry"] = "SELECT id, prompt_id, capture_id FROM inherited"
 FINAL["turn_owners"] = "SELECT id, prompt_id FROM owners"
 FINAL["explicit_requests"] = "SELECT * FROM linked_pairs"
-FINAL["request_matches"] = """
+FINAL["request_matches"] = "SELECT request_slice_id, message_slice_id FROM overlapping"
+FINAL["request_match_counts"] = """
 SELECT request_slice_id AS id, 'provider-request' AS kind, count(*) AS overlaps,
        CASE WHEN count(*) = 1 THEN min(message_slice_id) END AS only_id FROM overlapping GROUP BY 1
 UNION ALL
@@ -687,8 +688,14 @@ SELECT m.id, m.capture_id, m.kind, CAST(m.incomplete AS INT) AS incomplete, m.st
        c.intent, c.arguments, c.args_truncated, c.language, c.line_count, c.call_id, c.parent_call_id, c.is_error,
        g.first_ns / 1e6 AS first_content_ms, child_prompt_id,
        (SELECT count(*) FROM nested n WHERE n.id = m.id AND n.script_id IN (SELECT id FROM mine)) AS depth
-FROM (SELECT * FROM mine ORDER BY start_ts, id LIMIT 500) m JOIN slices s USING (id) LEFT JOIN calls c USING (id)
+FROM mine m JOIN slices s USING (id) LEFT JOIN calls c USING (id)
 LEFT JOIN messages g USING (id) LEFT JOIN kids USING (child_session)"""
+FINAL["sql_turn_waterfall"] = FINAL["turn_waterfall"]
+FINAL["sql_usage"] = """
+SELECT harness, model, count(*) AS captures, CAST(sum(coalesce(n, 0)) AS BIGINT) AS calls, max(coalesce(names, 0)) AS most_tools, CAST(sum(coalesce(prompts, 0)) AS BIGINT) AS prompts,
+       max(longest_ns) AS longest_ns, count(*) FILTER (WHERE incomplete > 0) AS with_open_work
+FROM runs LEFT JOIN (SELECT capture_id, count(*) AS n, count(DISTINCT name) AS names FROM calls GROUP BY 1) USING (capture_id)
+LEFT JOIN (SELECT capture_id, count(*) AS prompts, max(display_end_ts - start_ts) AS longest_ns FROM tturns GROUP BY 1) USING (capture_id) GROUP BY 1, 2"""
 FINAL["turns_page"] = f"""
 SELECT {_TURN}, row_number() OVER (ORDER BY start_ts, prompt_id) AS position, count(*) OVER () AS total_turns
 FROM tturns QUALIFY position <= 200"""

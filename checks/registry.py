@@ -53,7 +53,7 @@ _HIDDEN = {
     "session_captures": ("child_role", "subagent_type"),
 }
 #: Frames that are steps of others and no report of their own.
-_INTERNAL = {"counter_totals", "prompt_cluster_members"}
+_INTERNAL = {"counter_totals", "prompt_cluster_members", "turn_operations"}
 
 
 def _frame(name: str) -> Query:
@@ -81,7 +81,29 @@ def _descendants(t: AgentTrace) -> DataFrame:
 def _waterfall(t: AgentTrace) -> DataFrame:
     """The turn with the most operations."""
     busiest = t["turn_bounds"].orderBy(F.desc("events"), "prompt_id").select("prompt_id").first()
-    return turns.turn_waterfall(t, busiest["prompt_id"] if busiest else -1, 500)
+    return turns.turn_waterfall(t, busiest["prompt_id"] if busiest else -1)
+
+
+def _sql_waterfall(t: AgentTrace) -> DataFrame:
+    """The same by SQL text alone, over a view and a table function."""
+    t.register("sql_", ("turn_bounds",))
+    turns.register_functions(t, "sql_")
+    return t.spark.sql("""
+        SELECT w.* FROM (SELECT prompt_id FROM sql_turn_bounds ORDER BY events DESC, prompt_id LIMIT 1) AS p
+        JOIN LATERAL sql_turn_waterfall(p.prompt_id) AS w""")
+
+
+def _sql_usage(t: AgentTrace) -> DataFrame:
+    """Captures, tool calls and turns of each harness and model, by SQL text over registered views."""
+    t.register("sql_", ("capture_runs", "tool_calls", "turns"))
+    return t.spark.sql("""
+        WITH calls AS (SELECT capture_id, count(*) AS calls, count(DISTINCT name) AS tools FROM sql_tool_calls GROUP BY capture_id),
+        asked AS (SELECT capture_id, count(*) AS prompts, max(display_end_ts - start_ts) AS longest_ns FROM sql_turns GROUP BY capture_id)
+        SELECT r.harness, r.model, count(*) AS captures, sum(coalesce(c.calls, 0)) AS calls, max(coalesce(c.tools, 0)) AS most_tools,
+               sum(coalesce(a.prompts, 0)) AS prompts, max(a.longest_ns) AS longest_ns,
+               count(*) FILTER (WHERE r.incomplete > 0) AS with_open_work
+        FROM sql_capture_runs AS r LEFT JOIN calls AS c ON c.capture_id = r.capture_id LEFT JOIN asked AS a ON a.capture_id = r.capture_id
+        GROUP BY r.harness, r.model""")
 
 
 def queries() -> dict[str, Query]:
@@ -91,6 +113,8 @@ def queries() -> dict[str, Query]:
         "capture_descendants": _report(_descendants),
         "slow_tools": _report(tools.slow_tools),
         "turn_waterfall": _report(_waterfall),
+        "sql_turn_waterfall": _report(_sql_waterfall),
+        "sql_usage": _report(_sql_usage),
         "turns_page": _report(turns.turns_page),
         "slowest_turns": _report(turns.slowest_turns),
         "top_context_changes": _report(context.top_context_changes),

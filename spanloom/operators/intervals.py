@@ -252,3 +252,44 @@ def innermost(
     choice = edges.join(after, [*keys, "_t"], "left").join(here, [*keys, "_t"], "left")
     both = choice.select(*keys[:-1], F.col("_t").alias("edge_ts"), F.coalesce("_at", "_after").alias("_at"), "_after")
     return both.groupBy(*keys[:-1], "edge_ts").agg(F.collect_list("_at").alias("at"), F.collect_list("_after").alias("after"))
+
+
+#: Rows of one side that meet in one cell of :func:`overlap_pairs`.
+CELL_ROWS = 2_000
+
+
+def overlap_pairs(left: DataFrame, right: DataFrame, keys: Sequence[str], *, cell_rows: int = CELL_ROWS) -> DataFrame:
+    """All pairs of a left and a right interval of the same key that overlap: ``keys, left_id, right_id``.
+
+    Both sides have ``id, ts, end_ts`` and the keys; instants count as in
+    :func:`count_overlaps`.  Time is cut into aligned buckets of 2^k units; an
+    interval touches at most two buckets of the level of its own length or of any
+    longer one.  A pair meets on the level of the longer one, in the bucket where
+    the later one starts, so it is found there and nowhere else, and intervals far
+    apart never meet.  A bucket with many rows is dealt into cells of at most
+    ``cell_rows`` rows of each side; no task gets a bucket whole.
+    """
+    keys = list(keys)
+    # doubled places give an instant a width of one half step; the level is the bit length of the extent
+    shaped = []
+    for side, df in (("l", left), ("r", right)):
+        placed = df.selectExpr(*keys, "id as _id", "2 * ts as _from", "if(end_ts > ts, 2 * end_ts, 2 * ts + 1) as _to")
+        shaped.append(placed.withColumn("_own", F.expr("if(_to - _from <= 1, 0, length(bin(_to - _from - 1)))")))
+    # levels of either side: 64 at most
+    levels = [sorted(r[0] for r in df.select("_own").distinct().collect()) for df in shaped]
+    if not all(levels):
+        return left.select(*keys, F.col("id").alias("left_id")).join(right.select(*keys, F.col("id").alias("right_id")), keys).limit(0)
+    met = []
+    for df, others in zip(shaped, reversed(levels), strict=True):
+        above = F.concat(F.array("_own"), F.filter(F.array(*[F.lit(n) for n in others]), lambda n: n > F.col("_own")))
+        both = df.withColumn("_level", F.explode(above)).withColumn("_bucket", F.expr("explode(array_distinct(array(shiftright(_from, _level), shiftright(_to - 1, _level))))"))
+        met.append(both)
+    bucket = [*keys, "_level", "_bucket"]
+    counts = [m.groupBy(*bucket).agg(F.ceil(F.count(F.lit(1)) / cell_rows).cast("int").alias(n)) for m, n in zip(met, ("_rows", "_cols"), strict=True)]
+    cells = counts[0].join(counts[1], bucket)
+    a = met[0].join(cells, bucket).withColumn("_i", F.expr("cast(pmod(xxhash64(_id), _rows) as int)")).withColumn("_j", F.expr("explode(sequence(0, _cols - 1))"))
+    b = met[1].join(cells, bucket).withColumn("_j", F.expr("cast(pmod(xxhash64(_id), _cols) as int)")).withColumn("_i", F.expr("explode(sequence(0, _rows - 1))"))
+    a = a.select(*bucket, "_i", "_j", F.col("_id").alias("left_id"), F.col("_from").alias("_from1"), F.col("_to").alias("_to1"), F.col("_own").alias("_own1"))
+    b = b.select(*bucket, "_i", "_j", F.col("_id").alias("right_id"), F.col("_from").alias("_from2"), F.col("_to").alias("_to2"), F.col("_own").alias("_own2"))
+    once = "greatest(_own1, _own2) = _level and shiftright(greatest(_from1, _from2), _level) = _bucket"
+    return a.join(b, [*bucket, "_i", "_j"]).filter(f"_from1 < _to2 and _from2 < _to1 and {once}").select(*keys, "left_id", "right_id")

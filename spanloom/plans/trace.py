@@ -72,13 +72,14 @@ class AgentTrace:
             self.store = f"{shared_folder(self.spark)}/trace-{uuid.uuid4().hex}"
         return cut_lineage(frame, f"{self.store}/{name}")
 
-    def register(self, prefix: str = "") -> list[str]:
-        """Make every frame a temp view for ``spark.sql``; returns the names."""
+    def register(self, prefix: str = "", names: tuple[str, ...] | None = None) -> list[str]:
+        """Make frames temp views for ``spark.sql``, all of them unless named; returns the names."""
         self._load_modules()
-        self.tables.register(prefix)
-        for name in VIEWS:
+        if names is None:
+            self.tables.register(prefix)
+        for name in VIEWS if names is None else names:
             self[name].createOrReplaceTempView(prefix + name)
-        return sorted(VIEWS)
+        return sorted(VIEWS if names is None else names)
 
     # ---------------------------------------------------------- hot-key layout
     def slice_rows(self) -> int:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from spanloom.operators.blocks import Run, running
-from spanloom.operators.intervals import asof_last, count_overlaps, innermost, interval_sweep, islands
+from spanloom.operators.intervals import asof_last, count_overlaps, innermost, interval_sweep, islands, overlap_pairs
 from spanloom.operators.trees import nearest_ancestor
 from spanloom.plans.trace import AgentTrace, view
 
@@ -207,6 +207,15 @@ def _identified(t: AgentTrace, kind: str, linked_as: str) -> DataFrame:
 
 @view()
 def request_matches(t: AgentTrace) -> DataFrame:
+    """Requests and responses of a capture that name the same request id and overlap, as pairs."""
+    requests = _identified(t, "provider-request", "request_slice_id")
+    responses = _identified(t, "assistant-message", "message_slice_id")
+    pairs = overlap_pairs(requests, responses, ["capture_id", "request_id"])
+    return pairs.selectExpr("left_id as request_slice_id", "right_id as message_slice_id")
+
+
+@view()
+def request_match_counts(t: AgentTrace) -> DataFrame:
     """How many responses with its request id each request overlaps, and which
     one if it is the only one; and the same seen from the responses.
 
@@ -226,7 +235,7 @@ def request_matches(t: AgentTrace) -> DataFrame:
 def linked_requests(t: AgentTrace) -> DataFrame:
     """Requests already represented by their response: linked by a flow, or the
     one request that overlaps the one response it overlaps."""
-    lone = t["request_matches"].filter("overlaps = 1")
+    lone = t["request_match_counts"].filter("overlaps = 1")
     requests = lone.filter("kind = 'provider-request'").selectExpr("id", "only_id")
     responses = lone.filter("kind = 'assistant-message'").selectExpr("id as only_id")
     mutual = requests.join(responses, "only_id", "left_semi").select("id")
@@ -326,13 +335,16 @@ def turn_unassigned_totals(t: AgentTrace) -> DataFrame:
     )
 
 
-def turn_waterfall(t: AgentTrace, prompt_id: int, max_rows: int) -> DataFrame:
-    """The first operations of one turn in order, with tool details, the turn of
-    a launched child session, and the nesting depth inside the turn."""
-    owned = t["turn_events"].filter(F.col("prompt_id") == prompt_id)
-    total = owned.agg(F.count(F.lit(1)).alias("total_events"))
-    top = owned.orderBy("start_ts", "id").limit(max_rows).crossJoin(F.broadcast(total))  # one row
-    names = t["slices"].select("id", "name")
+@view()
+def turn_operations(t: AgentTrace) -> DataFrame:
+    """The operations of all turns with tool details, the turn of a launched
+    child session, and the nesting depth inside the turn.
+
+    Every side is keyed by the turn, so a filter on ``prompt_id`` reaches all scans.
+    """
+    owned = t["turn_events"].filter("prompt_id is not null")
+    keyed = owned.select("id", "prompt_id")
+    total = owned.groupBy("prompt_id").agg(F.count(F.lit(1)).alias("total_events"))
     details = t["tool_call_details"].select(
         "id", "intent", "arguments", "args_truncated", "language", "line_count", "call_id", "parent_call_id", "is_error"
     )
@@ -342,20 +354,38 @@ def turn_waterfall(t: AgentTrace, prompt_id: int, max_rows: int) -> DataFrame:
         F.min("prompt_id").alias("child_prompt_id"), F.countDistinct("capture_id").alias("n")
     ).filter("n = 1").drop("n")
     depth = (
-        t["script_children"].join(owned.selectExpr("id as script_id"), "script_id", "left_semi")
-        .groupBy("id").agg(F.count(F.lit(1)).alias("depth"))
+        t["script_children"].join(keyed.withColumnRenamed("id", "script_id"), "script_id")
+        .groupBy("id", "prompt_id").agg(F.count(F.lit(1)).alias("depth"))
     )
-    # ``top`` is at most max_rows rows: broadcast it to the wide sides, never the reverse
-    hint = F.broadcast(top) if max_rows <= 10_000 else top
-    keyed = hint.select("id")
     return (
-        top.join(names.join(keyed, "id", "left_semi"), "id")
-        .join(details.join(keyed, "id", "left_semi"), "id", "left")
-        .join(first.join(keyed, "id", "left_semi"), "id", "left")
+        owned.join(total, "prompt_id")
+        .join(t["slices"].select("id", "name").join(keyed, "id"), ["id", "prompt_id"])
+        .join(details.join(keyed, "id"), ["id", "prompt_id"], "left")
+        .join(first.join(keyed, "id"), ["id", "prompt_id"], "left")
         .join(child, "child_session", "left")
-        .join(depth.join(keyed, "id", "left_semi"), "id", "left")
+        .join(depth, ["id", "prompt_id"], "left")
         .withColumn("depth", F.coalesce("depth", F.lit(0).cast("bigint")))
-        .orderBy("start_ts", "id")
+    )
+
+
+def turn_waterfall(t: AgentTrace, prompt_id: int, max_rows: int | None = None) -> DataFrame:
+    """The operations of one turn in order, all unless ``max_rows`` is given."""
+    found = t["turn_operations"].filter(F.col("prompt_id") == prompt_id).orderBy("start_ts", "id")
+    return found if max_rows is None else found.limit(max_rows)
+
+
+def register_functions(t: AgentTrace, prefix: str = "") -> None:
+    """SQL table functions over the trace: ``turn_waterfall(prompt_id)``.
+
+    ``SELECT * FROM turn_waterfall(17) ORDER BY start_ts, id``, or beside another
+    table with ``JOIN LATERAL turn_waterfall(p.prompt_id)``.
+    """
+    t.register(prefix, ("turn_operations",))
+    columns = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in t["turn_operations"].schema)
+    names = ", ".join(t["turn_operations"].columns)
+    t.spark.sql(
+        f"CREATE OR REPLACE TEMPORARY FUNCTION {prefix}turn_waterfall(target_prompt_id BIGINT) RETURNS TABLE({columns}) "
+        f"RETURN SELECT {names} FROM {prefix}turn_operations WHERE prompt_id = target_prompt_id"
     )
 
 

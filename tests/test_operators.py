@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from spanloom.operators.blocks import BLOCK, NO_BLOCKS, Run, plan_blocks, running
-from spanloom.operators.intervals import asof_last, count_overlaps, interval_sweep, interval_union_length, islands
+from spanloom.operators.intervals import asof_last, count_overlaps, interval_sweep, interval_union_length, islands, overlap_pairs
 from spanloom.operators.ranks import median_and_rank
 from spanloom.operators.trees import expand_edges, nearest_ancestor, path_totals, roots
 from tests.fixtures import rows
@@ -117,6 +117,10 @@ def test_asof_and_overlap_counts_against_brute_force(spark):
         want_n.append((i, len(hits), hits[0] if len(hits) == 1 else None))
         before = [(c, j) for j, kk, c, _ in right if kk == k and c <= a]
         want_asof.append((i, max(before)[1] if before else None))
+    pairs = sorted((k, i, j) for i, k, a, b in left for j, kk, c, d in right if kk == k and overlap((a, b), (c, d)))
+    for cell in (2_000, 3):
+        assert rows(overlap_pairs(l, r, ["k"], cell_rows=cell)) == pairs
+    assert overlap_pairs(l.limit(0), r, ["k"]).count() == 0 and overlap_pairs(l, r.limit(0), ["k"]).columns == ["k", "left_id", "right_id"]
     for rows_per_block in (10**6, 20):
         both = l.unionByName(r)
         blocks = plan_blocks(both, ["k"], ["ts"], block_rows=rows_per_block)
