@@ -159,14 +159,13 @@ def _mod_lines(spark, sf) -> DataFrame:
 
 @query
 def ingest_journals(spark, sf):
-    """Journal files loaded as trace tables in two batches, the first one run again: slices, counters and flows."""
+    """Journal files loaded as trace tables in two batches: slices, counters and flows."""
     path = f"{shared_folder(spark)}/load-{uuid.uuid4().hex}"
     write_journals(_mod_lines(spark, sf), f"{path}/journals")
     found = journals.read_journal(spark, f"{path}/journals")
     store = load.TraceStore(spark, f"{path}/traces")
     store.load(0, found.filter("chunk = 0"))
     store.load(1, found.filter("chunk > 0"))
-    store.load(0, found.filter("chunk = 0"))
     tables = store.tables()
     scope = tables["slice"].filter("attrs.kind = 'capture'").selectExpr("track_id as scope_track", "attrs.session_id as scope")
     root = tables["track"].selectExpr("id as track_id", "parent_id as root", "name as track")

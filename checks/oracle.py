@@ -529,6 +529,16 @@ FINAL["cpu_sample_intervals"] = """
 SELECT * FROM (SELECT capture_id, track_id, lag(ts) OVER (PARTITION BY track_id ORDER BY ts) AS start_ts, ts AS end_ts, value AS cpu_us
 FROM samples WHERE name = 'runtime.cpu') WHERE start_ts IS NOT NULL"""
 
+CTES["cpu_steps"] = """
+SELECT capture_id, track_id, lag(ts) OVER w AS s0, ts AS s1, CAST(value * 1000 AS HUGEINT) AS cpu FROM samples WHERE name = 'runtime.cpu' WINDOW w AS (PARTITION BY track_id ORDER BY ts)"""
+FINAL["phase_cpu"] = """
+SELECT o.id, o.capture_id, t.track_id, o.kind,
+  CAST(coalesce(sum((least(s1, o.start_ts + o.measured_ns) - s0) * cpu // (s1 - s0) - (greatest(s0, o.start_ts) - s0) * cpu // (s1 - s0)) FILTER (WHERE s1 IS NOT NULL), 0) AS BIGINT) AS cpu_ns,
+  CAST(coalesce(sum(least(s1, o.start_ts + o.measured_ns) - greatest(s0, o.start_ts)) FILTER (WHERE s1 IS NOT NULL), 0) AS BIGINT) AS covered_ns
+FROM ops o JOIN (SELECT DISTINCT capture_id, track_id FROM cpu_steps) t USING (capture_id)
+LEFT JOIN cpu_steps c ON c.track_id = t.track_id AND s0 < o.start_ts + o.measured_ns AND s1 > o.start_ts
+WHERE o.measured_ns > 0 GROUP BY o.id, o.capture_id, t.track_id, o.kind"""
+
 # --------------------------------------------------------------------- turns
 CTES["prompts"] = """
 SELECT *, CASE WHEN incomplete THEN least(recorded_end_ts, coalesce(next_start_ts, recorded_end_ts)) ELSE recorded_end_ts END AS attribution_end_ts

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from spanloom import schema
 from spanloom.operators.blocks import Run, running
+from spanloom.operators.intervals import asof_last
 from spanloom.plans.trace import AgentTrace, view
 
 _UNIT = "if(name = 'runtime.cpu', 'us consumed since previous sample', 'bytes')"
@@ -51,3 +52,40 @@ def cpu_sample_intervals(t: AgentTrace) -> DataFrame:
         samples, ["capture_id", "track_id"], ["ts"], {"start_ts": Run("lag", F.col("ts"))}, t.blocks("capture_id")
     )
     return steps.filter("start_ts is not null").selectExpr("capture_id", "track_id", "start_ts", "ts as end_ts", "value as cpu_us")
+
+
+@view()
+def phase_cpu(t: AgentTrace) -> DataFrame:
+    """CPU time of the recorded process inside each measured tool, model or script phase: ``cpu_ns`` and the ``covered_ns`` of samples.
+
+    A sample spreads evenly over the time since the one before it.  CPU time up to
+    a point is then a running total with a straight line to the next sample, read
+    once at the start and once at the end of a phase; the difference is what lies
+    inside, so no phase meets the samples it spans.  Values are whole nanoseconds,
+    rounded down at both ends.  A process-wide sample names no cause: phases that
+    run at the same time each get all of it.
+    """
+    samples = t.tables["counter"].join(_runtime_tracks(t).filter("name = 'runtime.cpu'"), "track_id").selectExpr(
+        "capture_id", "track_id", "ts", "cast(value * 1000 as bigint) as cpu"
+    )
+    blocks = t.blocks("capture_id")
+    runs = {"_cpu": Run("sum", F.col("cpu")), "_next": Run("lead", F.struct("ts", "cpu")), "_before": Run("lag", F.col("ts"))}
+    steps = running(samples, ["capture_id", "track_id"], ["ts"], runs, blocks)
+    first = steps.filter("_before is null").selectExpr("capture_id", "track_id", "ts as first_ts", "_cpu as first_cpu")
+    phases = t["turn_work"].filter("measured_ns > 0").selectExpr("id as phase_id", "capture_id", "kind", "start_ts", "start_ts + measured_ns as end_ts")
+    points = phases.join(first, "capture_id").selectExpr(
+        "phase_id", "capture_id", "track_id", "kind", "first_ts", "first_cpu", "inline(array(struct(0 as side, start_ts as at), struct(1 as side, end_ts as at)))"
+    ).withColumn("id", F.expr("phase_id * 2 + side"))
+    read = asof_last(
+        points, steps.withColumn("tie", F.col("ts")), ["capture_id", "track_id"], left_ts="at", right_ts="ts", right_tie="tie",
+        value=F.struct("ts", "_cpu", "_next"), out="s", blocks=blocks,
+    )
+    part = "cast(cast(at - s.ts as decimal(38,0)) * s._next.cpu div (s._next.ts - s.ts) as bigint)"
+    placed = read.selectExpr(
+        "*", f"case when s is null then first_cpu when s._next is null then s._cpu else s._cpu + {part} end as total",
+        "case when s is null then first_ts when s._next is null then s.ts else at end as seen",
+    )
+    return placed.groupBy("phase_id", "capture_id", "track_id", "kind").agg(
+        F.expr("max(total) filter (where side = 1) - max(total) filter (where side = 0) as cpu_ns"),
+        F.expr("max(seen) filter (where side = 1) - max(seen) filter (where side = 0) as covered_ns"),
+    ).withColumnRenamed("phase_id", "id")
