@@ -22,7 +22,18 @@ def scratch(spark: SparkSession, name: str) -> str:
 
 def kept(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a written table: lineage ends here and nothing is computed twice."""
-    return cut_lineage(df, scratch(df.sparkSession, name))
+    path = scratch(df.sparkSession, name)
+    out = cut_lineage(df, path)
+    out._table = path
+    return out
+
+
+def superseded(*frames: DataFrame) -> None:
+    """Delete the tables of :func:`kept` frames that no later job reads."""
+    for df in frames:
+        spark, path = df.sparkSession, df._table
+        location = spark._jvm.org.apache.hadoop.fs.Path(path)
+        location.getFileSystem(spark._jsc.hadoopConfiguration()).delete(location, True)
 
 
 def _signature(edges: DataFrame) -> tuple:
