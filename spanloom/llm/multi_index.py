@@ -5,8 +5,10 @@ the cell (i, j) of its nearest centroids, so two small codebooks make a fine
 grid.  A probe visits cells by the multi-sequence order: the pair of sorted
 lists of the halves is walked from the smallest sum on.  The sum used is the
 squared distance from the probe to the cell's two Voronoi regions (a lower
-bound), so when it passes the squared radius no further cell can hold a partner:
-the walk ends at a recall of 1, or earlier for a smaller ``target_recall``.
+bound), so when it passes the squared radius no further cell can hold a partner
+and the walk would end at a recall of 1.  Partners lie far below that bound: where
+the walk ends for a smaller target recall is measured on partners at the limit of
+the similarity, in random directions from sampled vectors.
 """
 
 from __future__ import annotations
@@ -22,7 +24,11 @@ from spanloom.llm.common import components, kept
 from spanloom.llm.vectors import matrix, unit, usable_rows
 
 BLOCK_ROWS, PART_ROWS, SLICE = 4096, 8192, 1024
-MAX_CENTROIDS = 256
+MAX_CENTROIDS = 1024
+#: Partners of sampled vectors on which the end of the walks is measured.
+REACH_ROWS = 4096
+#: Rows of a cell, about, until the codebooks have their largest size.
+CELL_ROWS = 16
 
 
 def train_codebook(x: np.ndarray, k: int, seed: int, steps: int = 10) -> np.ndarray:
@@ -91,6 +97,20 @@ class MultiIndex:
         i, j = (squared(x, c).argmin(axis=1) for x, c in zip(self.halves(u), self.books, strict=True))
         return i * self.shape[1] + j
 
+    def reach(self, u: np.ndarray, cosine: float, target_recall: float, seed: int = 9) -> float:
+        """The sum up to which a walk finds this share of partners whose cosine is just the smallest one."""
+        certain = 2 - 2 * cosine + 1e-9
+        if target_recall >= 1 or not len(u) or u.shape[1] < 2:
+            return certain
+        u = np.resize(u, (REACH_ROWS, u.shape[1]))  # several directions from each of few vectors
+        away = np.random.default_rng(seed).standard_normal(u.shape)
+        away -= (away * u).sum(axis=1, keepdims=True) * u
+        y = cosine * u + math.sqrt(1 - cosine**2) * unit(away)
+        total = np.zeros(len(u))
+        for x, z, c in zip(self.halves(u), self.halves(y), self.books, strict=True):
+            total += region_bounds(x, c)[np.arange(len(u)), squared(z, c).argmin(axis=1)]
+        return min(certain, float(np.quantile(total, target_recall)) + 1e-9)
+
     def visits(self, u: np.ndarray, limit: float):
         bounds = [region_bounds(x, c) for x, c in zip(self.halves(u), self.books, strict=True)]
         for a, b in zip(*bounds, strict=True):
@@ -115,7 +135,7 @@ def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def near_duplicates(
-    vectors: DataFrame, cosine: float = 0.95, target_recall: float = 1.0, sample_rows: int = 20_000, id_col: str = "vec_id", vec_col: str = "embedding"
+    vectors: DataFrame, cosine: float = 0.95, target_recall: float = 0.9999, sample_rows: int = 20_000, id_col: str = "vec_id", vec_col: str = "embedding"
 ) -> DataFrame:
     """``(vec_id, n_links, component_id, kept)`` for every row.
 
@@ -126,7 +146,8 @@ def near_duplicates(
     class that is compared once and counted with its number of rows; near copies
     are counted block by block, and each block gives a spanning forest instead
     of its links.  Codebooks are fitted on at most ``sample_rows`` classes chosen
-    by hash; every row is indexed.  A cell with a third of all rows is cut into
+    by hash, and the end of the walks on at most ``REACH_ROWS`` of these; every row
+    is indexed.  A cell with a third of all rows is cut into
     blocks, and the probes of a block into parts, of fixed size.
     """
     rows = usable_rows(vectors, id_col, vec_col)
@@ -153,10 +174,11 @@ def near_duplicates(
 
 def _links(classes: DataFrame, n: int, cosine: float, target_recall: float, sample_rows: int) -> DataFrame:
     """Rows (0, class, rows of other classes linked) and (1, class, class) for classes of one dimension."""
-    k = min(MAX_CENTROIDS, max(4, 2 ** round(math.log2(math.sqrt(max(1, n) / 64)))))
+    k = min(MAX_CENTROIDS, max(4, 2 ** round(math.log2(math.sqrt(max(1, n) / CELL_ROWS)))))
     pick = classes if n <= sample_rows else classes.filter(F.pmod(F.xxhash64("cls", F.lit(5)), F.lit(1 << 20)) < int((1 << 20) * sample_rows / n))
-    index = MultiIndex(matrix(pick.orderBy(F.xxhash64("cls"), "cls").limit(2 * sample_rows).select("vec").toPandas()["vec"]), k)
-    limit = (2 - 2 * cosine) * target_recall**2 + 1e-9
+    sample = matrix(pick.orderBy(F.xxhash64("cls"), "cls").limit(2 * sample_rows).select("vec").toPandas()["vec"])
+    index = MultiIndex(sample, k)
+    limit = index.reach(unit(sample)[:REACH_ROWS], cosine, target_recall)
 
     def place(batches):
         for pdf in batches:
