@@ -16,6 +16,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
+from spanloom.llm.common import kept
+
 DIMENSIONS = 2048
 _LETTER = re.compile(r"[^\W\d_]")
 _VALUE = np.random.default_rng(11).integers(1, 2**31, (3, 256), dtype=np.uint32)
@@ -114,13 +116,13 @@ def learn(docs: DataFrame, sample_rows: int = 4000, id_col: str = "doc_id", text
     """
     rows = docs.filter(F.col(id_col).isNotNull() & F.col(lang_col).isNotNull() & F.col(text_col).rlike(r"\p{L}"))
     rows = rows.filter(F.crc32(F.col(id_col).cast("string").cast("binary")) % 4 != 2)
-    counts = {r["lang"]: r["n"] for r in docs.filter(F.col(lang_col).isNotNull()).groupBy(F.col(lang_col).alias("lang")).agg(F.count(F.lit(1)).alias("n")).collect()}
-    each = sample_rows / max(1, len(counts))
-    limit = F.lit(0)
-    for lang, n in counts.items():
-        limit = F.when(F.col(lang_col) == lang, int((1 << 20) * min(1.0, each / n))).otherwise(limit)
-    rows = rows.filter(F.pmod(F.xxhash64(id_col, F.lit(3)), F.lit(1 << 20)) < limit)
-    sample = rows.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).mapInPandas(_described, "lang string, x binary").toPandas()
+    rows = rows.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
+    # rates come from the rows that are learned from, and from no others
+    counts = kept(rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")), "language-counts")
+    langs = counts.count()
+    rates = counts.select("lang", (F.lit(1 << 20) * F.least(F.lit(1.0), F.lit(sample_rows / max(1, langs)) / F.col("n"))).cast("long").alias("limit"))
+    rows = rows.join(rates, "lang").filter(F.pmod(F.xxhash64("id", F.lit(3)), F.lit(1 << 20)) < F.col("limit"))
+    sample = rows.select("text", "lang").mapInPandas(_described, "lang string, x binary").toPandas()
     languages = sorted(sample["lang"].unique())
     place = {lang: i for i, lang in enumerate(languages)}
     x = np.stack([np.frombuffer(b, dtype=np.float32) for b in sample["x"]]) if len(sample) else np.zeros((0, DIMENSIONS), np.float32)
