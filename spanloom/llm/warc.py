@@ -205,12 +205,13 @@ def write_packages(
     names only packages of tasks that ended well.
     """
     rows = pages.select(F.col(id_col).alias("id"), F.col(uri_col).cast("string").alias("uri"), F.coalesce(F.col(payload_col), F.lit("")).alias("payload"))
-    narrow = rows.select("id", F.unhex(F.sha1(F.encode("payload", "UTF-8"))).alias("digest"), F.octet_length("payload").alias("bytes"))
+    rows = rows.withColumn("digest", F.unhex(F.sha1(F.encode("payload", "UTF-8"))))
+    narrow = rows.select("id", "digest", F.octet_length("payload").alias("bytes"))
     narrow = kept(narrow.filter(f"id is not null and bytes >= {int(min_bytes)}"), "warc-digests")
     groups = narrow.groupBy("digest").agg(F.max("id").alias("last"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    revisits = narrow.join(groups, "digest").filter("id < last").select("id", F.col("last").cast("string").alias("refers_to")).distinct()
+    revisits = narrow.join(groups, "digest").filter("id < last").select("id", "digest", F.col("last").cast("string").alias("refers_to")).distinct()
     revisits = kept(revisits, "warc-revisits")
-    shaped = rows.join(revisits, "id", "left").select(F.coalesce(F.col("id").cast("string"), F.lit("")).alias("record_id"), "uri", "refers_to", "payload")
+    shaped = rows.join(revisits, ["id", "digest"], "left").select(F.coalesce(F.col("id").cast("string"), F.lit("")).alias("record_id"), "uri", "refers_to", "payload")
     return kept(shaped.mapInPandas(_package_writer(folder, date, level), "path string, records long"), "warc-manifest")
 
 
