@@ -14,12 +14,18 @@ import html as entities
 import math
 import re
 import zlib
+from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 
 # Fixed values of HTML: which elements hold no text, end a block, or have no end tag.
-SILENT = frozenset("script style noscript template svg math iframe object canvas head title select datalist audio video".split())
+SILENT = frozenset("script style noscript template svg iframe object canvas head title select datalist audio video".split())
+#: Of these: without an end tag the rest of the page is theirs; any other is then passed over as if it were empty.
+RAW = frozenset("script style title".split())
+#: Elements nested deeper than this have the path of the element at this depth, as in browsers.
+DEPTH = 512
 BREAKING = frozenset(
     (
         "address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3"
@@ -34,7 +40,8 @@ IMPLIED = {
 CLOSES_P = BREAKING - {"body", "html", "button", "label", "legend", "caption", "td", "th", "tr", "tbody", "thead", "tfoot", "option", "summary", "figcaption"}
 SCOPE = frozenset("ul ol dl table td th button body html".split())
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|</?([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+_NAME = re.compile(r"</?([A-Za-z][^\s/>]*)")
+_STOP = re.compile(r"[>\"']")
 _MARK = re.compile(r"(?:^|\s)(class|id|role|itemprop|hidden|aria-hidden)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?", re.I)
 _WORD = re.compile(r"[a-z]+")
 
@@ -63,20 +70,75 @@ def _marks(tag: str, attributes: str) -> tuple[str, ...]:
     return tuple(out)
 
 
+def tags(page: str) -> Iterator[tuple[int, int, str | None, str]]:
+    """(start, end, name, attributes) of tags in order; the name of an end tag begins with ``/``, that of a comment or declaration is None.
+
+    One pass: a quoted value reaches to its closing quote.  If a quote is never
+    closed, tags from there on end at the next ``>``, whatever the quotes; one
+    without it is text.  The reader may send the place to go on from.
+    """
+    at, quoted = 0, True
+    while (start := page.find("<", at)) >= 0:
+        at = start + 1
+        if page.startswith("<!--", start):
+            stop = page.find("-->", start + 4)
+            end = stop + 3 if stop >= 0 else len(page)
+            at = (yield start, end, None, "") or end
+            continue
+        if page[at : at + 1] in ("!", "?"):
+            stop = page.find(">", at)
+            end = stop + 1 if stop >= 0 else len(page)
+            at = (yield start, end, None, "") or end
+            continue
+        m = _NAME.match(page, start)
+        if not m:
+            continue
+        end = -1
+        if quoted:
+            k = m.end()
+            while (stop := _STOP.search(page, k)) and stop[0] != ">":
+                k = page.find(stop[0], stop.end()) + 1
+                if not k:
+                    stop = None
+                    break
+            quoted = stop is not None
+            end = stop.end() if stop else -1
+        if not quoted:
+            end = page.find(">", m.end()) + 1
+            if not end:
+                return
+        name = m[1].lower()
+        at = (yield start, end, "/" + name if page[start + 1] == "/" else name, page[m.end() : end - 1]) or end
+
+
+def _end_of(page: str, tag: str, at: int, known: dict[str, tuple[int, int]]) -> tuple[int, int] | None:
+    """Place of the next end tag of an element; each is searched for once."""
+    found = known.get(tag)
+    if found is None or (found[0] >= 0 and found[0] < at):
+        m = re.compile(rf"</{re.escape(tag)}\s*/?>", re.I).search(page, at)
+        found = known[tag] = (m.start(), m.end()) if m else (-1, -1)
+    return found if found[0] >= 0 else None
+
+
 def blocks(page: str | None) -> list[Block]:
     """Leaf blocks of a page in order: white space collapsed and trimmed, character references decoded, empty ones left out.
 
     A block ends where an element that is not inline begins or ends.  Elements
     without an end tag are closed as HTML does; a page that breaks off is read
     to its end.  Script, style and other elements without text of their own are
-    skipped whole.
+    skipped whole; one that is never closed, or only behind another one of its name,
+    hides nothing that follows it.  Time and memory grow with the page, also for
+    pages of unclosed quotes or elements.
     """
     if not page:
         return []
     out, parts, linked, in_link = [], [], 0, 0
     stack: list[str] = []
     paths: list[tuple[str, ...]] = [()]
+    opened: Counter[str] = Counter()
     at, end = 0, len(page)
+    ends: dict[str, tuple[int, int]] = {}
+    starts: dict[str, int] = {}
 
     def flush() -> None:
         nonlocal linked
@@ -91,6 +153,7 @@ def blocks(page: str | None) -> list[Block]:
         nonlocal in_link
         while stack:
             top = stack.pop()
+            opened[top] -= 1
             if top in BREAKING:
                 flush()
             paths.pop()
@@ -98,42 +161,59 @@ def blocks(page: str | None) -> list[Block]:
             if top == tag:
                 break
 
-    while at < end:
-        m = _TOKEN.search(page, at)
-        piece = page[at : m.start()] if m else page[at:]
+    def hidden(tag: str, at: int) -> int:
+        """Where reading goes on behind a silent element that begins here: its end, or right here if it isn't closed on its own."""
+        if tag == "head":  # its end tag may be missing
+            stop = re.compile(r"</head\s*>|<body[\s>]", re.I).search(page, at)
+            return (stop.end() if stop[0][1] == "/" else stop.start()) if stop else at
+        stop = _end_of(page, tag, at, ends)
+        if tag in RAW:
+            return stop[1] if stop else end
+        if not stop:
+            return at
+        if starts.get(tag, -1) < at:
+            again = re.compile(rf"<{re.escape(tag)}[\s/>]", re.I).search(page, at)
+            starts[tag] = again.start() if again else end
+        return stop[1] if starts[tag] > stop[0] else at
+
+    reader, go = tags(page), None
+    while True:
+        try:
+            token = reader.send(go)
+        except StopIteration:
+            token = None
+        go = None
+        piece = page[at : token[0]] if token else page[at:]
         if piece:
             parts.append(piece)
             if in_link:
                 linked += len(piece.strip())
-        if not m:
+        if not token:
             break
-        at = m.end()
-        if m[1] is None:
+        _, at, tag, attributes = token
+        if tag is None:
             continue
-        tag = m[1].lower()
-        if m[0][1] == "/":
-            if tag in stack:
+        if tag[0] == "/":
+            tag = tag[1:]
+            if opened[tag]:
                 close(tag)
             elif tag == "br":
                 parts.append(" ")
             elif tag in BREAKING:
                 flush()
             continue
-        if tag in SILENT and not m[2].endswith("/"):
-            stop = re.compile(rf"</{re.escape(tag)}\s*/?>", re.I).search(page, at)
-            if tag == "head":  # its end tag may be missing
-                stop = re.compile(r"</head\s*>|<body[\s>]", re.I).search(page, at)
-                at = (stop.end() if stop[0][1] == "/" else stop.start()) if stop else at
-                continue
-            at = stop.end() if stop else end
-            if tag not in ("script", "style", "noscript", "template"):
+        if tag in SILENT and not attributes.endswith("/"):
+            at = go = hidden(tag, at)
+            if tag not in ("script", "style", "noscript", "template", "head"):
                 parts.append(" ")
             continue
         if tag in BREAKING:
             flush()
-        if tag in CLOSES_P and "p" in stack:
+        if tag in CLOSES_P and opened["p"]:
             close("p")
         for other in IMPLIED.get(tag, ()):
+            if not opened[other]:
+                continue
             for k in range(len(stack) - 1, -1, -1):
                 if stack[k] == other:
                     close(other)
@@ -144,10 +224,11 @@ def blocks(page: str | None) -> list[Block]:
             if tag not in ("wbr",):
                 parts.append(" ")
             continue
-        if m[2].endswith("/") and tag not in BREAKING:
+        if attributes.endswith("/") and tag not in BREAKING:
             continue
         stack.append(tag)
-        paths.append(paths[-1] + _marks(tag, m[2]))
+        opened[tag] += 1
+        paths.append(paths[-1] + _marks(tag, attributes) if len(stack) <= DEPTH else paths[-1])
         in_link += tag == "a"
     flush()
     return out

@@ -26,6 +26,40 @@ def test_blocks_of_awkward_markup():
     assert blocks("<p>ab <a href=x>link</a></p>")[0].linked == 4
 
 
+@pytest.mark.parametrize("tag", "video audio object svg math select canvas iframe datalist".split())
+def test_elements_that_are_never_closed_hide_nothing(tag):
+    assert texts(f"<article><p>one</p><{tag} src=a><p>two</p><p>three</p></article>") == ["one", "two", "three"]
+    assert texts(f"<p>a</p><{tag} src=a><p>b</p><{tag}>x</{tag}><p>c</p>")[:2] == ["a", "b"]
+
+
+def test_closed_silent_elements_are_skipped_whole():
+    assert texts("<p>a <video><p>no video</p></video>b<svg><text>s</text></svg></p><select><option>o</select><p>c") == ["a b", "c"]
+    assert texts("<p>E is <math><mi>mc</mi></math>.") == ["E is mc."]
+    assert texts("<p>a</p><script>var x = '<p>'") == ["a"]
+
+
+def test_broken_pages_take_time_and_memory_in_proportion():
+    import time
+    import tracemalloc
+
+    pages = {
+        "quotes": '<a title="x ' * 90_000, "mixed": "<p>t<a title='x <b title=\"y " * 40_000, "inline": "<p>a" + "<font class=x>" * 100_000 + "b</p><p>c",
+        "items": "<font>" * 50_000 + "<li>x" * 50_000, "ends": "<b><i>" * 50_000 + "x" + "</b>" * 50_000, "hidden": "<p>x<video>" * 50_000 + "</video>",
+    }
+    for name, page in pages.items():
+        tracemalloc.start()
+        began = time.perf_counter()
+        found = blocks(page)
+        assert time.perf_counter() - began < 20, name
+        assert tracemalloc.get_traced_memory()[1] < 200e6, name
+        tracemalloc.stop()
+        if name == "inline":
+            assert [b.text for b in found] == ["ab", "c"]
+        if name == "items":
+            assert len(found) == 50_000
+    assert texts('<p>before</p><a title="never closed>link</a><p>after</p>') == ["before", "link", "after"]
+
+
 def test_gradients_by_differences():
     rng = np.random.default_rng(0)
     net = BiLSTM(hidden=3)
