@@ -11,7 +11,12 @@ from spanloom.session import cut_lineage, shared_folder
 PREFIX = "__op_"
 
 
+#: Bytes of an Arrow batch that goes to a Python worker, so that 10,000 long texts never do at once.
+BATCH_BYTES = 32 << 20
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 

@@ -82,39 +82,46 @@ def _found(name: str, pattern: str, options: str = "") -> str:
 
 
 def _entropy(name: str, window: int) -> str:
-    """The same strings with the largest entropy of their windows, each window counted on its own."""
+    """The same strings with the largest entropy of the windows of what stands between their words, each window counted on its own."""
     return f"""
-{name}_best AS (
-  SELECT doc_id, s, start, list_max(list_transform(range(1, len(s) - {window} + 2), lambda i:
-    -list_sum(list_transform(list_distinct(string_split(substr(s, i, {window}), '')), lambda c:
-      (len(substr(s, i, {window})) - len(replace(substr(s, i, {window}), c, ''))) / {window}.0
-      * log2((len(substr(s, i, {window})) - len(replace(substr(s, i, {window}), c, ''))) / {window}.0))))) AS bits
+{name}_pieces AS (
+  SELECT doc_id, s, start, unnest(string_split(regexp_replace(array_to_string(list_transform(string_split(s, '/'), lambda g:
+    CASE WHEN regexp_matches(g, '^([A-Za-z]{{2,}}[-_])+[A-Za-z]{{2,}}[0-9]{{0,4}}$') OR (contains(s, '/') AND regexp_matches(g, '^[A-Za-z]{{2,}}[-_]?[0-9]{{0,4}}$'))
+      THEN ' ' ELSE g END), '/'), '/? /?', ' ', 'g'), ' ')) AS p
   FROM {name}
+), {name}_best AS (
+  SELECT doc_id, s, start, max(list_max(list_transform(range(1, len(p) - {window} + 2), lambda i:
+    -list_sum(list_transform(list_distinct(string_split(substr(p, i, {window}), '')), lambda c:
+      (len(substr(p, i, {window})) - len(replace(substr(p, i, {window}), c, ''))) / {window}.0
+      * log2((len(substr(p, i, {window})) - len(replace(substr(p, i, {window}), c, ''))) / {window}.0)))))) AS bits
+  FROM {name}_pieces WHERE len(p) >= {window} GROUP BY doc_id, s, start
 )"""
 
 
 _ALLOWED = " OR ".join(
     f"regexp_matches(s, '{p}')"
-    for p in (
-        "(?i)example|placeholder|changeme|dummy|xxxx|redacted|your[-_]", "^/|/.*/.*/", "^[A-Za-z/_-]+[0-9]{0,4}$",
-        "^[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$", "^sha(1|256|384|512)[-_]",
-    )
+    for p in ("(?i)example|placeholder|changeme|dummy|xxxx|redacted|your[-_]", "^/[a-z]+/(.*/)?[a-z]+$", "^[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$", "^sha(1|256|384|512)[-_]")
 ) + " OR len(list_filter(range(1, len(s) - 4), lambda i: len(replace(substr(s, i, 6), s[i], '')) = 0)) > 0"
 _ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
+#: Kind of added spans, runs they come from, what the whole run must be, what it must hold, window, bits.
+_KINDS = (
+    ("entropy_hex", "alnum", "[0-9A-F]{32,}", ("[0-9]", "[A-F]"), 32, 3.0),
+    ("entropy_token", "longer", ".{24,}", ("[0-9]", "[a-z]", "[A-Z]"), 24, 3.8),
+    ("entropy_lower", "alnum", "[a-z0-9]{25,}", ("[0-9]", "[g-z]"), 25, 3.6),
+    ("entropy_upper", "alnum", "[A-Z0-9]{25,}", ("[0-9]", "[G-Z]"), 25, 3.6),
+)
 
 OP8 = f"""
 WITH src AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
 {_found("assign", _ASSIGN)}, {_found("access", "AKIA[A-Z0-9]+")}, {_found("hexes", "[0-9a-f]+")},
 {_found("alnum", "[A-Za-z0-9]+")}, {_found("longer", "[A-Za-z0-9+/_=-]+")},
-upper_hex AS (SELECT * FROM alnum WHERE regexp_full_match(s, '[0-9A-F]{{32,}}') AND regexp_matches(s, '[0-9]') AND regexp_matches(s, '[A-F]')),
-tokens AS (SELECT * FROM longer WHERE len(s) >= 24 AND regexp_matches(s, '[0-9]') AND regexp_matches(s, '[a-z]') AND regexp_matches(s, '[A-Z]')),
-{_entropy("upper_hex", 32)}, {_entropy("tokens", 24)},
+{", ".join(f"{kind} AS (SELECT * FROM {runs} WHERE regexp_full_match(s, '{whole}') AND {' AND '.join(f"regexp_matches(s, '{part}')" for part in parts)})" for kind, runs, whole, parts, _, _ in _KINDS)},
+{", ".join(_entropy(kind, window) for kind, _, _, _, window, _ in _KINDS)},
 spans AS (
   SELECT doc_id, start, 0 AS rank, 'assign' AS kind, start + len(s) AS stop FROM assign WHERE len(regexp_extract(s, '{_ASSIGN.replace("'", "''")}', 2)) >= 12
   UNION ALL SELECT doc_id, start, 1, 'access', start + len(s) FROM access WHERE len(s) >= 18
   UNION ALL SELECT doc_id, start, 2, 'hex', start + len(s) FROM hexes WHERE len(s) >= 16
-  UNION ALL SELECT doc_id, start, 3, 'entropy_hex', start + len(s) FROM upper_hex_best WHERE round(bits, 6) >= 3.0 AND NOT ({_ALLOWED})
-  UNION ALL SELECT doc_id, start, 4, 'entropy_token', start + len(s) FROM tokens_best WHERE round(bits, 6) >= 3.8 AND NOT ({_ALLOWED})
+  {" ".join(f"UNION ALL SELECT doc_id, start, {3 + k}, '{kind}', start + len(s) FROM {kind}_best WHERE round(bits, 6) >= {bits} AND NOT ({_ALLOWED})" for k, (kind, *_, bits) in enumerate(_KINDS))}
 ), joined AS (
   SELECT doc_id, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex,
     string_agg(kind || ':' || start::BIGINT || ':' || stop::BIGINT, ',' ORDER BY start, rank) FILTER (rank < 3) AS base,

@@ -344,3 +344,32 @@ def test_languages(spark):
     assert {r.lang_pred for r in language.identify(docs, nothing).collect()} == {"und"}
     one = language.learn(docs.filter("lang = 'aa'"))
     assert {r.lang_pred for r in language.identify(docs.filter("doc_id < 8"), one).collect()} == {"aa"}
+
+
+def test_secret_sql_has_the_rules_of_the_operator(spark):
+    """The registered SQL on strings in which its four classes and the rules of segments matter."""
+    import duckdb
+
+    from spanloom.llm import oracle
+
+    rng = random.Random(12)
+    upper, lower, digits = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "0123456789"
+    pick = lambda symbols, n: "".join(rng.choices(symbols, k=n))
+    strings = []
+    for n in (24, 25, 31, 32, 33, 40, 64):
+        for symbols in (upper + digits, lower + digits, "0123456789ABCDEF", "0123456789abcdef", upper + lower + digits, upper + lower + digits + "+/", upper + lower + digits + "-_="):
+            strings += [pick(symbols, n) for _ in range(3)]
+    strings += [f"/{pick(lower, 4)}/{pick(lower, 5)}/{pick(upper + lower + digits, 30)}/{pick(lower, 4)}" for _ in range(6)]
+    strings += [f"com/services/T{pick(upper + digits, 8)}/B{pick(upper + digits, 8)}/{pick(upper + lower + digits, 24)}" for _ in range(6)]
+    strings += ["a" * 30 + "B1", "ab-cd-ef-gh-ij-kl-mn-op-qr-st-Uv12", "ab-cd-ef-gh-ij-kl-mn-op-qr-St-12", "Example" + pick(upper + lower + digits, 30), "sha256-" + pick(upper + lower + digits, 40)]
+    strings += ["123e4567-E89b-12d3-a456-426614174000", "token = " + pick(upper + lower + digits, 11), "secret: " + pick(lower, 12), "AKIA" + pick(upper, 16), pick(lower, 30) + "1", "x/" * 20 + "Y1"]
+    rng.shuffle(strings)
+    rows = [(i, f"see {a}, {b}.\n{c}") for i, (a, b, c) in enumerate(zip(strings[::3], strings[1::3], strings[2::3]))] + [(1000, None), (1001, "")]
+    want = secrets.digest(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans").collect()
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", rows)
+    got = con.execute(oracle.OP8).fetchall()
+    assert sorted(got) == sorted(tuple(r) for r in want)
+    kinds = {k.split(":")[0] for r in got for k in r[5].split(",") if k}
+    assert kinds == set(secrets.KINDS)
