@@ -34,8 +34,8 @@ def with_statistics(docs: DataFrame, text_col: str = "text") -> DataFrame:
         "chars": size, "lines": F.size(lines), "line_kinds": F.size(F.array_distinct(lines)),
     }
     shares = {"symbol_share": SYMBOLS, "pipe_share": "|", "upper_share": "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "digit_share": "0123456789", "stop_share": "."}
-    raw = docs.select("*", *[c.alias(f"__raw_{k}") for k, c in counted.items()], *[without(c)(f"__raw_{k}") for k, c in shares.items()])
-    words, n = F.col("__raw_words"), F.col("__raw_chars")
+    raw = docs.select("*", *[c.alias(f"__op_raw_{k}") for k, c in counted.items()], *[without(c)(f"__op_raw_{k}") for k, c in shares.items()])
+    words, n = F.col("__op_raw_words"), F.col("__op_raw_chars")
     w = F.size(words)
     per_word = lambda x: F.coalesce(x / F.nullif(w, F.lit(0)), F.lit(0.0))
     following = F.zip_with(words, F.slice(words, 2, F.greatest(w, F.lit(1))), lambda a, b: (a == b).cast("int"))
@@ -45,8 +45,8 @@ def with_statistics(docs: DataFrame, text_col: str = "text") -> DataFrame:
         "word_length": per_word(F.aggregate(words, F.lit(0), lambda a, x: a + F.char_length(x))),
         "distinct_words": per_word(F.size(F.array_distinct(words))),
         "repeated_words": per_word(F.aggregate(following, F.lit(0), lambda a, x: a + F.coalesce(x, F.lit(0)))),
-        "distinct_lines": F.when(n > 0, F.col("__raw_line_kinds") / F.col("__raw_lines")).otherwise(0.0),
-    } | {k: F.coalesce(F.col(f"__raw_{k}") / F.nullif(n, F.lit(0)), F.lit(0.0)) for k in shares}
+        "distinct_lines": F.when(n > 0, F.col("__op_raw_line_kinds") / F.col("__op_raw_lines")).otherwise(0.0),
+    } | {k: F.coalesce(F.col(f"__op_raw_{k}") / F.nullif(n, F.lit(0)), F.lit(0.0)) for k in shares}
     return raw.select(*[F.col(c) for c in docs.columns], *[found[k].alias(f"__op_{k}") for k in STATISTICS])
 
 
@@ -74,9 +74,17 @@ class Rule:
         return F.lit(True) if out is None else out
 
 
+def _cuts(x: np.ndarray, bins: int) -> np.ndarray:
+    """Places between neighbouring values, halfway, near the quantiles: a value just beyond a seen one stays on its side."""
+    values = np.unique(x)
+    at = np.unique(np.searchsorted(values, np.quantile(x, np.linspace(0, 1, bins + 1)[1:-1]), side="left"))
+    at = at[at + 1 < len(values)]
+    return (values[at] + values[at + 1]) / 2
+
+
 def grow_rules(x: np.ndarray, y: np.ndarray, trees: int = 30, depth: int = 3, rate: float = 0.3, bins: int = 64, leaf: int = 20) -> list[Rule]:
     """All paths (to inner nodes and leaves) of boosted trees with logistic loss."""
-    cuts = [np.unique(np.quantile(x[:, f], np.linspace(0, 1, bins + 1)[1:-1])) for f in range(x.shape[1])]
+    cuts = [_cuts(x[:, f], bins) for f in range(x.shape[1])]
     code = np.stack([np.searchsorted(c, x[:, f], side="left") for f, c in enumerate(cuts)], axis=1)
     raw, rules = np.full(len(y), np.log((y.mean() + 1e-6) / (1 - y.mean() + 1e-6))), []
     for _ in range(trees):

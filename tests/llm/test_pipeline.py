@@ -64,7 +64,7 @@ def test_stages_of_an_empty_table(spark, folder):
 
 def test_registration():
     names = entry.queries()
-    assert {f"op{n}" for n in range(1, 11)} == {x.split("_")[0] for x in queries.QUERIES} and set(queries.QUERIES) <= set(names)
+    assert {f"op{n}" for n in range(1, 14)} == {x.split("_")[0] for x in queries.QUERIES} and set(queries.QUERIES) <= set(names)
     assert names["pipeline"] is corpus_pipeline.run and set(oracle.SQL) <= set(queries.QUERIES)
     assert 4 <= len(corpus_pipeline.STAGES) <= 5
 
