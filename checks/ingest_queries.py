@@ -245,7 +245,7 @@ def captured_session_ids(spark, sf):
         f"""to_json(named_struct('type', if(k % 2 = 0, 'thread.started', 'other'), 'thread_id',
             if(k % 3 = 0, 'none', concat(substring({UUID}, 1, 24), lpad(cast(k as string), 12, '0'))))) as data""",
     )
-    return journals.captured_session_ids(client.unionByName(_log_batches(spark, sf, "typ in ('error', 'purchase')")))
+    return journals.captured_session_ids(client.unionByName(_log_batches(spark, sf, "typ <> 'signup'")))
 
 
 def _exports(spark, sf) -> DataFrame:
@@ -460,7 +460,7 @@ def delegation_flow_id(spark, sf):
 
 @query
 def extract_child_session(spark, sf):
-    results = ev(spark, sf, "typ = 'click'").selectExpr(
+    results = ev(spark, sf).selectExpr(
         "id", f"concat(repeat('spawn ', cast(k * 20 as int)), if(k % 3 = 0, 'none', {UUID}), ' done') as result"
     )
     return results.select("id", text.child_session(F.col("result")).alias("child_session"))

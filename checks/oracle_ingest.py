@@ -110,7 +110,7 @@ FINAL["flatten_otlp_logs"] = """
 SELECT u AS recording, 't' || u AS trace_id, CASE WHEN k % 4 = 0 THEN ns // 1000000 * 1000000 ELSE ns END AS at_ns, typ AS event_name,
        uuid AS conversation FROM ev0 JOIN uuids USING (u) GROUP BY ALL"""
 FINAL["captured_session_ids"] = """
-SELECT DISTINCT u AS recording, uuid AS session FROM ev0 JOIN uuids USING (u) WHERE typ IN ('error', 'purchase')
+SELECT DISTINCT u AS recording, uuid AS session FROM ev0 JOIN uuids USING (u) WHERE typ <> 'signup'
 UNION
 SELECT DISTINCT u, substr(uuid, 1, 24) || lpad(CAST(k AS VARCHAR), 12, '0') FROM ev0 JOIN uuids USING (u)
 WHERE typ = 'signup' AND k % 2 = 0 AND k % 3 <> 0"""
@@ -266,7 +266,7 @@ _FLOW = " || ".join(f"substr(d, {2 * i + 1}, 2)" for i in range(7, -1, -1))
 FINAL["delegation_flow_id"] = f"""
 SELECT u, uuid AS session, {_FLOW} AS flow_id FROM (SELECT u, uuid, sha256('pi.delegation.first-prompt:' || uuid) AS d FROM uuids)"""
 FINAL["extract_child_session"] = """
-SELECT id, CASE WHEN k % 3 <> 0 THEN uuid END AS child_session FROM ev0 JOIN uuids USING (u) WHERE typ = 'click'"""
+SELECT id, CASE WHEN k % 3 <> 0 THEN uuid END AS child_session FROM ev0 JOIN uuids USING (u)"""
 FINAL["lifecycle_snapshots_to_spans"] = """
 SELECT u AS script, id AS call_id, 'models.classify' AS name, ns AS start_ts, CASE WHEN k % 3 <> 0 THEN ns + 100 + cents ELSE last_ns + 1000000 END AS end_ts,
        CASE WHEN k % 3 = 0 THEN 'interrupted' WHEN k % 2 = 0 THEN 'ok' ELSE 'error' END AS status,

@@ -126,3 +126,54 @@ def expand_edges(edges: DataFrame, seeds: DataFrame, *, max_depth: int | None =
             break
         reached = reached.unionByName(frontier)
     return reached
+
+
+def descendant_totals(nodes: DataFrame, totals: dict[str, Column], *, node: str = "id", parent: str = "parent_id") -> DataFrame:
+    """Sum of each value over a node and all that lies below it: ``node, <totals>``, one row per node.
+
+    Every node has one parent at most; a pointer to a missing row is none.  The
+    nodes of a cycle lie below each other, so each gets the sum of the cycle and
+    of all that hangs on it.  Sums travel by doubling: what a node has gathered
+    from below up to a distance of 2^t goes to its ancestor at that distance, so a
+    chain or a ring of ``n`` nodes takes ``log2(n)`` rounds of ``n`` rows.
+    """
+    names = list(totals)
+    rows = nodes.select(F.col(node).alias("_id"), F.col(parent).alias("_ptr"), *[F.coalesce(v, F.lit(0)).cast("bigint").alias(n) for n, v in totals.items()])
+    known = rows.select(F.col("_id").alias("_ptr"), F.lit(True).alias("_known"))
+    rows = cut_lineage(rows.join(known, "_ptr", "left").withColumn("_ptr", F.expr("if(_known, _ptr, null)")).select("_id", "_ptr", *names))
+
+    # cycles are where pointers that never end come to lie: the set only shrinks, and when it stays it is closed
+    ptr = rows.select("_id", "_ptr").filter("_ptr is not null")
+    left, before = ptr.select("_ptr").distinct().count(), None
+    while left and left != before:
+        for _ in range(ROUNDS_PER_CUT):
+            ptr = ptr.join(ptr.select(F.col("_id").alias("_ptr"), F.col("_ptr").alias("_next")), "_ptr").select("_id", F.col("_next").alias("_ptr"))
+        ptr = cut_lineage(ptr)
+        left, before = ptr.select("_ptr").distinct().count(), left
+    on_cycle = cut_lineage(ptr.select(F.col("_ptr").alias("_id")).distinct().withColumn("_cycle", F.lit(True)))
+
+    state = cut_lineage(rows.join(on_cycle, "_id", "left").withColumn("_ptr", F.expr("if(_cycle, null, _ptr)")).drop("_cycle"))
+    while state.filter("_ptr is not null").limit(1).count():
+        for _ in range(ROUNDS_PER_CUT):
+            given = state.filter("_ptr is not null").groupBy(F.col("_ptr").alias("_id")).agg(*[F.sum(n).alias(f"_more_{n}") for n in names])
+            ahead = state.select(F.col("_id").alias("_ptr"), F.col("_ptr").alias("_next"))
+            state = state.join(given, "_id", "left").join(ahead, "_ptr", "left").select(
+                "_id", F.col("_next").alias("_ptr"), *[(F.col(n) + F.coalesce(f"_more_{n}", F.lit(0))).alias(n) for n in names]
+            )
+        state = cut_lineage(state)
+    if not left:
+        return state.select(F.col("_id").alias(node), *names)
+
+    # one label per cycle: the smallest id, by doubling along the ring
+    ring = cut_lineage(rows.select("_id", "_ptr").join(on_cycle.select("_id"), "_id", "left_semi").withColumn("_label", F.col("_id")))
+    changed = True
+    while changed:
+        old = ring
+        for _ in range(ROUNDS_PER_CUT):
+            ahead = ring.select(F.col("_id").alias("_ptr"), F.col("_ptr").alias("_next"), F.col("_label").alias("_seen"))
+            ring = ring.join(ahead, "_ptr").select("_id", F.col("_next").alias("_ptr"), F.least("_label", "_seen").alias("_label"))
+        ring = cut_lineage(ring)
+        changed = ring.join(old.select("_id", F.col("_label").alias("_old")), "_id").filter("_label <> _old").limit(1).count() > 0
+    whole = state.join(ring.select("_id", "_label"), "_id").groupBy("_label").agg(*[F.sum(n).alias(f"_all_{n}") for n in names])
+    out = state.join(ring.select("_id", "_label").join(whole, "_label"), "_id", "left")
+    return out.select(F.col("_id").alias(node), *[F.coalesce(f"_all_{n}", n).alias(n) for n in names])

@@ -15,7 +15,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 from spanloom.operators.blocks import Blocks, Run, running
 from spanloom.operators.intervals import asof_last
 from spanloom.operators.matching import brackets, first_unused, lone_unused
-from spanloom.operators.trees import expand_edges, nearest_ancestor
+from spanloom.operators.trees import descendant_totals, expand_edges, nearest_ancestor
+from spanloom.session import cut_lineage
 
 MS = 1_000_000
 
@@ -288,8 +289,18 @@ def reachable_sessions(links: DataFrame, roots: DataFrame, readable: DataFrame,
     known = readable.select(F.col("session").alias("id")).distinct()
     # an unreadable session has no links of its own
     edges = links.selectExpr("parent as parent_id", "child as id").join(known.withColumnRenamed("id", "parent_id"), "parent_id", "left_semi")
-    reached = expand_edges(edges, roots.selectExpr("session as seed")).join(known.withColumn("ok", F.lit(True)), "id", "left")
-    counted = reached.groupBy("seed").agg(F.expr("count_if(ok) as found"), F.expr("count_if(ok is null) as unread"))
+    edges = cut_lineage(edges.filter("id is not null").distinct())
+    seeds = roots.selectExpr("session as seed").distinct()
+    if edges.groupBy("id").count().filter("count > 1").isEmpty():
+        # a forest, with a ring at some roots: what lies below is summed, and no closure is written
+        ids = seeds.selectExpr("seed as id").union(edges.select("id")).union(edges.select("parent_id")).distinct()
+        nodes = ids.join(edges, "id", "left").join(known.withColumn("ok", F.lit(True)), "id", "left")
+        below = descendant_totals(nodes, {"found": F.expr("if(ok, 1, 0)"), "unread": F.expr("if(ok, 0, 1)")})
+        counted = below.withColumnRenamed("id", "seed").join(seeds, "seed", "left_semi")
+    else:
+        # sessions with several parents are counted once however they are reached
+        reached = expand_edges(edges, seeds).join(known.withColumn("ok", F.lit(True)), "id", "left")
+        counted = reached.groupBy("seed").agg(F.expr("count_if(ok) as found"), F.expr("count_if(ok is null) as unread"))
     held = "found" if limit is None else f"least(found, {limit}L)"
     return counted.selectExpr("seed", f"{held} as sessions", f"unread + found - {held} as missing")
 

@@ -146,6 +146,9 @@ def test_text_functions(spark):
     assert not value(text.is_control_script(lit("tools.tracing_stop(); tools.read()")))
     assert value(text.model_label(lit("claude-x-20250101"))) == "claude-x"
     assert value(text.iso_to_ns(lit("1970-01-01T00:00:01.5Z"))) == 1_500_000_000
+    assert value(text.iso_to_ns(lit("1970-01-01T00:00:01.123456789Z"))) == 1_123_456_789
+    assert value(text.iso_to_ns(lit("1970-01-01T01:00:01+01:00"))) == 1_000_000_000
+    assert value(text.iso_to_ns(lit("1969-12-31T23:59:59Z"))) is None and value(text.iso_to_ns(lit("soon"))) is None
 
 
 def test_context_diff_goldens(spark):

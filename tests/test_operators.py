@@ -162,3 +162,41 @@ def test_expand_edges_ends_on_cycles(spark):
     edges = spark.createDataFrame([(1, 2), (2, 3), (3, 1), (1, 3)], "parent_id long, id long")
     seeds = spark.createDataFrame([(1,)], "seed long")
     assert rows(expand_edges(edges, seeds)) == [(1, 1, 0), (1, 2, 1), (1, 3, 1)]
+
+
+def test_descendant_totals_of_forests_and_rings(spark):
+    from spanloom.operators.trees import descendant_totals
+
+    rng = random.Random(11)
+    parent = {i: (None if rng.random() < 0.1 else rng.randrange(120)) for i in range(120)}
+    parent |= {200 + i: 200 + (i + 1) % 500 for i in range(500)} | {900: 205, 901: 900, 902: 5000}  # a ring with a tail, a missing parent
+    df = spark.createDataFrame(list(parent.items()), "id long, parent_id long")
+    below = {i: {i} for i in parent}
+    for i in parent:
+        seen, p = {i}, parent[i]
+        while p in parent and p not in seen:
+            below[p].add(i)
+            seen.add(p)
+            p = parent[p]
+    got = rows(descendant_totals(df, {"n": F.lit(1), "s": F.col("id")}))
+    assert got == sorted((i, len(b), sum(b)) for i, b in below.items())
+
+
+def test_reachable_sessions_of_forests_and_graphs(spark):
+    from spanloom.plans import ingest
+
+    for links in ([(1, 2), (2, 3), (3, 1), (3, 4), (4, 5), (6, 7)], [(1, 2), (1, 3), (2, 4), (3, 4), (4, 5), (6, 7)]):
+        df = spark.createDataFrame(links, "parent long, child long")
+        known = spark.createDataFrame([(i,) for i in (1, 2, 3, 4, 6)], "session long")
+        seeds = spark.createDataFrame([(i,) for i in (1, 4, 5, 6, 9, 9)], "session long")
+        got = rows(ingest.reachable_sessions(df, seeds, known))
+        want = []
+        for seed in (1, 4, 5, 6, 9):
+            seen, todo = set(), [seed]
+            while todo:
+                x = todo.pop()
+                if x not in seen:
+                    seen.add(x)
+                    todo += [c for p, c in links if p == x and x in (1, 2, 3, 4, 6)]
+            want.append((seed, len(seen & {1, 2, 3, 4, 6}), len(seen - {1, 2, 3, 4, 6})))
+        assert got == want
