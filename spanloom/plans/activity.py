@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from spanloom.functions.attributes import is_configuration_name, is_metadata_category
+from spanloom.functions.attributes import is_configuration_name, is_metadata_category, total_sql
 from spanloom.operators.intervals import bin_edge, integer_div, interval_sweep
 from spanloom.plans.captures import clock_errors
 from spanloom.plans.models import MEASURED, RATED
@@ -93,7 +93,7 @@ def recording_summary(t: AgentTrace) -> DataFrame:
 def recording_headline(t: AgentTrace) -> DataFrame:
     rate = t["messages"].agg(
         F.expr(
-            f"sum(output_tokens) filter (where {RATED}) * 1e9D / sum(message_ns) filter (where {RATED})"
+            f"sum(output_tokens) filter (where {RATED}) * 1e9D / {total_sql('message_ns', RATED)}"
             " as output_tokens_per_s"
         )
     )

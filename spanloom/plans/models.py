@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from spanloom.functions.attributes import total_sql
 from spanloom.operators.ranks import median_and_rank
 from spanloom.plans.trace import AgentTrace, view
 
@@ -44,9 +45,9 @@ def models_overview(t: AgentTrace) -> DataFrame:
     """Responses, latency and usage per provider and model."""
     return t["messages"].groupBy("provider", "model").agg(
         F.expr("count(*) as responses"),
-        F.expr("sum(first_ns) / count(first_ns) / 1e6D as first_content_ms"),
+        F.expr(f"{total_sql('first_ns')} / count(first_ns) / 1e6D as first_content_ms"),
         F.expr("count(first_ns) as latency_samples"),
-        F.expr("sum(message_ns) / count(message_ns) / 1e6D as duration_ms"),
+        F.expr(f"{total_sql('message_ns')} / count(message_ns) / 1e6D as duration_ms"),
         F.expr("sum(input_tokens) as input_tokens"),
         F.expr("sum(output_tokens) as output_tokens"),
         F.expr("sum(cache_read_tokens) as cache_read_tokens"),
@@ -66,9 +67,9 @@ def model_cohorts(t: AgentTrace) -> DataFrame:
         F.expr("count(*) as responses"),
         F.expr("count_if(incomplete) as incomplete"),
         F.expr(f"count_if({MEASURED}) as duration_samples"),
-        F.expr(f"sum(message_ns) filter (where {MEASURED}) / count_if({MEASURED}) / 1e6D as mean_ms"),
+        F.expr(f"{total_sql('message_ns', MEASURED)} / count_if({MEASURED}) / 1e6D as mean_ms"),
         F.expr(
-            "sum(first_ns) filter (where not incomplete and first_ns >= 0)"
+            f"{total_sql('first_ns', 'not incomplete and first_ns >= 0')}"
             " / count_if(not incomplete and first_ns >= 0) / 1e6D as first_content_mean_ms"
         ),
         F.expr("count_if(not incomplete and first_ns >= 0) as first_content_samples"),
@@ -79,7 +80,7 @@ def model_cohorts(t: AgentTrace) -> DataFrame:
         F.expr("sum(cache_read_tokens) as reported_cache_read_tokens"),
         F.expr("count(cache_read_tokens) as cache_read_samples"),
         F.expr(
-            f"sum(output_tokens) filter (where {RATED}) * 1e9D / sum(message_ns) filter (where {RATED})"
+            f"sum(output_tokens) filter (where {RATED}) * 1e9D / {total_sql('message_ns', RATED)}"
             " as output_tokens_per_s"
         ),
         F.expr(f"count_if({RATED}) as throughput_samples"),

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from spanloom import schema
+from spanloom.functions.attributes import total_sql
 from spanloom.operators.intervals import interval_sweep
 from spanloom.operators.trees import expand_edges, roots
 from spanloom.plans.models import RATED
@@ -170,7 +171,7 @@ def _model_load(messages: DataFrame, key: str, blocks) -> tuple[DataFrame, DataF
     """Output rate, and busy time with peak of concurrent responses."""
     rates = messages.groupBy(key).agg(
         F.expr(
-            f"sum(output_tokens) filter (where {RATED}) * 1e9D / sum(message_ns) filter (where {RATED}) as tokens_per_s"
+            f"sum(output_tokens) filter (where {RATED}) * 1e9D / {total_sql('message_ns', RATED)} as tokens_per_s"
         )
     )
     spans = messages.filter("message_ns > 0 and not incomplete").selectExpr(

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from spanloom.functions.attributes import total_sql
 from spanloom.operators.trees import expand_edges
 from spanloom.plans.trace import AgentTrace, view
 
@@ -77,7 +78,7 @@ def script_children(t: AgentTrace) -> DataFrame:
 def tools_overview(t: AgentTrace) -> DataFrame:
     return t["tool_calls"].filter("kind = 'tool-execution'").groupBy(F.col("name").alias("tool")).agg(
         F.expr("count(*) as calls"),
-        F.expr("sum(dur) filter (where not incomplete) / 1e6D as work_ms"),
+        F.expr(f"{total_sql('dur', 'not incomplete')} / 1e6D as work_ms"),
         F.expr("max(dur) filter (where not incomplete) / 1e6D as longest_ms"),
         F.expr("if(count(is_error) = 0, null, count_if(is_error = 1)) as errors"),
         F.expr("count(is_error) as outcomes"),
@@ -91,7 +92,7 @@ def tool_summary(t: AgentTrace) -> DataFrame:
         F.expr("count(*) as calls"),
         F.expr("count_if(incomplete) as incomplete"),
         F.expr(f"count_if({_DONE}) as duration_samples"),
-        F.expr(f"sum(dur) filter (where {_DONE}) / 1e6D as summed_work_ms"),
+        F.expr(f"{total_sql('dur', _DONE)} / 1e6D as summed_work_ms"),
         F.expr(f"max(dur) filter (where {_DONE}) / 1e6D as longest_ms"),
         F.expr("count(is_error) as outcome_samples"),
         F.expr("if(count(is_error) = 0, null, count_if(is_error = 1)) as errors"),

@@ -290,3 +290,20 @@ def test_tables_round_trip(fixture, tmp_path):
 
     names = AgentTrace(again).register("t_")
     assert "turns" in names and t.spark.sql("select count(*) from t_turns").first()[0] == 1
+
+
+def test_sums_of_durations_beyond_a_long(fixture):
+    f = fixture
+    long_ms = 4 * 10**12  # 4e18 ns, so three of them are more than a long holds
+    for i in range(3):
+        f.add(10 + i, "assistant-message", i, long_ms, provider="p", model="m", output_tokens=10, first_content_ns=4 * 10**18)
+        f.add(20 + i, "tool-execution", i, long_ms, name="bash", is_error=0)
+    t = f.trace()
+    row = t["models_overview"].first()
+    assert (row.responses, row.duration_ms, row.first_content_ms) == (3, long_ms, long_ms)
+    assert t["tools_overview"].first().work_ms == 3 * long_ms
+    assert t["tool_summary"].filter("kind = 'tool-execution'").first().summed_work_ms == 3 * long_ms
+    rate = pytest.approx(30 / (3 * long_ms / 1000))
+    assert t["recording_headline"].first().output_tokens_per_s == rate
+    assert t["model_cohorts"].first().output_tokens_per_s == rate and t["model_cohorts"].first().mean_ms == long_ms
+    assert t["session_details"].first().tokens_per_s == rate
