@@ -234,7 +234,7 @@ def _sizes_fit(x: Column, y: Column, percent: int) -> Column:
 def _different(buckets: DataFrame) -> DataFrame:
     """Buckets with one of each set of members: texts with a passage in common share a bucket for each of its combinations.
 
-    Sets are told apart by their size and 128 bits of hashes of their members.
+    Sets are told apart by their size and 128 bits of hashes of their members, each of which comes once.
     """
     member = F.xxhash64("cls")
     sets = buckets.groupBy("sig").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(member).alias("x"), F.bit_xor(F.xxhash64("cls", F.lit(1))).alias("y"))
@@ -351,7 +351,7 @@ def _compared(apart: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
     blocks is a task's work of bounded size.
     """
     sizes = apart.groupBy("sig").agg(F.ceil(F.count(F.lit(1)) / BUCKET_ROWS).cast("int").alias("s"))
-    apart = apart.withColumn("key", F.hash("sig"))
+    apart = apart.withColumn("key", F.col("sig"))  # whole: two buckets with one key would leave a pair to each other
     low = apart.groupBy("cls").agg(F.slice(F.array_sort(F.collect_set("key")), 1, LOW).alias("low"))
     rows = apart.join(low.join(reps.select("cls", "bits"), "cls"), "cls").join(sizes, "sig")
     rows = rows.withColumn("block", F.pmod(F.xxhash64("cls"), "s").cast("int"))
@@ -401,7 +401,9 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words:
     salts = F.greatest(F.lit(1), (F.pow(F.lit(2.0), F.col("level") - 1) * FREQUENT * 2 / BUCKET_ROWS).cast("int"))
     sigs = sigs.withColumn("salt", F.when(F.col("level") == 0, 0).otherwise(F.pmod(F.xxhash64("cls"), salts)).cast("int"))
     w = Window.partitionBy("sig", "salt")
-    first = sigs.withColumn("hub", F.min("cls").over(w)).withColumn("last", F.max("cls").over(w))
+    # copies in several batches give a class several times; a bucket holds it once
+    first = sigs.withColumn("same", F.lag("cls").over(w.orderBy("cls"))).withColumn("hub", F.min("cls").over(w)).withColumn("last", F.max("cls").over(w))
+    first = first.filter("same is null or same <> cls")
     salted = salts > 1
     every = kept(first.filter((F.col("hub") != F.col("last")) | salted).select("sig", "cls", "size", "hub", salted.alias("salted")), "ngram-all-buckets")
     buckets = kept(_different(every), "ngram-buckets")

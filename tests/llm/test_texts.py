@@ -268,6 +268,20 @@ def test_join_with_frequent_tokens(spark, monkeypatch, frequent, small, bucket):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.join(documents(spark, rows)).collect()} == plain_join(rows)
 
 
+def test_join_of_copies_in_several_batches(spark):
+    # every text comes twice, in batches of its own: buckets {A, A, B} and {C, C, B} are different ones
+    rows = []
+    for g in range(20):
+        base = words(500 + g, 120)
+        for k in range(3):
+            copy = list(base)
+            copy[40 * k + 20] = f"other{g}{k}"
+            rows.append((10 * g + k, " ".join(copy)))
+    rows += [(i + 5, text) for i, text in rows]
+    docs = documents(spark, rows).repartition(16, "doc_id")
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.join(docs).collect()} == plain_join(rows)
+
+
 def test_join_of_awkward_rows(spark):
     docs = documents(spark)
     rows = [(r.doc_id, r.text) for r in docs.collect()]
