@@ -61,6 +61,17 @@ def test_ranges_of_a_chunk_hold_each_line_once(spark, tmp_path):
     assert journals.journal_lines(spark, str(tmp_path / "nothing")).count() == 0
 
 
+def test_small_chunks_share_a_task(spark, tmp_path):
+    for i in range(300):
+        (tmp_path / f"r{i}").mkdir()
+        (tmp_path / f"r{i}" / f"events-{i % 3}.jsonl").write_text(f"a{i}\nb{i}\n")
+    (tmp_path / "r7" / "events-9.jsonl").write_text("open")
+    got = journals.journal_lines(spark, str(tmp_path))
+    assert got.rdd.getNumPartitions() <= 3
+    want = [(f"r{i}", i % 3, at, f"{x}{i}", True) for i in range(300) for x, at in (("a", 0), ("b", len(f"a{i}") + 1))]
+    assert rows(got, "recording", "chunk", "seq", "line", "committed") == sorted([*want, ("r7", 9, 0, None, False)], key=lambda r: tuple((v is not None, v) for v in r))
+
+
 def test_a_stream_of_a_growing_journal_reads_each_committed_line_once(spark, tmp_path):
     from spanloom.sources.journal_source import JournalSource
 
