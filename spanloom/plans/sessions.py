@@ -247,10 +247,14 @@ def session_details(t: AgentTrace) -> DataFrame:
 
 @view()
 def flow_pairs(t: AgentTrace) -> DataFrame:
-    """How many recorded edges join each pair of operation kinds."""
+    """How many recorded edges join each pair of operation kinds.
+
+    Both joins are on all operations: a few columns of a wide table look small to
+    the planner, which would otherwise collect them on the driver to broadcast them.
+    """
     ends = t["slices"].select("id", "kind", "capture_id")
     out = ends.selectExpr("id as slice_out", "kind as from_kind", "capture_id as from_capture")
     into = ends.selectExpr("id as slice_in", "kind as to_kind", "capture_id as to_capture")
-    return t.tables["flow"].join(out, "slice_out").join(into, "slice_in").groupBy("from_kind", "to_kind").agg(
+    return t.tables["flow"].join(out.hint("merge"), "slice_out").join(into.hint("merge"), "slice_in").groupBy("from_kind", "to_kind").agg(
         F.expr("count(*) as flows"), F.expr("count_if(from_capture != to_capture) as across_captures")
     )

@@ -307,3 +307,34 @@ def test_sums_of_durations_beyond_a_long(fixture):
     assert t["recording_headline"].first().output_tokens_per_s == rate
     assert t["model_cohorts"].first().output_tokens_per_s == rate and t["model_cohorts"].first().mean_ms == long_ms
     assert t["session_details"].first().tokens_per_s == rate
+
+
+def test_joins_on_all_operations_are_never_broadcast(fixture):
+    f = fixture
+    f.add(1, "prompt", 0, 20)
+    f.add(2, "script", 1, 5, call_id="a")
+    f.add(3, "tool-execution", 2, 1, parent_call_id="a", call_id="b")
+    f.table("flow", (2, 3))
+    t = f.trace()
+    # the planner takes tables of any size for small ones if only a few of many columns are read
+    plan = t["flow_pairs"]._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastExchange" not in plan and plan.count("SortMergeJoin") == 2
+    plan = t["turn_operations"]._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("SortMergeJoin") >= 9
+    assert rows(t["flow_pairs"], "from_kind", "to_kind", "flows") == [("script", "tool-execution", 1)]
+    assert [(r.id, r.depth) for r in turns.turn_waterfall(t, 1).collect()] == [(2, 0), (3, 1)]
+
+
+def test_events_are_numbered_and_grouped_once(spark, tmp_path):
+    from spanloom.sources.binding import bind_events
+
+    spark.range(20).selectExpr(
+        "id as event_id", "timestampadd(SECOND, cast(id as int), timestamp_ntz'2024-01-01 00:00:00') as ts", "id % 3 as user_id",
+        "element_at(array('signup', 'view', 'click', 'error', 'purchase'), cast(id % 5 + 1 as int)) as event_type", "id * 0.5D as value",
+        "concat('{\"k\": ', id, '}') as props",
+    ).write.parquet(str(tmp_path / "events.parquet"))
+    tables = bind_events(spark, str(tmp_path))
+    for name in ("slice", "track", "counter", "flow"):
+        plan = tables[name]._jdf.queryExecution().executedPlan().toString()
+        assert "Window" not in plan and "events.parquet" not in plan
+    assert tables["slice"].filter("id >= 0").count() == 20
