@@ -10,6 +10,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from spanloom.operators.blocks import Blocks, Run, plan_blocks, running
+from spanloom.session import cut_lineage
 
 
 def interval_sweep(
@@ -228,20 +229,24 @@ def innermost(
     stretches of 2^k edges, of which a stretch keeps the latest start and the
     earliest end only; an edge then looks at the one stretch of each length around
     it.  So ``n`` intervals make ``n log n`` rows however they nest, and no list of
-    members exists.
+    members exists.  Intervals, edges and stretches are read several times, so each
+    is written once.
     """
     keys = [*keys, group]
     # equal intervals are one, with its smallest and largest id
     rows = intervals.select(*keys, F.col(start).alias("_s"), F.col(end).alias("_e"), F.col(id_col).alias("_id"))
     rows = rows.groupBy(*keys, "_s", "_e").agg(F.struct(F.min("_id").alias("low"), F.max("_id").alias("high")).alias("_ids"))
+    rows = cut_lineage(rows)
     edges = rows.select(*keys, F.explode(F.array("_s", "_e")).alias("_t")).distinct()
     edges = running(edges, keys, ["_t"], {"_n": Run("row_number")}, blocks, block_order=["_t"]).withColumn("_r", F.col("_n") - 1).drop("_n")
+    edges = cut_lineage(edges)
     wide = rows.filter("_e > _s")
     placed = (
         wide.join(edges.withColumnsRenamed({"_t": "_s", "_r": "_lo"}), [*keys, "_s"])
         .join(edges.withColumnsRenamed({"_t": "_e", "_r": "_hi"}), [*keys, "_e"])
     )
     stretches = placed.selectExpr(*keys, "_s", "_e", _dyadic("_lo", "_hi")).groupBy(*keys, "_level", "_node").agg(F.max("_s").alias("_s"), F.min("_e").alias("_e"))
+    stretches = cut_lineage(stretches)
     # the longest stretch of a group bounds the lengths its edges look at
     longest = stretches.groupBy(*keys).agg(F.max("_level").alias("_longest"))
     around = edges.join(longest, keys).selectExpr(*keys, "_t", "_r", "explode(sequence(0, _longest)) as _level").withColumn("_node", F.expr("shiftright(_r, _level)"))
