@@ -3,7 +3,9 @@
 Every row points at its parent; one round of self-join replaces the pointer by
 the pointer of the row it points at, so depth ``d`` needs about ``log2(d)``
 rounds and a chain of ten thousand needs fourteen.  A recursive CTE would need
-one round per level and is limited to shallow trees.
+one round per level and is limited to shallow trees.  The walks of all slices or
+tracks ask for sort-merge joins: their columns compress so well that the planner
+would collect millions of rows for a broadcast.
 """
 
 from __future__ import annotations
@@ -54,7 +56,7 @@ def nearest_ancestor(
                 *[F.col(n).alias(f"_next_{n}") for n in names],
             )
             # inner join: a pointer that leads nowhere can reach no stop
-            stepped = active.join(ahead, "_ptr").select(
+            stepped = active.join(ahead.hint("merge"), "_ptr").select(
                 "_id",
                 F.col("_next").alias("_ptr"),
                 F.col("_next_done").alias("_done"),
@@ -85,7 +87,7 @@ def path_totals(
             ahead = state.select(
                 F.col("_id").alias("_ptr"), F.col("_ptr").alias("_next"), *[F.col(n).alias(f"_next_{n}") for n in names]
             )
-            climbed = state.filter("_ptr IS NOT NULL").join(ahead, "_ptr", "left")
+            climbed = state.filter("_ptr IS NOT NULL").join(ahead.hint("merge"), "_ptr", "left")
             state = state.filter("_ptr IS NULL").unionByName(
                 climbed.select(
                     "_id", F.col("_next").alias("_ptr"), *[F.greatest(n, f"_next_{n}").alias(n) for n in names]

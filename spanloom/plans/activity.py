@@ -79,8 +79,8 @@ def recording_summary(t: AgentTrace) -> DataFrame:
     machines = (
         t.tables["track"]
         .selectExpr("id as track_id", "coalesce(machine_id, 0L) as machine_id")
-        .join(t["track_process"], "track_id")
-        .join(seen, "capture_id", "left_semi")
+        .join(t["track_process"].hint("merge"), "track_id")
+        .join(seen.hint("merge"), "capture_id", "left_semi")
         .agg(F.countDistinct("machine_id").alias("machines"))
     )
     out = hierarchy

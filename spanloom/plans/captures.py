@@ -98,7 +98,7 @@ def capture_markers(t: AgentTrace) -> DataFrame:
         .selectExpr("id as root_id", "lower(hex(trace_id)) as recorded_id")
     )
     return (
-        marks.join(t["track_process"].select("track_id", "capture_id"), "track_id")
+        marks.join(t["track_process"].select("track_id", "capture_id").hint("merge"), "track_id")
         .join(root, "recorded_id", "left")
         .selectExpr(
             "slice_id", "coalesce(root_id, capture_id) as capture_id", "recorded_id", "session_id", "label",
@@ -144,26 +144,33 @@ def slices(t: AgentTrace) -> DataFrame:
     process = t.tables["process"].selectExpr(
         "upid", "substring(filter(labels, l -> startswith(l, 'session:'))[0], 9) as process_session"
     )
+    # a capture's identity is joined to the tracks and to the owned slices, so that the wide rows need no third join
+    identity = t["captures"].select("capture_id", F.struct("label", "recorded_id", "session_id").alias("identity"))
     lanes = (
-        track.join(t["track_process"].withColumnRenamed("capture_id", "track_capture"), "track_id", "left")
+        track.join(t["track_process"], "track_id", "left")
+        .join(identity, "capture_id", "left")
+        .withColumnsRenamed({"capture_id": "track_capture", "identity": "track_identity"})
         .join(thread, "track_id", "left")
         .join(process, "upid", "left")
     )
+    owned = t["slice_capture"].join(identity, "capture_id", "left").withColumnsRenamed(
+        {"capture_id": "own_capture", "identity": "own_identity"}
+    )
     kinds = (
         t.tables["slice"]
         .filter(is_agent_category(F.col("category"), t.vendor))
         .join(lanes, "track_id")
-        .join(t["slice_capture"].withColumnRenamed("capture_id", "own_capture"), "id", "left")
+        .join(owned, "id", "left")
         .withColumn("capture_id", F.expr("coalesce(own_capture, track_capture)"))
-        .join(t["captures"], "capture_id", "left")
+        .withColumn("identity", F.expr("if(own_capture is null, track_identity, own_identity)"))
     )
     unknown = "concat('process ', coalesce(cast(upid as string), 'unknown'))"
     return kinds.select(
         "id", "parent_id", "track_id", "ts", "dur", "name", "category", "attrs",
         F.expr("coalesce(recorded_track, concat(thread_name, ' ', tid), concat('Thread ', tid)) as track_name"),
         "upid", "utid", "capture_id",
-        F.expr(f"coalesce(label, substring(recorded_id, 1, 8), '{schema.LEGACY_CAPTURE}') as capture"),
-        F.expr(f"coalesce(session_id, process_session, {unknown}) as session"),
+        F.expr(f"coalesce(identity.label, substring(identity.recorded_id, 1, 8), '{schema.LEGACY_CAPTURE}') as capture"),
+        F.expr(f"coalesce(identity.session_id, process_session, {unknown}) as session"),
         kind_of(F.col("recorded_track")).alias("kind"),
         F.expr(
             "dur < 0 or coalesce(attrs.incomplete, 0) != 0 or coalesce(attrs.provider_incomplete, 0) != 0 as incomplete"

@@ -37,7 +37,7 @@ def capture_parents(t: AgentTrace) -> DataFrame:
     ends = t["slices"].selectExpr("id", "capture_id", "kind", "name")
     tools = ends.filter("kind = 'tool-execution'").selectExpr("id as slice_out", "capture_id as parent")
     inputs = ends.filter("name = 'prompt-input'").selectExpr("id as slice_in", "capture_id as child")
-    by_flow = t.tables["flow"].join(inputs, "slice_in").join(tools, "slice_out").filter("parent != child").selectExpr(
+    by_flow = t.tables["flow"].join(inputs.hint("merge"), "slice_in").join(tools.hint("merge"), "slice_out").filter("parent != child").selectExpr(
         "child", "parent", "0 as tier"
     )
 
