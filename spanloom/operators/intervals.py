@@ -127,14 +127,17 @@ def asof_last(
 
     One union, one shuffle and one sort instead of a range join.  ``left`` needs
     a column ``id`` that makes its order total; ``right_tie`` must be unique.
+    The keys stay columns of their own, so grouping the result by them and more
+    needs no further shuffle.
     """
     keys = list(keys)
+    carried_columns = [c for c in left.columns if c not in keys]
     carried = left.select(
         *keys,
         F.col(left_ts).alias("_ts"),
         F.lit(1).alias("_side"),
         F.col("id").cast("long").alias("_tie"),
-        F.struct(*left.columns).alias("_row"),
+        F.struct(*carried_columns).alias("_row"),
     )
     offered = right.select(
         *keys,
@@ -147,7 +150,8 @@ def asof_last(
     found = running(
         both, keys, ["_ts", "_side", "_tie"], {"_found": Run("last", F.col("_offer"))}, blocks, block_order=["_ts"]
     )
-    return found.filter(F.col("_row").isNotNull()).select("_row.*", F.col("_found")["v"].alias(out))
+    columns = [F.col(c) if c in keys else F.col("_row")[c].alias(c) for c in left.columns]
+    return found.filter("_side = 1").select(*columns, F.col("_found")["v"].alias(out))
 
 
 def count_overlaps(

@@ -8,6 +8,7 @@ from spanloom import schema
 from spanloom.operators.blocks import Run, running
 from spanloom.operators.intervals import asof_last
 from spanloom.plans.trace import AgentTrace, view
+from spanloom.session import cut_lineage
 
 _UNIT = "if(name = 'runtime.cpu', 'us consumed since previous sample', 'bytes')"
 
@@ -70,20 +71,23 @@ def phase_cpu(t: AgentTrace) -> DataFrame:
     )
     blocks = t.blocks("capture_id")
     runs = {"_cpu": Run("sum", F.col("cpu")), "_next": Run("lead", F.struct("ts", "cpu")), "_before": Run("lag", F.col("ts"))}
-    steps = running(samples, ["capture_id", "track_id"], ["ts"], runs, blocks)
-    first = steps.filter("_before is null").selectExpr("capture_id", "track_id", "ts as first_ts", "_cpu as first_cpu")
+    # written once: its tracks meet the phases, its rows the points
+    steps = cut_lineage(running(samples, ["capture_id", "track_id"], ["ts"], runs, blocks).drop("cpu"))
+    first = steps.filter("_before is null")
     phases = t["turn_work"].filter("measured_ns > 0").selectExpr("id as phase_id", "capture_id", "kind", "start_ts", "start_ts + measured_ns as end_ts")
-    points = phases.join(first, "capture_id").selectExpr(
-        "phase_id", "capture_id", "track_id", "kind", "first_ts", "first_cpu", "inline(array(struct(0 as side, start_ts as at), struct(1 as side, end_ts as at)))"
+    points = phases.join(first.select("capture_id", "track_id"), "capture_id").selectExpr(
+        "phase_id", "capture_id", "track_id", "kind", "inline(array(struct(0 as side, start_ts as at), struct(1 as side, end_ts as at)))"
     ).withColumn("id", F.expr("phase_id * 2 + side"))
+    # what comes before the first sample reads that one, offered ahead of all: a null sorts first
+    ahead = {"from": F.lit(None).cast("long"), "tie": F.lit(None).cast("long"), "_next": F.lit(None).cast(steps.schema["_next"].dataType)}
+    offers = steps.withColumns({"from": F.col("ts"), "tie": F.expr("coalesce(ts, 0L)")}).unionByName(first.withColumns(ahead))
     read = asof_last(
-        points, steps.withColumn("tie", F.col("ts")), ["capture_id", "track_id"], left_ts="at", right_ts="ts", right_tie="tie",
+        points, offers, ["capture_id", "track_id"], left_ts="at", right_ts="from", right_tie="tie",
         value=F.struct("ts", "_cpu", "_next"), out="s", blocks=blocks,
     )
     part = "cast(cast(at - s.ts as decimal(38,0)) * s._next.cpu div (s._next.ts - s.ts) as bigint)"
     placed = read.selectExpr(
-        "*", f"case when s is null then first_cpu when s._next is null then s._cpu else s._cpu + {part} end as total",
-        "case when s is null then first_ts when s._next is null then s.ts else at end as seen",
+        "*", f"if(s._next is null, s._cpu, s._cpu + {part}) as total", "if(s._next is null, s.ts, at) as seen"
     )
     return placed.groupBy("phase_id", "capture_id", "track_id", "kind").agg(
         F.expr("max(total) filter (where side = 1) - max(total) filter (where side = 0) as cpu_ns"),

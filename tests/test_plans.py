@@ -8,7 +8,8 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql.classic.dataframe import DataFrame
 
-from spanloom.operators.intervals import innermost
+from spanloom.operators.blocks import NO_BLOCKS
+from spanloom.operators.intervals import asof_last, innermost
 from spanloom.operators.trees import nearest_ancestor, path_totals
 from spanloom.session import configure
 from spanloom.sources.binding import bind_events
@@ -98,3 +99,31 @@ def test_log_attributes_are_built_once(spark):
     assert rows(logs.selectExpr("at_ns", "attrs['a'] as a", "attrs is null as none")) == [(7, None, True), (10**9, "new", False)]
     attrs = spark.range(1).select(otel_attributes(F.from_json(F.lit("[" + ",".join([pair % ("a", "1"), pair % ("b", "2"), pair % ("a", "3")]) + "]"), "array<struct<key:string,value:struct<stringValue:string,boolValue:boolean,intValue:string,doubleValue:double,arrayValue:struct<values:array<struct<stringValue:string,intValue:string,doubleValue:double,boolValue:boolean>>>>>>")).alias("m"))
     assert attrs.first().m == {"b": "2", "a": "3"}
+
+
+def executed(df) -> str:
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_grouping_by_the_keys_of_an_asof_join_needs_no_shuffle(spark):
+    left = spark.createDataFrame([(1, 5, 10), (2, 5, 30), (3, None, 10)], "id long, k long, ts long")
+    right = spark.createDataFrame([(7, 5, 10), (8, 5, 20), (9, None, 1)], "id long, k long, ts long")
+    found = asof_last(left, right, ["k"], left_ts="ts", right_ts="ts", right_tie="id", value=F.col("id"), out="rid", blocks=NO_BLOCKS)
+    assert found.columns == ["id", "k", "ts", "rid"]
+    grouped = found.groupBy("id", "k").agg(F.max("rid").alias("rid"))
+    assert executed(grouped).count("Exchange hashpartitioning") == 1
+    assert rows(grouped) == [(1, 5, 7), (2, 5, 8), (3, None, 9)]
+
+
+def test_cpu_samples_are_numbered_once(fixture):
+    f: Fixture = fixture
+    f.add(1, "tool-execution", 0, 4)
+    f.add(2, "script", 3, 20)
+    f.table("track", (-1, 1, "runtime.cpu", None, None))
+    f.table("counter_track", (-1, "runtime.cpu"))
+    f.table("counter", (-1, 2 * 10**6, 7.0), (-1, 6 * 10**6, 4.0), (-1, 10 * 10**6, 8.0))
+    got = f.trace()["phase_cpu"]
+    # the one window that is left is that of the as-of join
+    assert plan(got).count("Window [") == 1
+    # one phase begins before the first sample, the other ends after the last
+    assert rows(got, "id", "track_id", "cpu_ns", "covered_ns") == [(1, -1, 2000, 2 * 10**6), (2, -1, 11000, 7 * 10**6)]
