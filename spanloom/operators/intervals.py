@@ -34,13 +34,13 @@ def interval_sweep(
         F.struct(F.col(start).alias("ts"), *[F.col(c).cast("long").alias(c) for c in classes]),
         F.struct(F.col(end).alias("ts"), *[(-F.col(c).cast("long")).alias(c) for c in classes]),
     )
-    boundaries = intervals.select(*keys, F.inline(edges))
     if blocks is None:
-        blocks = plan_blocks(boundaries, keys, ["ts"])
+        blocks = plan_blocks(intervals.select(*keys, F.inline(edges)), keys, ["ts"])
     if keys and not blocks.split:
-        # every key is small: one exchange on the key serves the sums and the window
-        boundaries = boundaries.repartition(*keys)
+        # every key is small: one exchange of whole intervals on the key serves the sums and the window
+        intervals = intervals.select(*dict.fromkeys([*keys, start, end, *classes])).repartition(*keys)
     # otherwise partial sums meet a hot instant before the exchange
+    boundaries = intervals.select(*keys, F.inline(edges))
     deltas = boundaries.groupBy(*keys, "ts").agg(*[F.sum(c).alias(c) for c in classes])
     runs = {"_next": Run("lead", F.col("ts"))}
     runs |= {f"_open_{c}": Run("sum", F.col(c)) for c in classes}

@@ -8,8 +8,10 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql.classic.dataframe import DataFrame
 
+from checks.registry import prepared
+from spanloom.operators import trees
 from spanloom.operators.blocks import NO_BLOCKS
-from spanloom.operators.intervals import asof_last, innermost
+from spanloom.operators.intervals import asof_last, innermost, interval_sweep
 from spanloom.operators.trees import nearest_ancestor, path_totals
 from spanloom.session import configure
 from spanloom.sources.binding import bind_events
@@ -127,3 +129,38 @@ def test_cpu_samples_are_numbered_once(fixture):
     assert plan(got).count("Window [") == 1
     # one phase begins before the first sample, the other ends after the last
     assert rows(got, "id", "track_id", "cpu_ns", "covered_ns") == [(1, -1, 2000, 2 * 10**6), (2, -1, 11000, 7 * 10**6)]
+
+
+def test_sweep_ships_whole_intervals(spark):
+    spans = spark.createDataFrame([(1, 0, 10, 1), (1, 4, 6, 1), (2, 0, 3, 1)], "k long, ts long, end_ts long, one int")
+    swept = interval_sweep(spans, ["k"], ["one"], blocks=NO_BLOCKS)
+    found = plan(swept)
+    # edges are made below no exchange, so half as many rows travel
+    assert 0 <= found.index("Generate inline") < found.index("RepartitionByExpression")
+    assert rows(swept.filter("dur is not null")) == [(1, 0, 4, 1), (1, 4, 2, 2), (1, 6, 4, 1), (2, 0, 3, 1)]
+
+
+@pytest.mark.parametrize("walk", ["ancestor", "totals"])
+def test_walks_do_not_stack_rounds_in_one_plan(spark, monkeypatch, walk):
+    cuts = []
+    monkeypatch.setattr(trees, "cut_lineage", lambda df, was=trees.cut_lineage: cuts.append(plan(df).count("Join ")) or was(df))
+    nodes = spark.createDataFrame([(i, i - 1 if i > 1 else None) for i in range(1, 10)], "id long, parent_id long")
+    if walk == "ancestor":
+        assert rows(nearest_ancestor(nodes, is_stop=F.expr("id = 1"))) == [(i, 1) for i in range(1, 10)]
+    else:
+        assert rows(path_totals(nodes, {"v": F.col("id")})) == [(i, i) for i in range(1, 10)]
+    assert max(cuts) <= 2
+
+
+def test_local_plans_start_from_many_partitions(spark):
+    """Cores stay the number of state stores and files; adaptive shuffles begin wider and are merged."""
+    names = ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.initialPartitionNum")
+    before = [spark.conf.get(n, None) for n in names]
+    try:
+        spark.conf.set(names[0], "200")
+        spark.conf.unset(names[1])
+        prepared(spark)
+        assert [spark.conf.get(n) for n in names] == [str(spark.sparkContext.defaultParallelism), "200"]
+    finally:
+        for n, v in zip(names, before):
+            spark.conf.set(n, v) if v is not None else spark.conf.unset(n)
