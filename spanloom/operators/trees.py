@@ -14,9 +14,11 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from spanloom.session import cut_lineage
 
-#: Doubling rounds between two checkpoints.  A round reads the one before it two or three times, so three
-#: rounds in one plan read the nodes up to 27 times; a cut after each costs one narrow write instead.
-ROUNDS_PER_CUT = 1
+#: Doubling rounds between two looks at what is left, and between two checkpoints of descendant sums.  The walks
+#: write every round: a round reads the one before it two or three times, so three in one plan read the nodes
+#: up to 27 times.  They look for rounds that resolve nothing only here, since with repeated ids the number of
+#: rounds shows in the rows.
+ROUNDS_PER_CUT = 3
 
 
 def nearest_ancestor(
@@ -49,8 +51,9 @@ def nearest_ancestor(
     # every round resolves the next deeper nodes, so a round that resolves none
     # has only cycles left
     while left and left != before:
+        before = left
         for _ in range(ROUNDS_PER_CUT):
-            ahead = finished.unionByName(active).select(
+            ahead = state.select(
                 F.col("_id").alias("_ptr"),
                 F.col("_ptr").alias("_next"),
                 F.col("_done").alias("_next_done"),
@@ -63,10 +66,11 @@ def nearest_ancestor(
                 F.col("_next_done").alias("_done"),
                 *[pick[kind](F.col(n), F.col(f"_next_{n}")).alias(n) for n, (kind, _) in carry.items()],
             )
-            finished, active = finished.unionByName(stepped.filter("_done")), stepped.filter("NOT _done")
-        state = cut_lineage(finished.unionByName(active))
-        finished, active = state.filter("_done"), state.filter("NOT _done")
-        left, before = active.count(), left
+            state = cut_lineage(finished.unionByName(stepped))
+            finished, active = state.filter("_done"), state.filter("NOT _done")
+            left = active.count()
+            if not left:
+                break
     return finished.select(F.col("_id").alias(node), F.col("_ptr").alias("ancestor_id"), *names)
 
 
@@ -84,6 +88,7 @@ def path_totals(
     )
     left, before = state.filter("_ptr IS NOT NULL").count(), None
     while left and left != before:
+        before = left
         for _ in range(ROUNDS_PER_CUT):
             ahead = state.select(
                 F.col("_id").alias("_ptr"), F.col("_ptr").alias("_next"), *[F.col(n).alias(f"_next_{n}") for n in names]
@@ -94,8 +99,10 @@ def path_totals(
                     "_id", F.col("_next").alias("_ptr"), *[F.greatest(n, f"_next_{n}").alias(n) for n in names]
                 )
             )
-        state = cut_lineage(state)
-        left, before = state.filter("_ptr IS NOT NULL").count(), left
+            state = cut_lineage(state)
+            left = state.filter("_ptr IS NOT NULL").count()
+            if not left:
+                break
     return state.select(F.col("_id").alias(node), *names)
 
 

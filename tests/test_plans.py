@@ -164,3 +164,9 @@ def test_local_plans_start_from_many_partitions(spark):
     finally:
         for n, v in zip(names, before):
             spark.conf.set(n, v) if v is not None else spark.conf.unset(n)
+
+
+def test_walks_of_repeated_ids_take_three_rounds(spark):
+    """A row that names itself as parent beside one with a way out yields a copy a round; cutting every round changes none of it."""
+    nodes = spark.createDataFrame([(1, None), (2, 1), (2, 2)], "id long, parent_id long")
+    assert rows(nearest_ancestor(nodes, is_stop=F.expr("id = 1"))) == [(1, 1)] + [(2, 1)] * 3
