@@ -39,6 +39,9 @@ ROUND_TERMS = 100_000
 SHORT = 64
 #: Bytes of one Arrow batch of texts or shards.
 BATCH_BYTES = 4 << 20
+#: Bytes of a row group of the index.  A shard is a row of about 1 MB; writers and readers hold a row group and its pages, whose
+#: sizes Parquet looks at after 100 rows by default.
+GROUP_BYTES = 8 << 20
 _SEPARATORS = bytes(b if chr(b).isalnum() or b >= 0x80 else 0x20 for b in range(256))
 _FOLD = _SEPARATORS.lower()
 _INDEX = "ids array<long>, term array<int>, start array<int>, doc array<int>, impact array<long>, top array<long>, pair array<int>, pair_start array<int>, pair_doc array<int>, joint array<long>, pair_top array<long>"
@@ -178,7 +181,8 @@ def _index(counted: DataFrame, weights: list[int], docs: int, length: int, pairs
         if sum(x.num_rows for x in held):
             yield flush(pa.Table.from_batches(held))
 
-    return kept(counted.mapInArrow(build, _INDEX), "search-index")
+    sizes = {"parquet.block.size": str(GROUP_BYTES), "parquet.page.size.row.check.min": "1", "parquet.page.size.row.check.max": "4"}
+    return kept(counted.mapInArrow(build, _INDEX), "search-index", **sizes)
 
 
 _NAMES = tuple(x.split()[0] for x in _INDEX.split(", "))

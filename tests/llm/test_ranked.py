@@ -61,6 +61,27 @@ def test_search_equals_brute_force(spark, monkeypatch, shard, round_terms, short
     assert found(lexical_search.search(df, bench)) == brute_search(texts, items)
 
 
+def test_the_index_is_written_in_small_row_groups(spark, monkeypatch):
+    import glob
+
+    import pyarrow.parquet as pq
+
+    monkeypatch.setattr(lexical_search, "SHARD_DOCS", 8)
+    monkeypatch.setattr(lexical_search, "GROUP_BYTES", 64 << 10)
+    rng = random.Random(5)
+    rare = words(8, 400)
+    df = documents(spark, [(i, " ".join(rng.choices(rare, k=300))) for i in range(400)]).coalesce(1)
+    vocabulary = sorted(w.encode() for w in rare)
+    counted = lexical_search._counted(df, "doc_id", "text", vocabulary)
+    index = lexical_search._index(counted, [1000] * len(vocabulary), 400, 120_000, [(0, 1), (2, 3)])
+    files = [pq.ParquetFile(f).metadata for f in glob.glob(f"{index._table.removeprefix('file:')}/*.parquet")]
+    groups = [m.row_group(g) for m in files for g in range(m.num_row_groups)]
+    assert sum(g.num_rows for g in groups) == 50
+    # one shard takes about 20 KB: a group ends with the shard that fills it
+    assert max(g.total_byte_size for g in groups) < 128 << 10 and len(groups) > 8
+    assert sorted(i for r in index.select("ids").collect() for i in r.ids) == list(range(400))
+
+
 def df_lit():
     from pyspark.sql import functions as F
 
