@@ -72,6 +72,57 @@ def test_small_chunks_share_a_task(spark, tmp_path):
     assert rows(got, "recording", "chunk", "seq", "line", "committed") == sorted([*want, ("r7", 9, 0, None, False)], key=lambda r: tuple((v is not None, v) for v in r))
 
 
+def test_journal_files_are_read_once(spark, tmp_path):
+    (tmp_path / "a").mkdir()
+    (tmp_path / "a" / "events-1.jsonl").write_text(line(data={"k": 1}) + "\nbad\n")
+    out = journals.read_journal(spark, str(tmp_path))
+    # valid rows and recovery rows both come from the table of parsed lines
+    assert "BatchScan journal" not in out._jdf.queryExecution().executedPlan().toString()
+    assert rows(out, "chunk", "seq", "source") == [(1, 0, "hook"), (1, len(line(data={"k": 1})) + 2, "recovery")]
+
+
+def test_heads_share_a_task_and_keep_their_text(spark, tmp_path):
+    heads = {f"r{i}": f'[{{"source":"s","timestamp":"{i}","data":{{"pid": {i}}}}}]'.encode() for i in range(300)}
+    odd = {
+        "two words": b'{"source":"one","timestamp":7,"data":[1,  {"a": "]\\"}"}]}', "empty": b"", "blank": b" \n\t", "none": b"[]", "bad": b'[{"source":', "nulls": b'[{"source":"n","timestamp":"x","data":null},{"data":1.50}]',
+        "wide": '[{"source":"\u00e9","timestamp":"1","data":"t"}]'.encode("utf-16"), "_hidden": b'[{"source":"h"}]', ".hidden": b'[{"source":"h"}]', "broken": b'[{"source":"\xff"}]',
+    }
+    for name, data in (heads | odd).items():
+        (tmp_path / name).mkdir()
+        (tmp_path / name / "metadata.json").write_bytes(data)
+    out = journals.read_chunked_journal(spark, str(tmp_path))
+    assert journals.journal_lines(spark, str(tmp_path), heads="true").rdd.getNumPartitions() <= 2
+    got = sorted(((r.recording, r.source, None if r.timestamp is None else int(r.timestamp), r.data) for r in out.collect()), key=str)
+    want = [(f"r{i}", "s", i, f'{{"pid": {i}}}') for i in range(300)]
+    want += [
+        ("two%20words", "one", 7, '[1,  {"a": "]\\"}"}]'), ("bad", None, None, None), ("broken", None, None, None), ("nulls", "n", None, None), ("nulls", None, None, "1.50"), ("wide", "\u00e9", 1, "t"),
+    ]
+    assert got == sorted(want, key=str)
+    assert out.select("chunk", "file").distinct().collect() == [(-1, "metadata.json")]
+    assert out.select("seq").distinct().count() == len(want)
+
+
+def test_the_driver_gets_no_list_of_written_files(spark, tmp_path):
+    import pickle
+
+    import pyarrow as pa
+
+    from spanloom.sources import journal_source
+
+    n = 2000
+    batch = pa.RecordBatch.from_arrays([pa.array([f"r{i // 2}" for i in range(n)]), pa.array([i % 2 for i in range(n)]), pa.array([f"l{i}" for i in range(n)])], ["recording", "chunk", "line"])
+    writer = journal_source.JournalWriter({"path": str(tmp_path / "j")}, False)
+    first, second = writer.write(iter([batch.slice(0, 1001)])), writer.write(iter([batch.slice(1001)]))
+    assert len(pickle.dumps([first, second])) < 1000
+    assert not list((tmp_path / "j").rglob("*.jsonl"))
+    writer.commit([first, None, second])
+    assert {f"{p.parent.name}/{p.name}": p.read_text() for p in (tmp_path / "j").rglob("*") if p.is_file()} == {f"r{i // 2}/events-{i % 2}.jsonl": f"l{i}\n" for i in range(n)}
+    # nor does it keep the names of all files that are read
+    parts = journal_source.JournalReader({"path": str(tmp_path / "j")}).partitions()
+    assert len(pickle.dumps(parts)) < 20 * n
+    assert sorted((r.recording, r.chunk, r.start, r.end) for p in parts for r in p.each()) == sorted((f"r{i // 2}", i % 2, 0, len(f"l{i}\n")) for i in range(n))
+
+
 def test_a_stream_of_a_growing_journal_reads_each_committed_line_once(spark, tmp_path):
     from spanloom.sources.journal_source import JournalSource
 
