@@ -114,3 +114,15 @@ def test_an_empty_batch_and_rows_of_others_load(spark, tmp_path):
     store.load(0, observed(spark, []).unionByName(observed(spark, ROWS[:2]).selectExpr("recording", "chunk", "seq", "'hook' as source", "timestamp", "data")))
     t = store.tables()
     assert all(t[n].count() == 0 for n in ("slice", "track", "counter", "flow"))
+
+
+def test_repeated_observations_are_dropped_once(spark, tmp_path, monkeypatch):
+    from spanloom.plans import load
+
+    build, got = load.trace_rows, []
+    monkeypatch.setattr(load, "trace_rows", lambda rows: got.append(rows) or build(rows))
+    store = TraceStore(spark, str(tmp_path))
+    store.load(0, observed(spark, ROWS).unionByName(observed(spark, ROWS)))
+    # the tables are built from a table without repeats, which they read many times
+    assert "Aggregate" not in got[0]._jdf.queryExecution().executedPlan().toString()
+    assert got[0].count() == len(ROWS)
